@@ -21,7 +21,7 @@ def connect(d):
 def _plain(v):
     if isinstance(v, (decimal.Decimal, float)):
         v = float(v)
-        return "nan" if math.isnan(v) else repr(round(v, 9) + 0.0)
+        return "nan" if math.isnan(v) else repr(v + 0.0)
     if isinstance(v, datetime.datetime):
         return v.isoformat()
     return repr(v)

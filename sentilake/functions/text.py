@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from sentilake import constants as K
 
-# White space as Python's str.strip() sees it; Java's \s under (?U) lacks the four separators.
-_EDGE_SPACE = r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+# --- fixed values: white space as Python's str.strip() sees it ---
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # Line ends as Python's str.splitlines() sees them.
 LINE_BREAK = r"\R|[\x1C-\x1E]"
 
@@ -26,19 +29,19 @@ def matches(c, python_pattern: str) -> Column:
     return _col(c).rlike(pattern(python_pattern))
 
 
-def remove(c, python_pattern: str, needs=()) -> Column:
-    """Delete every match. `needs` lists substrings any match must contain: texts without them skip the regex."""
-    c = _col(c)
-    removed = F.regexp_replace(c, pattern(python_pattern), "")
-    if not needs:
-        return removed
-    present = reduce(lambda a, b: a & b, [c.contains(n) for n in needs])
-    return F.when(present, removed).otherwise(c)
+def remove(c, python_pattern: str) -> Column:
+    """Delete every match."""
+    return F.regexp_replace(_col(c), pattern(python_pattern), "")
+
+
+def bind(c: Column, use) -> Column:
+    """use(c) with `c` computed once, however often `use` refers to it."""
+    return F.transform(F.array(c), use)[0]
 
 
 def strip(c) -> Column:
     """Remove white space at both ends, ideographic spaces and line ends included."""
-    return F.regexp_replace(_col(c), _EDGE_SPACE, "")
+    return F.btrim(_col(c), F.lit(_SPACES))
 
 
 def truncate(c, n: int) -> Column:
@@ -71,8 +74,21 @@ def clean_price(c) -> Column:
     return strip(F.array_join(F.filter(stripped, lambda line: line != ""), "\n"))
 
 
+def _remove_rating_block(c: Column) -> Column:
+    """Apply the rating rule to the part it can match in: up to the first visit date after the last detail mark.
+
+    Every number in a review would otherwise start a search to the end of the text.
+    """
+    tail = F.substring_index(c, K.RESTAURANT_DETAIL, -1)
+    to_date = F.regexp_extract(tail, pattern(K.RESTAURANT_TO_VISIT), 0)
+    cut = F.length(c) - F.length(tail) + F.length(to_date)
+    head, rest = F.substring(c, F.lit(1), cut), F.substring(c, cut + 1, F.length(c))
+    return F.when(c.contains(K.RESTAURANT_DETAIL), F.concat(remove(head, K.RESTAURANT_RATING), rest)).otherwise(c)
+
+
 def clean_restaurant(c) -> Column:
-    return strip(reduce(lambda text, rule: remove(text, rule[0], rule[1]), K.RESTAURANT_RULES, _col(c)))
+    before = reduce(remove, K.RESTAURANT_HEADER_RULES, _col(c))
+    return strip(reduce(remove, K.RESTAURANT_TAIL_RULES, bind(before, _remove_rating_block)))
 
 
 CLEANERS = {"cosme": clean_beauty, "kakaku": clean_price, "tabelog": clean_restaurant}

@@ -14,8 +14,11 @@ from sentilake.operators.skew import top_per_group, weight
 
 
 def score_bin(score="score", bins: int = K.SCORE_BINS) -> Column:
-    """Bin 1..bins of a score in 0..1, 1.0 in the last."""
-    return F.least(F.greatest(F.width_bucket(score, F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(1)), F.lit(bins)).cast("int")
+    """Bin 1..bins of a score in 0..1, 1.0 in the last; null without a score."""
+    score = F.col(score) if isinstance(score, str) else score
+    bucket = F.width_bucket(score, F.lit(0.0), F.lit(1.0), F.lit(bins))
+    inside = F.least(F.greatest(bucket, F.lit(1)), F.lit(bins)).cast("int")
+    return F.when(score.isNotNull(), inside)
 
 
 def summary_cube(df: DataFrame) -> DataFrame:
@@ -83,7 +86,8 @@ def score_histogram(df: DataFrame, bins: int = K.SCORE_BINS) -> DataFrame:
         raise ValueError(f"the cube holds {K.SCORE_BINS} score bins")
     shown = df.where(F.col("sentiment").isNotNull() & F.col("score_bin").isNotNull())
     counts = shown.groupBy("sentiment", "score_bin").agg(row_count(df).alias("n"))
-    return counts.select("sentiment", "score_bin", (F.col("score_bin") - 1).cast("double").__truediv__(bins).alias("bin_start"), "n")
+    start = (F.col("score_bin") - 1).cast("double") / bins
+    return counts.select("sentiment", "score_bin", start.alias("bin_start"), "n")
 
 
 def source_breakdown(df: DataFrame) -> DataFrame:
