@@ -1,0 +1,267 @@
+"""Collecting, dropping known comments, storing, reviewing and streaming, over `documents`."""
+
+import datetime
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from checks import views as V
+from checks.catalog import query
+from checks.views import SQL_LABEL, SQL_SCORE, table
+from sentilake import constants as K
+from sentilake import schemas as S
+from sentilake.operators import dedup as D
+from sentilake.operators import panels as P
+from sentilake.operators import review as R
+from sentilake.plans import ingest as I
+from sentilake.plans.review_round import review_round
+from sentilake.session import scratch_path
+from sentilake.sources import tables as T
+from sentilake.streaming import monitor as M
+
+RUN_DATE = datetime.date(2024, 3, 1)
+
+
+def _land(rows, path, source):
+    """Write one source's part of the records in the source's own columns."""
+    own = {common: name for name, common in K.CANONICAL_NAMES[source].items()}
+    records = rows.where(F.col("source") == source).withColumnsRenamed(own)
+    if source == K.FORUM_SOURCE:
+        records = records.withColumn("post_number", F.col("doc_id").cast("int"))
+    T.write_landing(records, path, source)
+
+
+def _landing(spark, d):
+    path = scratch_path(spark, "landing")
+    rows = V.landed(spark, d)
+    for source in K.CANONICAL_NAMES:
+        _land(rows, path, source)
+    return path
+
+
+# --- collect ----------------------------------------------------------------------------------
+
+
+@query("collect_all_sources", "landed", sql="SELECT article_url, article_title, comment, source FROM landed WHERE source <> '5ch'")
+def collect_all_sources(spark, d):
+    return I.collect_landing(spark, _landing(spark, d), "all")
+
+
+@query("collect_forum", "landed", sql="SELECT article_url, article_title, comment, source FROM landed WHERE source = '5ch'")
+def collect_forum(spark, d):
+    return I.collect_landing(spark, _landing(spark, d), "5ch")
+
+
+@query(
+    "union_missing_columns", "landed",
+    sql="SELECT article_url, comment, CAST(NULL AS INTEGER) AS post_number FROM landed UNION ALL SELECT 'c' || conv_id, text, CAST(turn AS INTEGER) FROM conversations",
+)
+def union_missing_columns(spark, d):
+    turns = table(spark, d, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("article_url"),
+        F.col("text").alias("comment"),
+        F.col("turn").cast("int").alias("post_number"),
+    )
+    return T.union_by_name([V.landed(spark, d).select("article_url", "comment"), turns])
+
+
+# --- drop known, store ------------------------------------------------------------------------
+
+_NEW = "landed_new AS (SELECT * FROM landed WHERE comment NOT IN (SELECT text FROM documents SEMI JOIN labels USING (doc_id)))"
+
+
+def _stored(spark, d):
+    """Comments of the labelled documents."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    return docs.join(labels, "doc_id", "left_semi").select(F.col("text").alias("comment"))
+
+
+@query("drop_known_comments", "landed", sql=", " + _NEW + " SELECT doc_id, source FROM landed_new")
+def drop_known_comments(spark, d):
+    return D.drop_known(V.landed(spark, d), _stored(spark, d)).select("doc_id", "source")
+
+
+@query("drop_known_comments_salted", "landed", sql=", " + _NEW + " SELECT doc_id, source FROM landed_new")
+def drop_known_comments_salted(spark, d):
+    """The same with every repeated text treated as a hot key."""
+    return D.drop_known(V.landed(spark, d), _stored(spark, d), hot_rows=2).select("doc_id", "source")
+
+
+_SCORED = f"{SQL_LABEL.format('comment')} AS sentiment, {SQL_SCORE.format('comment')} AS score"
+
+
+@query(
+    "ingest_new_comments", "landed",
+    sql=f""", {_NEW} SELECT article_url, article_title, comment, source, 'acme' AS keyword, DATE '2024-03-01' AS scraped_date, {_SCORED}
+FROM landed_new WHERE source <> '5ch'""",
+)
+def ingest_new_comments(spark, d):
+    collected = V.landed(spark, d).where(F.col("source").isin(*K.ALL_SOURCES)).select(*S.CANONICAL.names)
+    added = I.new_rows(collected, _stored(spark, d), "acme", RUN_DATE, V.length_scorer)
+    return added.select(*S.FACT.names)
+
+
+@query(
+    "ingest_rerun", "landed",
+    sql=f"""SELECT keyword, scraped_date, count(*) AS n_rows, round(sum(score), 4) AS score_sum FROM (
+SELECT 'acme' AS keyword, DATE '2024-03-01' AS scraped_date, {_SCORED} FROM landed WHERE source <> '5ch' UNION ALL
+SELECT 'other', DATE '2024-03-02', {_SCORED} FROM landed WHERE source = '5ch'
+  AND comment NOT IN (SELECT comment FROM landed WHERE source <> '5ch')) GROUP BY 1, 2""",
+)
+def ingest_rerun(spark, d):
+    """A run, the same run again, then another brand and day: what the fact table holds."""
+    landing, fact = _landing(spark, d), scratch_path(spark, "fact")
+    I.run(spark, landing, fact, "acme", "all", RUN_DATE, V.length_scorer)
+    I.run(spark, landing, fact, "acme", "all", RUN_DATE, V.length_scorer)
+    I.run(spark, landing, fact, "other", "5ch", datetime.date(2024, 3, 2), V.length_scorer)
+    stored = T.read_fact(spark, fact).groupBy("keyword", "scraped_date")
+    return stored.agg(F.count("*").alias("n_rows"), F.round(F.sum("score"), 4).alias("score_sum"))
+
+
+@query(
+    "ingest_summary", "landed",
+    sql=f"""SELECT sentiment, count(*) AS n FROM (SELECT {_SCORED} FROM landed WHERE source = 'yahoo') GROUP BY 1""",
+)
+def ingest_summary(spark, d):
+    result = I.run(spark, _landing(spark, d), scratch_path(spark, "fact"), "acme", "yahoo", RUN_DATE, V.length_scorer)
+    return result[1].where("n > 0").select("sentiment", "n")
+
+
+@query(
+    "fact_partition_read", "comments",
+    sql="SELECT id, keyword, scraped_date, score FROM (SELECT id, keyword, scraped_date, score, max(scraped_date) OVER () AS newest FROM comments) WHERE scraped_date = newest",
+)
+def fact_partition_read(spark, d):
+    """Append by day, then read the newest day's folder."""
+    path = scratch_path(spark, "fact")
+    rows = V.comments(spark, d).withColumn("article_url", F.col("id").cast("string"))
+    T.append_fact(rows, path)
+    newest = rows.agg(F.max("scraped_date")).first()[0]
+    day = T.read_fact(spark, path).where(F.col("scraped_date") == F.lit(newest))
+    return day.select(F.col("article_url").cast("long").alias("id"), "keyword", "scraped_date", "score")
+
+
+@query(
+    "fact_csv_roundtrip", "landed",
+    sql=f"""SELECT article_url, article_title, comment, source, 'acme "x", y' AS keyword, DATE '2024-03-01' AS scraped_date, {_SCORED} FROM landed""",
+)
+def fact_csv_roundtrip(spark, d):
+    """Texts with line ends, quotes and commas through CSV with a byte order mark."""
+    path = scratch_path(spark, "csv")
+    rows = I.new_rows(V.landed(spark, d).select(*S.CANONICAL.names), None, 'acme "x", y', RUN_DATE, V.length_scorer)
+    T.write_csv(rows.select(*S.FACT.names), path, bom=True)
+    return T.read_fact_csv(spark, path)
+
+
+@query(
+    "export_filtered_comments", "comments",
+    sql="SELECT CAST(id AS BIGINT) AS id, sentiment, comment, scraped_date FROM comments WHERE sentiment IN ('positive', 'negative')",
+)
+def export_filtered_comments(spark, d):
+    path = scratch_path(spark, "export")
+    T.export_comments(V.comments(spark, d), path, ("positive", "negative"))
+    schema = "id long, sentiment string, comment string, scraped_date date"
+    return T.read_csv(spark, path, spark.createDataFrame([], schema).schema)
+
+
+# --- review -----------------------------------------------------------------------------------
+
+
+def _labelled(spark, d):
+    return V.human(spark, d)
+
+
+@query("review_pending", "predicted", "human", sql="SELECT doc_id, sentiment FROM predicted WHERE comment NOT IN (SELECT comment FROM human)")
+def review_pending(spark, d):
+    return R.pending(V.predicted(spark, d), _labelled(spark, d)).select("doc_id", "sentiment")
+
+
+_APPLIED = """, latest AS (SELECT comment, trim(lower(arg_max(decision, seq))) AS k FROM decisions GROUP BY comment),
+applied AS (SELECT p.*, CASE k WHEN '' THEN sentiment WHEN 'p' THEN 'positive' WHEN 'n' THEN 'negative' WHEN 'u' THEN 'neutral' END AS human_label
+  FROM predicted p JOIN latest USING (comment) WHERE comment NOT IN (SELECT comment FROM human) AND k IN ('', 'p', 'n', 'u'))
+"""
+
+
+@query("review_apply", "predicted", "human", "decisions", sql=_APPLIED + "SELECT doc_id, sentiment, human_label FROM applied")
+def review_apply(spark, d):
+    waiting = R.pending(V.predicted(spark, d), _labelled(spark, d))
+    return R.apply_decisions(waiting, V.decisions(spark, d), "seq").select("doc_id", "sentiment", "human_label")
+
+
+@query("review_apply_salted", "predicted", "human", "decisions", sql=_APPLIED + "SELECT doc_id, sentiment, human_label FROM applied")
+def review_apply_salted(spark, d):
+    waiting = R.pending(V.predicted(spark, d), _labelled(spark, d), hot_rows=2)
+    return R.apply_decisions(waiting, V.decisions(spark, d), "seq", hot_rows=2).select("doc_id", "sentiment", "human_label")
+
+
+@query("label_distribution", "predicted", "human", sql="SELECT human_label, count(*) AS n FROM human GROUP BY 1")
+def label_distribution(spark, d):
+    return R.label_distribution(_labelled(spark, d))
+
+
+@query(
+    "review_corrections", "predicted", "human",
+    sql="""SELECT count(*) AS labelled, count(*) FILTER (human_label <> sentiment) AS corrections,
+CAST(count(*) FILTER (human_label <> sentiment) AS DOUBLE) / count(*) * 100 AS error_rate FROM human""",
+)
+def review_corrections(spark, d):
+    return R.corrections(_labelled(spark, d))
+
+
+@query(
+    "agreement", "predicted", "human",
+    sql="""SELECT count(*) AS labelled, count(*) FILTER (human_label = sentiment) AS agreed,
+CAST(count(*) FILTER (human_label = sentiment) AS DOUBLE) / count(*) * 100 AS agreement FROM human""",
+)
+def agreement(spark, d):
+    return R.agreement(_labelled(spark, d))
+
+
+@query(
+    "review_progress", "predicted", "human",
+    sql="""SELECT count(*) AS total, count(*) FILTER (comment IN (SELECT comment FROM human)) AS done,
+count(*) FILTER (comment NOT IN (SELECT comment FROM human)) AS remaining FROM predicted""",
+)
+def review_progress(spark, d):
+    return R.progress(V.predicted(spark, d), _labelled(spark, d))
+
+
+@query(
+    "review_round", "predicted", "human", "decisions",
+    sql=_APPLIED.replace("comment NOT IN (SELECT comment FROM human) AND", "")
+    + """SELECT 'label ' || human_label AS item, count(*) AS n FROM applied GROUP BY 1
+UNION ALL SELECT 'corrections', count(*) FILTER (human_label <> sentiment) FROM applied
+UNION ALL SELECT 'remaining', count(*) FROM predicted WHERE comment NOT IN (SELECT comment FROM applied)""",
+)
+def review_round_report(spark, d):
+    """A first round on everything, stored, and its report; a second one has nothing to decide but the skipped."""
+    path = scratch_path(spark, "labelled")
+    review_round(V.predicted(spark, d), V.decisions(spark, d), path, "seq")
+    state = review_round(V.predicted(spark, d), V.decisions(spark, d), path, "seq")
+    parts = [
+        state["distribution"].select(F.concat(F.lit("label "), "human_label").alias("item"), "n"),
+        state["corrections"].select(F.lit("corrections").alias("item"), F.col("corrections").alias("n")),
+        state["progress"].select(F.lit("remaining").alias("item"), F.col("remaining").alias("n")),
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+# --- stream -----------------------------------------------------------------------------------
+
+
+@query(
+    "stream_ingest", "landed",
+    sql=f"SELECT comment, {_SCORED} FROM (SELECT DISTINCT comment FROM landed WHERE source IN ('yahoo', 'cosme', '5ch'))",
+)
+def stream_ingest(spark, d):
+    """Every source's records land file by file, the labelled documents twice; the fact table ends with each text once."""
+    sources = ("yahoo", "cosme", "5ch")
+    landing, fact = scratch_path(spark, "landing"), scratch_path(spark, "fact")
+    rows = V.landed(spark, d)
+    again = rows.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    for source in sources:
+        _land(again, landing, source)
+        _land(rows, landing, source)
+    arriving = M.landing_stream(spark, landing, sources, files_per_batch=1)
+    M.monitor(arriving, fact, scratch_path(spark, "state"), "acme", RUN_DATE, V.length_scorer).awaitTermination()
+    return T.read_fact(spark, fact).select("comment", "sentiment", "score")
