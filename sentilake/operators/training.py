@@ -1,8 +1,8 @@
 """Training data and a weighted three-class text model on spark.ml."""
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -84,25 +84,23 @@ def with_weight(rows: DataFrame, label: str = "label_id") -> DataFrame:
 # --- model ------------------------------------------------------------------------------------
 
 
-def text_model(n: int = 2, features: int = 1 << 18, reg: float = 0.01, max_iter: int = 50) -> Pipeline:
-    """Character n-grams, hashed and weighted by rarity, into logistic regression. Needs no word breaking."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="_text", outputCol="_chars", pattern="", minTokenLength=1),
-            NGram(n=n, inputCol="_chars", outputCol="_grams"),
-            HashingTF(numFeatures=features, inputCol="_grams", outputCol="_tf"),
-            IDF(inputCol="_tf", outputCol="_features"),
-            LogisticRegression(
-                featuresCol="_features", labelCol="label_id", weightCol="weight", family="multinomial",
-                regParam=reg, maxIter=max_iter,
-            ),
-        ]
+def gram_stages(n: int = 2, features: int = 1 << 18) -> list:
+    """Overlapping character n-grams of the lower-cased text, counted by hash. Needs no word breaking and no fitting."""
+    grams = f"regexp_extract_all(lower(_text), '(?s)(?=({'.' * n}))', 1)"
+    return [
+        SQLTransformer(statement=f"SELECT *, {grams} AS _grams FROM __THIS__"),
+        HashingTF(numFeatures=features, inputCol="_grams", outputCol="_tf"),
+    ]
+
+
+def classifier(reg: float = 0.01, max_iter: int = 50) -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="_features", labelCol="label_id", weightCol="weight", family="multinomial",
+        regParam=reg, maxIter=max_iter,
     )
 
 
-def predictions(model: PipelineModel, rows: DataFrame, text: str = "comment", name: str = "fitted") -> DataFrame:
-    """Long predictions of a fitted model on rows with `label_id`."""
-    scored = model.transform(rows.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
+def _predicted(scored: DataFrame, name: str = "fitted") -> DataFrame:
     return scored.select(
         F.lit(name).alias("model"),
         id_label("label_id").alias("true_label"),
@@ -110,23 +108,32 @@ def predictions(model: PipelineModel, rows: DataFrame, text: str = "comment", na
     )
 
 
-def train(split: DataFrame, text: str = "comment", grid=None, **settings):
+def predictions(model: PipelineModel, rows: DataFrame, text: str = "comment", name: str = "fitted") -> DataFrame:
+    """Long predictions of a fitted model on rows with `label_id`."""
+    return _predicted(model.transform(rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))), name)
+
+
+def train(split: DataFrame, text: str = "comment", grid=None, n: int = 2, features: int = 1 << 18, **settings):
     """Fit every setting of the grid on the training side and keep the best macro F1 on the validation side.
 
-    Returns (model, macro F1, setting). `split` comes from `stratified_split`.
+    Returns (model, macro F1, setting). `split` comes from `stratified_split`. Texts are broken up once for all
+    settings; the hashed counts are what is kept in between.
     """
     grid = grid or [{"reg": 0.001}, {"reg": 0.01}]
-    fit_on = with_weight(split.where(~F.col("is_validation"))).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    fit_on = fit_on.select("_text", "label_id", "weight").persist()
-    held_out = split.where("is_validation").select(text, "label_id").persist()
+    count = PipelineModel(stages=gram_stages(n, features))
+    texts = split.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), "label_id", "is_validation")
+    fit_on = count.transform(with_weight(texts.where(~F.col("is_validation")))).select("_tf", "label_id", "weight")
+    held_out = count.transform(texts.where("is_validation")).select("_tf", "label_id")
+    fit_on, held_out = fit_on.persist(), held_out.persist()
     try:
+        rarity = IDF(inputCol="_tf", outputCol="_features").fit(fit_on)
         best = None
         for setting in grid:
-            model = text_model(**{**settings, **setting}).fit(fit_on)
-            row = model_metrics(predictions(model, held_out, text)).first()
+            fitted = classifier(**{**settings, **setting}).fit(rarity.transform(fit_on))
+            row = model_metrics(_predicted(fitted.transform(rarity.transform(held_out)))).first()
             score = row["macro_f1"] if row else 0.0
             if best is None or score > best[1]:
-                best = (model, score, setting)
+                best = (PipelineModel(stages=[*count.stages, rarity, fitted]), score, setting)
         return best
     finally:
         fit_on.unpersist()
