@@ -17,14 +17,17 @@ from sentilake.sources import tables as IO
 # --- scoring ----------------------------------------------------------------------------------
 
 
-def make_length_model():
-    """An outside model: texts in, arrays of labels and scores out."""
+def length_model():
+    """Loader of an outside model: texts in, arrays of labels and scores out. Nested, so that it goes with the task."""
 
-    def predict(texts):
-        n = np.array([len(t) for t in texts])
-        return {"label": np.select([n < 400, n < 1500], ["0", "1"], "2"), "score": n / (n + 1000.0)}
+    def load():
+        def predict(texts):
+            n = np.array([len(t) for t in texts])
+            return {"label": np.select([n < 400, n < 1500], ["0", "1"], "2"), "score": n / (n + 1000.0)}
 
-    return predict
+        return predict
+
+    return load
 
 
 @query(
@@ -33,7 +36,7 @@ def make_length_model():
 )
 def batch_scoring(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("comment"))
-    return S.classify(docs, S.batch_scorer(make_length_model)).select("doc_id", "sentiment", "score")
+    return S.classify(docs, S.batch_scorer(length_model())).select("doc_id", "sentiment", "score")
 
 
 def _shout_scorer(df, text):
@@ -47,7 +50,7 @@ def _broken():
 
 REGISTRY = {
     "length": {"load": lambda: V.length_scorer, "labels": K.INGEST_LABELS},
-    "batched": {"load": lambda: S.batch_scorer(make_length_model), "labels": K.INGEST_LABELS},
+    "batched": {"load": lambda: S.batch_scorer(length_model()), "labels": K.INGEST_LABELS},
     "marks": {"load": lambda: _shout_scorer, "labels": K.BENCHMARK_LABELS},
     "broken": {"load": _broken, "labels": K.BENCHMARK_LABELS},
     "skipped": {"load": _broken, "labels": None, "skip": True},

@@ -1,7 +1,6 @@
 """The two report pages as sets of DataFrames."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sentilake import constants as K
 from sentilake.operators import compare as C
@@ -10,6 +9,13 @@ from sentilake.operators import trends as R
 from sentilake.schemas import require_columns
 
 
+def _present(cube: DataFrame) -> dict:
+    """How many sources, days and brands the cube holds; one row of counts comes to the driver."""
+    if not {"source", "scraped_date", "keyword"} & set(cube.columns):
+        return {}
+    return P.guards(cube).first().asDict()
+
+
 def analysis_report(
     fact: DataFrame, keyword: str = "All", notes: DataFrame | None = None, cube: DataFrame | None = None,
     threshold: float = K.ALERT_POINTS, tie=("id",),
@@ -22,7 +28,7 @@ def analysis_report(
     require_columns(fact, "sentiment")
     rows = P.keyword_filter(fact, keyword)
     cube = P.keyword_filter(P.summary_cube(fact) if cube is None else cube, keyword)
-    present = P.guards(cube).first().asDict()
+    present = _present(cube)
     report = {
         "kpis": P.kpi_row(cube),
         "classes": P.class_counts(cube),
@@ -45,13 +51,11 @@ def analysis_report(
 def compare_report(fact: DataFrame, brands=None, cube: DataFrame | None = None) -> dict[str, DataFrame]:
     """Brand comparison; empty with fewer than two brands."""
     cube = P.summary_cube(fact) if cube is None else cube
-    if P.guards(cube).first().asDict().get("n_keyword", 0) < 2:
+    if _present(cube).get("n_keyword", 0) < 2:
         return {}
     chosen = C.select_brands(cube, brands)
     summary = C.brand_summary(chosen)
     report = {"summary": summary, "distribution": C.brand_summary_long(summary)}
-    if "scraped_date" in chosen.columns:
-        days = chosen.agg(F.count_distinct("scraped_date").alias("n")).first()["n"]
-        if days > 1:
-            report["trend"] = R.brand_trend(chosen)
+    if _present(chosen).get("n_scraped_date", 0) > 1:
+        report["trend"] = R.brand_trend(chosen)
     return report
