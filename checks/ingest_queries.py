@@ -101,23 +101,34 @@ def ingest_new_comments(spark, d):
     return added.select(*S.FACT.names)
 
 
-@query(
-    "ingest_rerun", "landed",
-    sql=f"""SELECT keyword, scraped_date, count(*) AS n_rows, round(sum(score), 4) AS score_sum FROM (
+_RERUN = f"""SELECT keyword, scraped_date, count(*) AS n_rows, round(sum(score), 4) AS score_sum FROM (
 SELECT 'acme' AS keyword, DATE '2024-03-01' AS scraped_date, {_SCORED} FROM landed WHERE source <> '5ch' UNION ALL
 SELECT 'other', DATE '2024-03-02', {_SCORED} FROM landed WHERE source = '5ch'
-  AND comment NOT IN (SELECT comment FROM landed WHERE source <> '5ch')) GROUP BY 1, 2""",
-)
-def ingest_rerun(spark, d):
+  AND comment NOT IN (SELECT comment FROM landed WHERE source <> '5ch')) GROUP BY 1, 2"""
+
+
+def _rerun(spark, d, store):
     """A run, the same run again, then another brand and day: what the fact table holds."""
-    landing, fact = _landing(spark, d), scratch_path(spark, "fact")
-    I.run(spark, landing, fact, "acme", "all", RUN_DATE, V.length_scorer)
-    I.run(spark, landing, fact, "acme", "all", RUN_DATE, V.length_scorer)
-    I.run(spark, landing, fact, "other", "5ch", datetime.date(2024, 3, 2), V.length_scorer)
-    stored = T.read_fact(spark, fact).groupBy("keyword", "scraped_date")
+    landing = _landing(spark, d)
+    I.run(spark, landing, store, "acme", "all", RUN_DATE, V.length_scorer)
+    I.run(spark, landing, store, "acme", "all", RUN_DATE, V.length_scorer)
+    I.run(spark, landing, store, "other", "5ch", datetime.date(2024, 3, 2), V.length_scorer)
+    stored = store.read(spark).groupBy("keyword", "scraped_date")
     return stored.agg(F.count("*").alias("n_rows"), F.round(F.sum("score"), 4).alias("score_sum"))
 
 
+@query("ingest_rerun", "landed", sql=_RERUN)
+def ingest_rerun(spark, d):
+    return _rerun(spark, d, T.FactFiles(scratch_path(spark, "fact")))
+
+
+@query("ingest_rerun_bucketed", "landed", sql=_RERUN)
+def ingest_rerun_bucketed(spark, d):
+    """The same with the fact table in the catalog, bucketed by comment key."""
+    path = scratch_path(spark, "fact")
+    return _rerun(spark, d, T.FactTable("fact_" + path.rsplit("-", 1)[1], 8, path))
+
+
 @query(
     "ingest_summary", "landed",
     sql=f"""SELECT sentiment, count(*) AS n FROM (SELECT {_SCORED} FROM landed WHERE source = 'yahoo') GROUP BY 1""",

@@ -49,23 +49,25 @@ def stratified_split(
     """Add `is_validation`, true for exactly round(share * n) rows of each class: the first by `split_hash`, then id.
 
     A class is not sorted. Counting rows per hash slice finds the slice where its quota ends; only that slice, about
-    1/65536 of the class, is ranked. `row_id` must be unique. Rows of no listed class stay on the training side.
+    1/65536 of the class, is ranked to find the last row inside. The rows themselves are then passed over once, and
+    compared with it. `row_id` must be unique. Rows of no listed class stay on the training side.
     """
-    hashed = rows.withColumn("_h", split_hash(row_id, seed)).withColumn("_slice", F.substring("_h", 1, _SLICES))
-    counts = hashed.where(F.col(label).isin(*classes)).groupBy(label, "_slice").agg(F.count("*").alias("n"))
-    ordered = W.partitionBy(label).orderBy("_slice")
-    quota = F.round(F.sum("n").over(W.partitionBy(label)) * share).cast("long")
-    before = F.sum("n").over(ordered) - F.col("n")
+    slim = rows.where(F.col(label).isin(*classes)).select(F.col(label).alias("_class"), F.col(row_id).alias("_id"))
+    slim = slim.withColumn("_h", split_hash("_id", seed)).withColumn("_slice", F.substring("_h", 1, _SLICES))
+    counts = slim.groupBy("_class", "_slice").agg(F.count("*").alias("n"))
+    quota = F.round(F.sum("n").over(W.partitionBy("_class")) * share).cast("long")
+    before = F.sum("n").over(W.partitionBy("_class").orderBy("_slice")) - F.col("n")
     ends = counts.withColumn("_quota", quota).withColumn("_before", before)
-    # One row per listed class, so small by construction: the slice that holds the last row of the quota.
     ends = ends.where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("n") >= F.col("_quota")))
-    ends = ends.select(F.col(label).alias("_class"), F.col("_slice").alias("_end"), (F.col("_quota") - F.col("_before")).alias("_left"))
-    placed = hashed.join(F.broadcast(ends), F.col(label) == F.col("_class"), "left")
-    on_edge = F.coalesce(F.col("_slice") == F.col("_end"), F.lit(False))
-    clear = placed.where(~on_edge).withColumn("is_validation", F.coalesce(F.col("_slice") < F.col("_end"), F.lit(False)))
-    rank = F.row_number().over(W.partitionBy(label).orderBy("_h", row_id))
-    edge = placed.where(on_edge).withColumn("is_validation", rank <= F.col("_left"))
-    return clear.unionByName(edge).select(*rows.columns, "is_validation")
+    ends = ends.select("_class", "_slice", (F.col("_quota") - F.col("_before")).alias("_left"))
+    # Both broadcast sides have at most one row per listed class.
+    edge = slim.join(F.broadcast(ends), ["_class", "_slice"])
+    rank = F.row_number().over(W.partitionBy("_class").orderBy("_h", "_id"))
+    last = edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_left"))
+    last = last.select("_class", F.col("_h").alias("_last_h"), F.col("_id").alias("_last_id"))
+    placed = rows.withColumn("_h", split_hash(row_id, seed)).join(F.broadcast(last), F.col(label) == F.col("_class"), "left")
+    inside = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(row_id) <= F.col("_last_id")))
+    return placed.select(*rows.columns, F.coalesce(inside, F.lit(False)).alias("is_validation"))
 
 
 def class_weights(rows: DataFrame, label: str = "label_id", classes=CLASS_IDS) -> DataFrame:

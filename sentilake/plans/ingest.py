@@ -12,7 +12,7 @@ from sentilake.operators.panels import sentiment_summary, summary_comments
 from sentilake.operators.scoring import Scorer, classify
 from sentilake.operators.skew import HOT_ROWS
 from sentilake.session import materialise
-from sentilake.sources.tables import append_fact, read_fact, read_landing, union_by_name
+from sentilake.sources.tables import fact_store, read_landing, union_by_name
 
 
 def routed(source: str) -> tuple:
@@ -57,10 +57,10 @@ def new_rows(
 
 
 def ingest(
-    collected: DataFrame | None, fact_path: str, keyword, run_date, scorer: Scorer,
+    collected: DataFrame | None, fact, keyword, run_date, scorer: Scorer,
     once_per_comment: bool = False, hot_rows: int = HOT_ROWS,
 ) -> DataFrame | None:
-    """Append what is new to the fact table and return it; None if nothing was.
+    """Append what is new to the fact table (a path or a store) and return it; None if nothing was.
 
     The scored rows are computed once, into reliable storage, and serve both the append and the caller.
     `once_per_comment` also drops copies within the batch, which makes a repeated run append nothing twice.
@@ -69,17 +69,18 @@ def ingest(
         return None
     if once_per_comment:
         collected = first_per_comment(collected, [F.col(c) for c in ("source", "article_url", "article_title") if c in collected.columns])
-    fact = read_fact(collected.sparkSession, fact_path)
-    scored = materialise(new_rows(collected, fact, keyword, run_date, scorer, hot_rows))
+    store = fact_store(fact)
+    stored = store.read(collected.sparkSession)
+    scored = materialise(new_rows(collected, stored, keyword, run_date, scorer, hot_rows))
     if scored.isEmpty():
         return None
-    append_fact(scored, fact_path)
+    store.append(scored)
     return scored
 
 
-def run(spark, landing: str, fact_path: str, keyword: str, source: str, run_date, scorer: Scorer):
+def run(spark, landing: str, fact, keyword: str, source: str, run_date, scorer: Scorer):
     """One monitoring run over the landed records. Returns (new rows, summary, top comments), or None."""
-    added = ingest(collect_landing(spark, landing, source), fact_path, keyword, run_date, scorer)
+    added = ingest(collect_landing(spark, landing, source), fact, keyword, run_date, scorer)
     if added is None:
         return None
     return added, sentiment_summary(added), summary_comments(added, tie=("article_url", "comment"))

@@ -7,6 +7,7 @@ from sentilake.operators import compare as C
 from sentilake.operators import panels as P
 from sentilake.operators import trends as R
 from sentilake.schemas import require_columns
+from sentilake.session import materialise
 
 
 def _present(cube: DataFrame) -> dict:
@@ -22,12 +23,12 @@ def analysis_report(
 ) -> dict[str, DataFrame]:
     """Every panel that applies to the data, by name.
 
-    Count panels read one pre-aggregated cube, so the comments are scanned once for all of them. Pass a persisted
-    or stored `cube` of the whole fact table to share it between reports.
+    Count panels read one pre-aggregated cube, computed here once, so the comments are scanned once for all of them.
+    Pass a stored `cube` of the whole fact table to share it between reports.
     """
     require_columns(fact, "sentiment")
     rows = P.keyword_filter(fact, keyword)
-    cube = P.keyword_filter(P.summary_cube(fact) if cube is None else cube, keyword)
+    cube = materialise(P.summary_cube(rows)) if cube is None else P.keyword_filter(cube, keyword)
     present = _present(cube)
     report = {
         "kpis": P.kpi_row(cube),
@@ -50,7 +51,7 @@ def analysis_report(
 
 def compare_report(fact: DataFrame, brands=None, cube: DataFrame | None = None) -> dict[str, DataFrame]:
     """Brand comparison; empty with fewer than two brands."""
-    cube = P.summary_cube(fact) if cube is None else cube
+    cube = materialise(P.summary_cube(fact)) if cube is None else cube
     if _present(cube).get("n_keyword", 0) < 2:
         return {}
     chosen = C.select_brands(cube, brands)

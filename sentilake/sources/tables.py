@@ -1,5 +1,6 @@
 """Readers and writers of the stored tables."""
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -78,6 +79,11 @@ def read_landing(spark, path, source: str) -> DataFrame:
     return spark.read.schema(S.LANDING[source]).parquet(folder)
 
 
+def read_thread_files(spark, path) -> DataFrame:
+    """Raw forum threads, one file each: path and bytes."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 # --- fact and labelled tables -----------------------------------------------------------------
 
 STORED_FACT = T.StructType(S.FACT.fields + [T.StructField(KEY, T.BinaryType())])
@@ -90,14 +96,60 @@ def _read(spark, path, schema):
     return spark.read.schema(schema).parquet(path)
 
 
+def _as_fact(rows: DataFrame) -> DataFrame:
+    return with_key(rows).select(*STORED_FACT.names)
+
+
+@dataclass(frozen=True)
+class FactFiles:
+    """The fact table as Parquet files with a folder per `scraped_date`."""
+
+    path: str
+
+    def read(self, spark) -> DataFrame:
+        """The stored rows with their comment keys; an empty table before the first run."""
+        return _read(spark, self.path, STORED_FACT).select(*STORED_FACT.names)
+
+    def append(self, rows: DataFrame):
+        """Add rows under their day. Rebalancing gives files of an even size, also where one day has most rows."""
+        even = _as_fact(rows).hint("rebalance", "scraped_date")
+        even.write.mode("append").partitionBy("scraped_date").parquet(self.path)
+
+
+@dataclass(frozen=True)
+class FactTable:
+    """The fact table in the catalog, by day and bucketed by comment key.
+
+    Finding known comments then reads the stored keys bucket by bucket and shuffles only the new batch.
+    """
+
+    name: str
+    buckets: int
+    path: str | None = None
+
+    def read(self, spark) -> DataFrame:
+        if not spark.catalog.tableExists(self.name):
+            return spark.createDataFrame([], STORED_FACT)
+        return spark.table(self.name).select(*STORED_FACT.names)
+
+    def append(self, rows: DataFrame):
+        """Add rows. Rebalancing by key keeps a bucket's rows together, and splits the bucket of a hot text."""
+        even = _as_fact(rows).hint("rebalance", KEY)
+        writer = even.write.mode("append").partitionBy("scraped_date").bucketBy(self.buckets, KEY).sortBy(KEY)
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
+
+
+def fact_store(store):
+    """A store, or FactFiles for a path."""
+    return FactFiles(store) if isinstance(store, str) else store
+
+
 def read_fact(spark, path) -> DataFrame:
-    """The fact table with its stored comment keys; an empty one before the first run."""
-    return _read(spark, path, STORED_FACT)
+    return FactFiles(path).read(spark)
 
 
 def append_fact(rows: DataFrame, path):
-    """Add rows under their `scraped_date` folder."""
-    with_key(rows).select(*STORED_FACT.names).write.mode("append").partitionBy("scraped_date").parquet(path)
+    FactFiles(path).append(rows)
 
 
 def read_labelled(spark, path) -> DataFrame:

@@ -24,17 +24,17 @@ def landing_stream(spark, landing: str, sources, files_per_batch: int | None = N
 
 
 def monitor(
-    arriving: DataFrame, fact_path: str, checkpoint: str, keyword: str, run_date: date, scorer: Scorer,
+    arriving: DataFrame, fact, checkpoint: str, keyword: str, run_date: date, scorer: Scorer,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Ingest every micro-batch into the fact table.
+    """Ingest every micro-batch into the fact table (a path or a store).
 
     A batch that is replayed, even after a partly finished write, finds its stored comments again and adds only the
     rest: membership in the fact table is the only state, so no watermark bounds it.
     """
 
     def store(batch: DataFrame, batch_id: int):
-        ingest(batch, fact_path, keyword, run_date, scorer, once_per_comment=True)
+        ingest(batch, fact, keyword, run_date, scorer, once_per_comment=True)
 
     writer = arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
