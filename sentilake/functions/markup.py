@@ -5,6 +5,7 @@ Pages go through `mapInPandas` in Arrow batches: one parser per page, rows out a
 
 import re
 import sys
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from typing import Iterator
@@ -61,14 +62,14 @@ class Select:
         names = cls.split() if self.token else [cls]
         return any(w in names if self.token else w in cls for w in wanted)
 
-    def takes(self, tag, attrs, outer):
+    def takes(self, tag, attrs, stack):
         if self.tags and tag not in self.tags:
             return False
         if self.has_href and attrs.get("href") is None:
             return False
         if self.classes and not self._class_hit(self.classes, attrs.get("class") or ""):
             return False
-        return not self.inside or any(self._class_hit(self.inside, c) for c in outer)
+        return not self.inside or any(cls and self._class_hit(self.inside, cls) for _, cls, _ in stack)
 
 
 class _Page(HTMLParser):
@@ -78,6 +79,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.selects, self.base = selects, base
         self.stack = []  # (tag, class, positions of found elements it opened)
+        self.depth = Counter()  # open elements by name
         self.open = {}  # found elements still open: index -> pieces
         self.found = []
         self.hidden = 0
@@ -87,9 +89,8 @@ class _Page(HTMLParser):
         cls = attrs.get("class", "")
         self._break(tag, "br" if tag == "br" else None)
         opened, parts = [], set()
-        outer = [c for _, c, _ in self.stack if c]
         for select in self.selects:
-            if select.part not in parts and select.takes(tag, attrs, outer):
+            if select.part not in parts and select.takes(tag, attrs, self.stack):
                 parts.add(select.part)
                 opened.append(len(self.found))
                 self.open[len(self.found)] = []
@@ -98,6 +99,7 @@ class _Page(HTMLParser):
             self._close(opened)
             return
         self.stack.append((tag, cls, opened))
+        self.depth[tag] += 1
         self.hidden += tag in _HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -106,10 +108,11 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if not any(t == tag for t, _, _ in self.stack):
+        if not self.depth[tag]:
             return
         while True:
             name, _, opened = self.stack.pop()
+            self.depth[name] -= 1
             self._close(opened)
             self.hidden -= name in _HIDDEN
             if name == tag:

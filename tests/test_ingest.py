@@ -120,6 +120,39 @@ def test_csv_with_mark_line_ends_and_quotes(spark, tmp_path):
     assert [(r.comment, r.sentiment, r.score) for r in got.collect()] == [('二行\nの "文", です', "positive", 0.5), ("NA", "neutral", None)]
 
 
+def test_csv_over_several_files(spark, tmp_path):
+    data = [(f"c{i}", "" if i % 3 == 0 else None if i % 3 == 1 else 'x "y",\nz', float(i)) for i in range(30)]
+    df = spark.createDataFrame(data, "comment string, article_title string, score double")
+    T.write_csv(df.repartition(4), str(tmp_path / "csv"), bom=True)
+    got = T.read_fact_csv(spark, str(tmp_path / "csv")).select("comment", "article_title", "score").collect()
+    # An empty field is a missing one, quoted or not.
+    assert sorted(map(tuple, got), key=lambda r: r[2]) == [(c, t or None, s) for c, t, s in data]
+
+
+def test_benchmark_set(spark, tmp_path):
+    file = tmp_path / "set.csv"
+    file.write_text('text,label,notes\n良い,positive,"casual, short"\n悪い,negative,\n', encoding="utf-8")
+    assert [tuple(r) for r in T.read_benchmark_csv(spark, str(file)).collect()] == [("良い", "positive", "casual, short"), ("悪い", "negative", None)]
+
+
+def test_thread_files(spark, tmp_path):
+    from sentilake.operators.forum import decode_threads, parse_posts
+
+    (tmp_path / "1.dat").write_bytes("名無し<>sage<>2024<>とても美味しい店<>題\r\n名無し<><>2024<>また行きます！<>".encode("shift_jis"))
+    posts = parse_posts(decode_threads(T.read_thread_files(spark, str(tmp_path))))
+    assert [(r.post_number, r.comment) for r in posts.orderBy("post_number").collect()] == [(1, "とても美味しい店"), (2, "また行きます！")]
+
+
+def test_bucketed_fact_table(spark, sample, tmp_path):
+    store = T.FactTable("bucketed_fact", 4, str(tmp_path / "bucketed"))
+    assert I.ingest(sample, store, "a", DAY, scorer).count() == 3
+    more = sample.union(spark.createDataFrame([("u", "t", "新しい感想", "cosme")], S.CANONICAL))
+    assert [r.comment for r in I.ingest(more, store, "b", DAY, scorer).collect()] == ["新しい感想"]
+    assert store.read(spark).count() == 4
+    plan = store.read(spark).select(D.KEY).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_required_columns(rows):
     with pytest.raises(ValueError, match="score"):
         pending(rows([("x", "y")], "comment string, sentiment string"), rows([], "comment string"))
