@@ -45,7 +45,7 @@ def beauty_raw(spark, d):
     i = F.col("doc_id")
     head = F.when(i % 3 == 0, "12購入品リピート ").when(i % 3 == 1, "7購入品 2024/01/02 03:04:05 ").otherwise("3モニター abc\n")
     tail = F.when(i % 4 == 0, " 続きを読む\nx").when(i % 4 == 1, "　購入場所 店").when(i % 4 == 2, "\n効果 潤い").otherwise("")
-    return table(spark, d, "documents").select("doc_id", F.concat(head, "text", tail).alias("raw"))
+    return table(spark, d, "documents", heavy=True).select("doc_id", F.concat(head, "text", tail).alias("raw"))
 
 
 _BEAUTY_CLEAN = sql_strip(
@@ -78,7 +78,7 @@ def clean_price(spark, d):
     raw = F.concat(
         F.lit("2026年2月13日 07:51 [2008939-1]\n満足度\t5\n  "), "text", F.lit("　\n4.5\n\nコスパ\t3.5\n")
     )
-    return table(spark, d, "documents").select("doc_id", X.clean_price(raw).alias("comment"))
+    return table(spark, d, "documents", heavy=True).select("doc_id", X.clean_price(raw).alias("comment"))
 
 
 _RESTAURANT_SQL = r"""SELECT doc_id, 'グルメgirl' || chr(10) || '口コミ12件 ' || 'taro 口コミ3件 フォロワー5人 '
@@ -97,7 +97,7 @@ def clean_restaurant(spark, d):
         "text",
         F.lit("\nいいね 3"),
     )
-    return table(spark, d, "documents").select("doc_id", X.clean_restaurant(raw).alias("comment"))
+    return table(spark, d, "documents", heavy=True).select("doc_id", X.clean_restaurant(raw).alias("comment"))
 
 
 @query(
@@ -127,7 +127,7 @@ def truncate_names(spark, d):
 
 @query("unicode_strip", sql=f"SELECT doc_id, {sql_strip('chr(12288) || chr(9) || text || chr(10) || chr(160)')} AS text FROM documents")
 def unicode_strip(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.strip(F.concat(F.lit("　\t"), "text", F.lit("\n "))).alias("text"))
+    return table(spark, d, "documents", heavy=True).select("doc_id", X.strip(F.concat(F.lit("　\t"), "text", F.lit("\n "))).alias("text"))
 
 
 _RAW_LABEL = "CASE event_id % 9 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN 'POSITIVE' WHEN 4 THEN 'LABEL_0' WHEN 5 THEN 'LABEL_1' WHEN 6 THEN 'LABEL_2' WHEN 7 THEN 'neutral' ELSE 'Mixed' END"
@@ -175,7 +175,7 @@ resolved AS (SELECT page_id, pos, regexp_extract(page_url, '^(https?://[^/]+)',
 QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1""",
 )
 def page_links(spark, d):
-    return E.news_links(table(spark, d, "pages"), where=F.lit(True))
+    return E.news_links(table(spark, d, "pages", heavy=True), where=F.lit(True))
 
 
 @query(
@@ -185,7 +185,7 @@ def page_links(spark, d):
 SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3""",
 )
 def page_links_first_three(spark, d):
-    return E.news_links(table(spark, d, "pages"), limit=3, where=F.lit(True))
+    return E.news_links(table(spark, d, "pages", heavy=True), limit=3, where=F.lit(True))
 
 
 @query(
@@ -195,7 +195,7 @@ def page_links_first_three(spark, d):
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY page_id, pos) <= 25""",
 )
 def links_per_search(spark, d):
-    pages = table(spark, d, "pages")
+    pages = table(spark, d, "pages", heavy=True)
     lang = pages.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("keyword"))
     found = E.links(pages).join(lang, "page_id")
     capped = E.cap_per_search(found, 25, search=["keyword"], order=("page_id", "pos"))
@@ -214,7 +214,7 @@ _LAST_TEXT = """, firsts AS (
     + "SELECT page_id, pos, href AS url, substring(coalesce(nullif(text, ''), split_part(href, '/', -2)), 1, 60) AS name FROM firsts WHERE own = pos",
 )
 def product_links(spark, d):
-    return E.product_links(table(spark, d, "pages"), href_pattern=r"/[^/]{4,}$")
+    return E.product_links(table(spark, d, "pages", heavy=True), href_pattern=r"/[^/]{4,}$")
 
 
 @query(
@@ -227,7 +227,7 @@ FROM items QUALIFY row_number() OVER (PARTITION BY page_id, item_id ORDER BY pos
 def item_links(spark, d):
     """Items are known by two letters of the link, so several links of a page share an item."""
     return E.item_links(
-        table(spark, d, "pages"), id_pattern=r"example\.(?:com|org|net)/(..)", url_form="https://shop.example/{id}/"
+        table(spark, d, "pages", heavy=True), id_pattern=r"example\.(?:com|org|net)/(..)", url_form="https://shop.example/{id}/"
     )
 
 
@@ -238,7 +238,7 @@ WHERE contains(written, 'e') AND contains(written, '/') AND regexp_matches(href,
 QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1""",
 )
 def restaurant_links(spark, d):
-    return E.restaurant_links(table(spark, d, "pages"), parts=("e", "/"), href_pattern=r"/[^/]*n[^/]*$")
+    return E.restaurant_links(table(spark, d, "pages", heavy=True), parts=("e", "/"), href_pattern=r"/[^/]*n[^/]*$")
 
 
 @query(
@@ -247,12 +247,12 @@ def restaurant_links(spark, d):
 HAVING count(*) FILTER (regexp_matches(href, '/(de|la|the)$')) = 0 AND count(*) FILTER (regexp_matches(href, '/[^/]{2}$')) > 0""",
 )
 def brand_fallback(spark, d):
-    return E.brand_fallback(table(spark, d, "pages"), product_pattern=r"/(de|la|the)$", brand_pattern=r"/[^/]{2}$")
+    return E.brand_fallback(table(spark, d, "pages", heavy=True), product_pattern=r"/(de|la|the)$", brand_pattern=r"/[^/]{2}$")
 
 
 def sql_unescape(e):
-    for entity, character in (("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        e = f"replace({e}, '{entity}', '{character}')"
+    for entity, character in (("quot", '"'), ("#x27", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        e = f"regexp_replace({e}, '&{entity};?', '{character}', 'g')"
     return e
 
 
@@ -271,7 +271,7 @@ WHERE length(""" + sql_strip("text") + """) > 5"""
 
 @query("page_blocks", sql=_PARAGRAPHS)
 def page_blocks(spark, d):
-    found = E.comment_blocks(table(spark, d, "pages"), "yahoo", (Select("block", ("p",)),))
+    found = E.comment_blocks(table(spark, d, "pages", heavy=True), "yahoo", (Select("block", ("p",)),))
     return found.select("page_id", "pos", "comment")
 
 
@@ -285,7 +285,7 @@ _AD_TEXT = sql_strip(rf"regexp_replace({sql_unescape(_AD)}, '[ \t\n\r\f]+', ' ',
 )
 def review_blocks(spark, d):
     spec = (Select("block", ("div",), ("ad",), token=True, rendered=True),)
-    return E.comment_blocks(table(spark, d, "pages"), "kakaku", spec).select("page_id", "comment")
+    return E.comment_blocks(table(spark, d, "pages", heavy=True), "kakaku", spec).select("page_id", "comment")
 
 
 @query(
@@ -295,7 +295,7 @@ def review_blocks(spark, d):
 def review_blocks_beauty(spark, d):
     """Two selects that fit the same element give one block."""
     spec = (Select("block", classes=("ad",), rendered=True), Select("block", ("div",), ("ad",), token=True, rendered=True))
-    return E.comment_blocks(table(spark, d, "pages"), "cosme", spec).select("page_id", "comment")
+    return E.comment_blocks(table(spark, d, "pages", heavy=True), "cosme", spec).select("page_id", "comment")
 
 
 _H1 = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
@@ -305,7 +305,7 @@ _TITLE_TEXT = sql_strip(rf"regexp_replace({sql_unescape(_H1.replace('h1', 'title
 
 @query("product_names", sql=f"SELECT page_id, url, substring(coalesce(nullif({_H1_TEXT}, ''), split_part(url, '/', -2)), 1, 60) AS name FROM pages")
 def product_names(spark, d):
-    return E.product_names(table(spark, d, "pages"))
+    return E.product_names(table(spark, d, "pages", heavy=True))
 
 
 @query(
@@ -313,12 +313,12 @@ def product_names(spark, d):
     sql=f"""SELECT page_id, url, coalesce(nullif(substring({sql_strip(f"regexp_replace({_TITLE_TEXT}, ' [^ ]*$', '')")}, 1, 80), ''), split_part(url, '/', -2)) AS name FROM pages""",
 )
 def item_names(spark, d):
-    return E.item_names(table(spark, d, "pages"), tail=r" [^ ]*$")
+    return E.item_names(table(spark, d, "pages", heavy=True), tail=r" [^ ]*$")
 
 
 @query("restaurant_names", sql=f"SELECT page_id, url, substring({_H1_TEXT}, 1, 60) AS name FROM pages")
 def restaurant_names(spark, d):
-    return E.restaurant_names(table(spark, d, "pages"), (Select("name", ("h1", "h2"), rendered=True),))
+    return E.restaurant_names(table(spark, d, "pages", heavy=True), (Select("name", ("h1", "h2"), rendered=True),))
 
 
 @query(
@@ -327,7 +327,7 @@ def restaurant_names(spark, d):
 WHERE contains(html, '<div class="ad">') AND length({_AD_TEXT}) > 20""",
 )
 def restaurant_reviews(spark, d):
-    pages = table(spark, d, "pages")
+    pages = table(spark, d, "pages", heavy=True)
     names = E.restaurant_names(pages, (Select("name", ("h1", "h2"), rendered=True),))
     return E.named_reviews(pages, "tabelog", names, (Select("block", ("div",), ("ad",), token=True, rendered=True),))
 
@@ -348,7 +348,7 @@ WHERE length(comment) >= 5 AND NOT regexp_full_match(comment, '[>0-9\\s]+')""",
 )
 def forum_posts(spark, d):
     """Commas are stored as an entity behind a blank, which the text has to get back."""
-    threads = table(spark, d, "documents").select(
+    threads = table(spark, d, "documents", heavy=True).select(
         "doc_id",
         F.replace(
             F.regexp_replace("text", r"(?d)(^|\n)([^\n])", "$1name<>sage<>2024<>$2"), F.lit(","), F.lit(" &amp;")

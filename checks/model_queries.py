@@ -164,7 +164,7 @@ def model_benchmark(spark, d):
 
 
 def _training(spark, d):
-    return T.training_rows(V.human(spark, d))
+    return T.training_rows(V.human(spark, d, heavy=True))
 
 
 _IDS = "CASE human_label WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END"
@@ -227,7 +227,7 @@ def train_and_score(spark, d):
     model, _, _ = T.train(split, grid=[{"reg": 0.01}], features=1 << 14, max_iter=20)
     path = scratch_path(spark, "model")
     T.save_model(model, path)
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("comment"))
+    docs = table(spark, d, "documents", heavy=True).select("doc_id", F.col("text").alias("comment"))
     return S.classify(docs, S.fitted_scorer(T.load_model(path))).select("doc_id", "sentiment", "score")
 
 

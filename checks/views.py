@@ -5,13 +5,17 @@ Each view keeps every row of its table. `SQL[name]` is the same view as a common
 
 from pyspark.sql import functions as F
 
+from sentilake.sources.tables import spread
+
 START = "2024-01-01"
 
 SQL = {}
 
 
-def table(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def table(spark, d, name, heavy=False):
+    """A test table. Each is a single file; `heavy` deals it out to all cores for parsing and regex work."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
 def with_views(*names):
@@ -105,9 +109,9 @@ SELECT doc_id, text AS comment,
 FROM documents"""
 
 
-def predicted(spark, d):
+def predicted(spark, d, heavy=False):
     n = F.col("n_chars")
-    return table(spark, d, "documents").select(
+    return table(spark, d, "documents", heavy).select(
         "doc_id",
         F.col("text").alias("comment"),
         F.when(n < 800, "negative").when(n < 1500, "neutral").otherwise("positive").alias("sentiment"),
@@ -120,9 +124,9 @@ SELECT p.*, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive'
 FROM predicted p JOIN labels USING (doc_id)"""
 
 
-def human(spark, d):
+def human(spark, d, heavy=False):
     label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
-    joined = predicted(spark, d).join(table(spark, d, "labels"), "doc_id")
+    joined = predicted(spark, d, heavy).join(table(spark, d, "labels"), "doc_id")
     return joined.select("doc_id", "comment", "sentiment", "score", label.alias("human_label"))
 
 

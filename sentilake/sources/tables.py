@@ -24,6 +24,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a plain scan that arrives in fewer splits than there are cores, ahead of a CPU-heavy step.
+
+    A table with enough splits, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- CSV --------------------------------------------------------------------------------------
 
 

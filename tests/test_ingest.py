@@ -17,9 +17,9 @@ from sentilake.streaming import monitor as M
 
 DAY = dt.date(2024, 3, 1)
 SAMPLE = [
-    ("https://example.com/1", "記事1", "とても良い商品です", "yahoo"),
-    ("https://example.com/2", "記事2", "普通でした", "yahoo"),
-    ("https://example.com/3", "記事3", "最悪でした", "yahoo"),
+    ("https://example.com/1", "記事1", "値段のわりに良い作りだと思う", "yahoo"),
+    ("https://example.com/2", "記事2", "可もなく不可もない感じ", "yahoo"),
+    ("https://example.com/3", "記事3", "届いた品が最悪の状態だった", "yahoo"),
 ]
 
 
@@ -35,13 +35,13 @@ def sample(spark):
 
 def test_run_writes_and_reruns_without_growth(spark, sample, tmp_path):
     fact = str(tmp_path / "fact")
-    assert I.ingest(sample, fact, "資生堂", DAY, scorer).count() == 3
-    assert I.ingest(sample, fact, "資生堂", DAY, scorer) is None
+    assert I.ingest(sample, fact, "花王", DAY, scorer).count() == 3
+    assert I.ingest(sample, fact, "花王", DAY, scorer) is None
     stored = T.read_fact(spark, fact)
     assert stored.count() == 3
     assert {"comment", "sentiment", "score"} <= set(stored.columns)
     assert {r.sentiment for r in stored.collect()} == {"positive", "neutral", "negative"}
-    assert {(r.keyword, r.scraped_date) for r in stored.collect()} == {("資生堂", DAY)}
+    assert {(r.keyword, r.scraped_date) for r in stored.collect()} == {("花王", DAY)}
 
 
 def test_other_brand_does_not_store_a_known_comment(spark, sample, tmp_path):

@@ -86,7 +86,7 @@ def test_class_weights(rows):
 
 @pytest.fixture(scope="module")
 def fitted(spark):
-    words = {0: ["最悪でした", "ひどい品質でお金の無駄", "二度と行きません"], 1: ["普通でした", "特に感想はありません", "まあまあの味"], 2: ["素晴らしい商品です", "大満足です", "とても美味しかった"]}
+    words = {0: ["がっかりした出来", "すぐ壊れて損をした", "もう買わない"], 1: ["可もなく不可もない", "ふつうの味", "まあまあかな"], 2: ["期待以上で嬉しい", "毎日使いたい", "とても気に入った"]}
     data = [(i * 3 + c, w + "。" * (i % 4), c) for i in range(12) for c, ws in words.items() for w in [ws[i % 3]]]
     df = spark.createDataFrame(data, "id long, comment string, label_id int")
     split = T.stratified_split(df, "id")
@@ -98,7 +98,7 @@ def test_default_model(spark, fitted, tmp_path):
     assert setting == {"reg": 0.001} and score > 0.9
     T.save_model(model, str(tmp_path / "model"))
     scorer = S.fitted_scorer(T.load_model(str(tmp_path / "model")))
-    texts = ["素晴らしい商品です！大満足です！", "ひどい品質でした。お金の無駄です。", "良い商品です。" * 1000, "", None]
+    texts = ["期待以上で嬉しいし気に入った", "がっかりした、すぐ壊れて損をした", "気に入った。" * 1000, "", None]
     got = S.classify(spark.createDataFrame([(t,) for t in texts], "comment string"), scorer).collect()
     assert [r.sentiment for r in got[:2]] == ["positive", "negative"]
     assert len(got) == 5 and all(r.sentiment in K.SENTIMENTS and 0 <= r.score <= 1 for r in got)
