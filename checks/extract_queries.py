@@ -102,14 +102,15 @@ def clean_restaurant(spark, d):
 
 @query(
     "min_length_gate", "landed",
-    sql="""SELECT doc_id, source FROM (SELECT *, substring(comment, 1, CAST(doc_id % 30 AS INTEGER)) AS cut FROM landed)
-WHERE length(cut) >= CASE source WHEN 'yahoo' THEN 6 WHEN '5ch' THEN 5 WHEN 'cosme' THEN 16 WHEN 'kakaku' THEN 21 WHEN 'tabelog' THEN 21 ELSE 0 END""",
+    sql="""SELECT doc_id, source, count(*) AS kept FROM (SELECT doc_id, source, unnest(string_split(comment, ' ')) AS word FROM landed)
+WHERE length(word) >= CASE source WHEN 'yahoo' THEN 6 WHEN '5ch' THEN 5 WHEN 'cosme' THEN 16 WHEN 'kakaku' THEN 21 WHEN 'tabelog' THEN 21 ELSE 0 END
+GROUP BY 1, 2""",
 )
 def min_length_gate(spark, d):
-    """Texts cut to 0-29 characters, so that every source's threshold falls among them."""
-    cut = F.substring(F.col("comment"), F.lit(1), (F.col("doc_id") % 30).cast("int"))
-    rows = V.landed(spark, d).withColumn("cut", cut)
-    return rows.where(X.long_enough(F.col("source"), "cut")).select("doc_id", "source")
+    """Every word of every text as a comment, so that each source's threshold falls among them."""
+    words = V.landed(spark, d).select("doc_id", "source", F.explode(F.split("comment", " ", -1)).alias("word"))
+    kept = words.where(X.long_enough(F.col("source"), "word"))
+    return kept.groupBy("doc_id", "source").agg(F.count("*").alias("kept"))
 
 
 @query(

@@ -164,6 +164,22 @@ def fact_csv_roundtrip(spark, d):
     return T.read_fact_csv(spark, path)
 
 
+@query(
+    "source_csv_union", "landed",
+    sql="SELECT article_url, article_title, comment, source FROM landed WHERE source IN ('cosme', 'tabelog')",
+)
+def source_csv_union(spark, d):
+    """Two sources' own CSV files, read back, renamed, stamped and united."""
+    frames = {}
+    for source in ("cosme", "tabelog"):
+        own = {common: name for name, common in K.CANONICAL_NAMES[source].items()}
+        path = scratch_path(spark, source)
+        rows = V.landed(spark, d).where(F.col("source") == source).withColumnsRenamed(own)
+        T.write_csv(rows.select(*S.LANDING[source].names), path, bom=True)
+        frames[source] = T.read_source_csv(spark, path, source)
+    return I.collect(frames, "all")
+
+
 @query(
     "export_filtered_comments", "comments",
     sql="SELECT CAST(id AS BIGINT) AS id, sentiment, comment, scraped_date FROM comments WHERE sentiment IN ('positive', 'negative')",

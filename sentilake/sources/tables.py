@@ -63,6 +63,11 @@ def read_fact_csv(spark, path) -> DataFrame:
     return read_csv(spark, path, S.FACT)
 
 
+def read_source_csv(spark, path, source: str) -> DataFrame:
+    """One source's records from CSV, in its own columns."""
+    return read_csv(spark, path, S.LANDING[source])
+
+
 def read_benchmark_csv(spark, path) -> DataFrame:
     return read_csv(spark, path, S.BENCHMARK_SET)
 
@@ -120,8 +125,8 @@ class FactFiles:
         return _read(spark, self.path, STORED_FACT).select(*STORED_FACT.names)
 
     def append(self, rows: DataFrame):
-        """Add rows under their day. Rebalancing gives files of an even size, also where one day has most rows."""
-        even = _as_fact(rows).hint("rebalance", "scraped_date")
+        """Add rows under their day, usually the run's only one. Rebalancing gives files of an even size."""
+        even = _as_fact(rows).hint("rebalance")
         even.write.mode("append").partitionBy("scraped_date").parquet(self.path)
 
 
