@@ -8,6 +8,7 @@ import sys
 from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import chain
 from typing import Iterator
 from urllib.parse import urljoin
 
@@ -37,6 +38,11 @@ ELEMENT_FIELDS = (
 )
 
 
+# A result frame goes out when it holds this many rows or characters.
+FRAME_ROWS = 10_000
+FRAME_CHARS = 8_000_000
+
+
 @dataclass(frozen=True)
 class Select:
     """Which elements of a page to take. An element that fits several selects of one part is taken once.
@@ -73,32 +79,36 @@ class Select:
 
 
 class _Page(HTMLParser):
-    """Collects the text of the selected elements while reading a page once."""
+    """Finds the selected elements while reading a page once.
+
+    The text pieces of all of them stand in one list; an element keeps where its own begin and end, so nested and
+    unclosed elements share them.
+    """
 
     def __init__(self, selects, base):
         super().__init__(convert_charrefs=True)
         self.selects, self.base = selects, base
-        self.stack = []  # (tag, class, positions of found elements it opened)
+        self.stack = []  # (tag, class, found elements it opened)
         self.depth = Counter()  # open elements by name
-        self.open = {}  # found elements still open: index -> pieces
-        self.found = []
+        self.pieces = []  # (kind of break or None, text)
+        self.found = []  # [select, tag, class, href, first piece, piece after the last]
+        self.open = 0
         self.hidden = 0
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
-        cls = attrs.get("class", "")
         self._break(tag, "br" if tag == "br" else None)
         opened, parts = [], set()
         for select in self.selects:
             if select.part not in parts and select.takes(tag, attrs, self.stack):
                 parts.add(select.part)
-                opened.append(len(self.found))
-                self.open[len(self.found)] = []
-                self.found.append([select, tag, attrs.get("class"), attrs.get("href"), None])
+                opened.append([select, tag, attrs.get("class"), attrs.get("href"), len(self.pieces), None])
+        self.found.extend(opened)
+        self.open += len(opened)
         if tag in _VOID:
             self._close(opened)
             return
-        self.stack.append((tag, cls, opened))
+        self.stack.append((tag, attrs.get("class", ""), opened))
         self.depth[tag] += 1
         self.hidden += tag in _HIDDEN
 
@@ -120,27 +130,22 @@ class _Page(HTMLParser):
         self._break(tag, "cell" if tag in ("td", "th") else None)
 
     def handle_data(self, data):
-        if not self.hidden:
-            self._piece(data)
+        if self.open and not self.hidden:
+            self.pieces.append((None, data))
 
     def _break(self, tag, kind):
         kind = kind or ("paragraph" if tag == "p" else "block" if tag in _BLOCK else None)
-        if kind:
-            self._piece("", kind)
-
-    def _piece(self, text, kind=None):
-        for pieces in self.open.values():
-            pieces.append((kind, text))
+        if kind and self.open:
+            self.pieces.append((kind, ""))
 
-    def _close(self, indexes):
-        for i in indexes:
-            self.found[i][4] = self.open.pop(i)
+    def _close(self, opened):
+        for element in opened:
+            element[5] = len(self.pieces)
+        self.open -= len(opened)
 
     def rows(self):
-        for _, _, opened in reversed(self.stack):
-            self._close(opened)
-        self.stack = []
-        for pos, (select, tag, cls, href, pieces) in enumerate(self.found):
+        for pos, (select, tag, cls, href, start, end) in enumerate(self.found):
+            pieces = self.pieces[start:end]
             text = _rendered(pieces) if select.rendered else "".join(t.strip() for kind, t in pieces if not kind)
             yield select.part, pos, tag, cls, href, href and _absolute(self.base, href), text
 
@@ -216,18 +221,18 @@ def page_elements(pages: DataFrame, selects, every_page=False, page_id="page_id"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for key, base, markup in batch.itertuples(index=False, name=None):
                 page = _Page(selects, base)
                 page.feed(markup or "")
                 page.close()
-                found = list(page.rows())
-                if every_page and not found:
-                    found = [(None,) * len(ELEMENT_FIELDS)]
-                rows.extend((key, base, *row) for row in found)
-                if len(rows) >= 10_000:
-                    yield frame(rows)
-                    rows = []
+                missing = [(None,) * len(ELEMENT_FIELDS)] if every_page and not page.found else []
+                for row in chain(page.rows(), missing):
+                    rows.append((key, base, *row))
+                    size += len(row[-1] or "")
+                    if len(rows) >= FRAME_ROWS or size >= FRAME_CHARS:
+                        yield frame(rows)
+                        rows, size = [], 0
             if rows:
                 yield frame(rows)
 

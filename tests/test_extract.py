@@ -121,6 +121,14 @@ def test_names(rows):
     assert collect(E.restaurant_names(pages), "name", sort="page_id") == [("https://kakaku.com/item/K1/",), ("https://kakaku.com/item/K2/",)]
 
 
+def test_deeply_unclosed_page(rows):
+    html = "".join(f'<p class="sc-169yn8p"><b>段落その{i}番目' for i in range(3000))
+    found = E.comment_blocks(page(rows, html), "yahoo")
+    assert found.count() == 3000
+    assert found.where("pos = 2999").first().comment == "段落その2999番目"
+    assert found.where("pos = 2998").first().comment == "段落その2998番目段落その2999番目"
+
+
 def test_hidden_text_and_broken_markup(rows):
     html = "<div class=js-rvw-item-clickable-area>これは<script>var x='</div>'</script>壊れた<b>タグ</i>のあるレビューです。まだ続きます。"
     assert collect(E.comment_blocks(page(rows, html), "tabelog"), "comment") == [("これは壊れたタグのあるレビューです。まだ続きます。",)]
