@@ -7,46 +7,41 @@ from pyspark.sql import Window as W
 
 # At most this many keys are treated as hot. A key outside them holds less than 1/1024 of the rows.
 HOT_KEYS = 1024
-# Keys with fewer rows than this are no burden for one task.
+# Keys with fewer rows than this are no burden for one task; hot ones are cut into portions of about this size.
 HOT_ROWS = 1_000_000
-SALTS = 64
 RANK_BUCKETS = 64
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys: at most HOT_KEYS rows, so always small enough to broadcast."""
+    """The most frequent keys and how many salts each needs: at most HOT_KEYS rows, so always small to broadcast."""
     return (
         df.groupBy(key)
         .agg(F.count("*").alias("_n"))
         .where((F.col("_n") >= min_rows) & F.col(key).isNotNull())
         .orderBy(F.col("_n").desc(), F.col(key))
         .limit(HOT_KEYS)
-        .select(key)
+        .select(F.col(key).alias("_hot"), (F.ceil(F.col("_n") / min_rows) + 1).cast("int").alias("_salts"))
     )
 
 
-def join_unique(
-    rows: DataFrame, unique: DataFrame, key: str, how: str, min_rows: int = HOT_ROWS, salts: int = SALTS
-) -> DataFrame:
-    """Join `rows` to a side with one row per key, spreading the rows of hot keys over `salts` tasks.
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """Join `rows` to a side with one row per key, spreading the rows of a hot key over as many tasks as it fills.
 
     `how` is any join kind that keeps or drops rows of the left side (inner, left, left_semi, left_anti).
     Hot keys get a salt on the left and are repeated once per salt on the right; all others join as they are.
-    The salt is the input partition, which a retried task finds unchanged.
+    The salt follows from the row and its input partition, which a retried task finds unchanged.
     """
-    hot = hot_keys(rows, key, min_rows)
-    flagged = hot.select(F.col(key).alias("_hot"))
-    left = rows.join(F.broadcast(flagged), F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0)),
+    hot = F.broadcast(hot_keys(rows, key, min_rows))
+    is_hot = F.col("_hot").isNotNull()
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != key]
+    spot = F.spark_partition_id() + (F.hash(*plain) if plain else F.lit(0))
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(is_hot, F.pmod(spot, F.col("_salts"))).otherwise(F.lit(0))
     )
-    right = (
-        unique.join(F.broadcast(flagged), F.col(key) == F.col("_hot"), "left")
-        .withColumn("_last", F.when(F.col("_hot").isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-        .drop("_hot", "_last")
+    right = unique.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.col("_salts") - 1).otherwise(F.lit(0))))
     )
-    return left.drop("_hot").join(right, [key, "_salt"], how).drop("_salt")
+    return left.drop("_hot", "_salts").join(right.drop("_hot", "_salts"), [key, "_salt"], how).drop("_salt")
 
 
 def top_per_group(
