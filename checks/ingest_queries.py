@@ -211,12 +211,13 @@ applied AS (SELECT p.*, CASE k WHEN '' THEN sentiment WHEN 'p' THEN 'positive' W
 
 @query("review_apply", "predicted", "human", "decisions", sql=_APPLIED + "SELECT doc_id, sentiment, human_label FROM applied")
 def review_apply(spark, d):
-    waiting = R.pending(V.predicted(spark, d), _labelled(spark, d))
-    return R.apply_decisions(waiting, V.decisions(spark, d), "seq").select("doc_id", "sentiment", "human_label")
+    decided = R.apply_decisions(V.predicted(spark, d), V.decisions(spark, d), "seq", _labelled(spark, d))
+    return decided.select("doc_id", "sentiment", "human_label")
 
 
 @query("review_apply_salted", "predicted", "human", "decisions", sql=_APPLIED + "SELECT doc_id, sentiment, human_label FROM applied")
 def review_apply_salted(spark, d):
+    """In two steps, with every repeated text treated as a hot key."""
     waiting = R.pending(V.predicted(spark, d), _labelled(spark, d), hot_rows=2)
     return R.apply_decisions(waiting, V.decisions(spark, d), "seq", hot_rows=2).select("doc_id", "sentiment", "human_label")
 

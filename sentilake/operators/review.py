@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sentilake import constants as K
 from sentilake.functions.labels import lookup
 from sentilake.functions.text import strip
-from sentilake.operators.dedup import KEY, drop_known, mark_known, with_key
+from sentilake.operators.dedup import KEY, drop_known, keys_of, mark_known, with_key
 from sentilake.operators.skew import HOT_ROWS, join_unique
 from sentilake.schemas import require_columns
 
@@ -26,15 +26,22 @@ def latest_decisions(decisions: DataFrame, order: str | None = None) -> DataFram
 
 
 def apply_decisions(
-    waiting: DataFrame, decisions: DataFrame, order: str | None = None, hot_rows: int = HOT_ROWS
+    predicted: DataFrame, decisions: DataFrame, order: str | None = None, labelled: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Pending comments with their human label. Empty agrees with the model; skips and unknown keys stay pending."""
+    """Comments with their human label. Empty agrees with the model; skips and unknown keys stay pending.
+
+    Give the `pending` comments, or all predicted ones with the `labelled` table: decisions on comments that have a
+    label are then dropped first, key against key, and the comments are joined only once.
+    """
     latest = latest_decisions(decisions, order)
-    joined = join_unique(with_key(waiting), latest, KEY, "inner", hot_rows)
+    if labelled is not None:
+        latest = latest.join(keys_of(labelled), KEY, "left_anti")
+    joined = join_unique(with_key(predicted), latest, KEY, "inner", hot_rows)
     label = F.when(F.col("_decision") == "", F.col("sentiment")).otherwise(lookup("_decision", K.REVIEW_KEYS))
     decided = joined.withColumn("human_label", label)
     kept = decided.where((F.col("_decision") == "") | (F.col("human_label") != "skip"))
-    return kept.select(*waiting.columns, "human_label")
+    return kept.select(*predicted.columns, "human_label")
 
 
 def label_distribution(labelled: DataFrame, label: str = "human_label") -> DataFrame:

@@ -124,10 +124,9 @@ def train(split: DataFrame, text: str = "comment", grid=None, n: int = 2, featur
     grid = grid or [{"reg": 0.001}, {"reg": 0.01}]
     count = PipelineModel(stages=gram_stages(n, features))
     texts = split.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), "label_id", "is_validation")
-    fit_on = count.transform(with_weight(texts.where(~F.col("is_validation")))).select("_tf", "label_id", "weight")
-    held_out = count.transform(texts.where("is_validation")).select("_tf", "label_id")
-    fit_on, held_out = fit_on.persist(), held_out.persist()
+    counted = count.transform(texts).select("_tf", "label_id", "is_validation").persist()
     try:
+        fit_on, held_out = with_weight(counted.where(~F.col("is_validation"))), counted.where("is_validation")
         rarity = IDF(inputCol="_tf", outputCol="_features").fit(fit_on)
         best = None
         for setting in grid:
@@ -138,8 +137,7 @@ def train(split: DataFrame, text: str = "comment", grid=None, n: int = 2, featur
                 best = (PipelineModel(stages=[*count.stages, rarity, fitted]), score, setting)
         return best
     finally:
-        fit_on.unpersist()
-        held_out.unpersist()
+        counted.unpersist()
 
 
 def validation_report(model: PipelineModel, split: DataFrame, text: str = "comment") -> DataFrame:

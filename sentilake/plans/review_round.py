@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 
 from sentilake.operators import review as R
+from sentilake.schemas import require_columns
 from sentilake.session import materialise
 from sentilake.sources.tables import append_labelled, read_labelled
 
@@ -10,8 +11,8 @@ from sentilake.sources.tables import append_labelled, read_labelled
 def review_round(predicted: DataFrame, decisions: DataFrame, labelled_path: str, order: str | None = None) -> dict[str, DataFrame]:
     """Append the round's labels; returns the round's rows and the state of the labelled table."""
     spark = predicted.sparkSession
-    waiting = R.pending(predicted, read_labelled(spark, labelled_path))
-    decided = materialise(R.apply_decisions(waiting, decisions, order))
+    require_columns(predicted, "comment", "sentiment", "score")
+    decided = materialise(R.apply_decisions(predicted, decisions, order, read_labelled(spark, labelled_path)))
     if not decided.isEmpty():
         append_labelled(decided, labelled_path)
     labelled = read_labelled(spark, labelled_path)
