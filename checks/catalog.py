@@ -1,9 +1,6 @@
 """Every registered query, next to the SQL that states the same result."""
 
-from pyspark.sql import functions as F
-
-from checks import views as V
-from checks.views import SQL_LABEL, SQL_SCORE, table, with_views
+from checks.views import with_views
 
 QUERIES, ORACLES = {}, {}
 

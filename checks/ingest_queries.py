@@ -11,7 +11,6 @@ from checks.views import SQL_LABEL, SQL_SCORE, table
 from sentilake import constants as K
 from sentilake import schemas as S
 from sentilake.operators import dedup as D
-from sentilake.operators import panels as P
 from sentilake.operators import review as R
 from sentilake.plans import ingest as I
 from sentilake.plans.review_round import review_round

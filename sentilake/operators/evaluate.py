@@ -5,7 +5,6 @@ All metrics come from the confusion counts, which are small: one scan of the pre
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def confusion_counts(predictions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ A scorer is a function (DataFrame, text column) -> DataFrame that adds `label` a
 import logging
 from typing import Callable
 
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ def batch_scorer(make_predict_fn, batch_size: int = K.SCORING_BATCH, max_chars:
     {"label": array, "score": array}. Texts go over in Arrow batches. `max_chars` is for models with an input
     limit of their own; by default the whole text is passed.
     """
-    predict = predict_batch_udf(make_predict_fn, return_type=_struct(), batch_size=batch_size)
+    predict = predict_batch_udf(make_predict_fn, return_type=PREDICTION, batch_size=batch_size)
 
     def score(df: DataFrame, text: str) -> DataFrame:
         given = F.coalesce(F.col(text), F.lit(""))
@@ -40,12 +40,6 @@ def batch_scorer(make_predict_fn, batch_size: int = K.SCORING_BATCH, max_chars:
     return score
 
 
-def _struct():
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(PREDICTION)
-
-
 def fitted_scorer(model) -> Scorer:
     """Scorer from a fitted `training` pipeline: runs in the JVM, no Python worker."""
 

@@ -61,7 +61,7 @@ ANNOTATION = T.StructType(
     ]
 )
 
-PREDICTION = "struct<label:string,score:double>"
+PREDICTION = T.StructType().add("label", T.StringType()).add("score", T.DoubleType())
 
 
 def require_columns(df, *names):
