@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import suffix_dedup
+from sentilake.llm import bpe, packing, suffix_dedup
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -14,3 +14,13 @@ def query(f):
 @query
 def op1_suffix_dedup(spark, d):
     return suffix_dedup.kept_texts(table(spark, d, "documents"), with_text=False)
+
+
+@query
+def op2_best_fit_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
+@query
+def op9_bpe_codec(spark, d):
+    return bpe.digests(bpe.encode(table(spark, d, "documents")))
