@@ -66,6 +66,24 @@ def gram_hashes(data, size):
     return mix((sums[size:] - sums[:n]) * down)
 
 
+def range_hashes(data, starts, ends):
+    """Hash of each range of a buffer of any size; ranges are short."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    order = np.argsort(starts, kind="stable")
+    at = 0
+    while at < len(order):
+        base = int(starts[order[at]])
+        stop = int(np.searchsorted(starts[order], base + SEGMENT, side="left"))
+        take = order[at:stop]
+        piece = data[base : int(ends[take].max())]
+        sums = prefix_sums(piece)
+        _, down = powers(len(piece) + 1)
+        size = (ends[take] - starts[take]).astype(np.uint64)
+        out[take] = mix((sums[ends[take] - base] - sums[starts[take] - base]) * down[starts[take] - base] + size)
+        at = stop
+    return out
+
+
 def string_column(column):
     """Bytes and row offsets of an Arrow string or binary column; nulls count as empty."""
     import pyarrow as pa

@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, packing, suffix_dedup
+from sentilake.llm import bpe, jaccard_join, packing, suffix_dedup
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -24,3 +24,8 @@ def op2_best_fit_packing(spark, d):
 @query
 def op9_bpe_codec(spark, d):
     return bpe.digests(bpe.encode(table(spark, d, "documents")))
+
+
+@query
+def op8_jaccard_join(spark, d):
+    return jaccard_join.link_sets(table(spark, d, "documents"))

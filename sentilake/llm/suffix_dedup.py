@@ -24,7 +24,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from sentilake.llm.bytehash import SEGMENT, gram_hashes, mix, prefix_sums, powers, string_column
+from sentilake.llm.bytehash import SEGMENT, gram_hashes, mix, range_hashes, string_column
 from sentilake.llm.common import small_batches, stage
 
 WINDOW = 400
@@ -88,7 +88,7 @@ def text_anchors(data, offsets, window=WINDOW, gram=GRAM):
         empty = np.zeros(0, dtype=np.int64)
         return (empty, empty.astype(np.uint64), empty, empty, empty, empty.astype(bool)), (empty, empty, empty)
     row, h, place, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-    sides = _range_hashes(data, np.concatenate([lo]), np.concatenate([hi + window]))
+    sides = range_hashes(data, lo, hi + window)
     content = mix(sides ^ mix((place - lo).astype(np.uint64)) ^ row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, first, back, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
     again = times[back] > 1
@@ -100,24 +100,6 @@ def text_anchors(data, offsets, window=WINDOW, gram=GRAM):
     return listed, spans
 
 
-def _range_hashes(data, starts, ends):
-    """Hash of each range of a buffer of any size; ranges are short."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    order = np.argsort(starts, kind="stable")
-    at = 0
-    while at < len(order):
-        base = int(starts[order[at]])
-        stop = int(np.searchsorted(starts[order], base + SEGMENT, side="left"))
-        take = order[at:stop]
-        piece = data[base : int(ends[take].max())]
-        sums = prefix_sums(piece)
-        _, down = powers(len(piece) + 1)
-        size = (ends[take] - starts[take]).astype(np.uint64)
-        out[take] = mix((sums[ends[take] - base] - sums[starts[take] - base]) * down[starts[take] - base] + size)
-        at = stop
-    return out
-
-
 def merged(keys, starts, ends):
     """Union of the spans of each key as (key, start, end); touching spans are one."""
     if not len(keys):
