@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, jaccard_join, packing, suffix_dedup
+from sentilake.llm import bpe, jaccard_join, packing, quality_rules, quality_rules_sql, suffix_dedup
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -29,3 +29,11 @@ def op9_bpe_codec(spark, d):
 @query
 def op8_jaccard_join(spark, d):
     return jaccard_join.link_sets(table(spark, d, "documents"))
+
+
+@query
+def op4_quality_rules(spark, d):
+    return quality_rules.assess(table(spark, d, "documents"))
+
+
+ORACLES["op4_quality_rules"] = quality_rules_sql.ORACLE
