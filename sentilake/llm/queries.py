@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, jaccard_join, packing, quality_rules, quality_rules_sql, suffix_dedup
+from sentilake.llm import bpe, jaccard_join, packing, pii, quality_rules, quality_rules_sql, suffix_dedup
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -37,3 +37,8 @@ def op4_quality_rules(spark, d):
 
 
 ORACLES["op4_quality_rules"] = quality_rules_sql.ORACLE
+
+
+@query
+def op10_pii(spark, d):
+    return pii.find(table(spark, d, "documents"))
