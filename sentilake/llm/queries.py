@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, jaccard_join, packing, pii, quality_rules, quality_rules_sql, suffix_dedup
+from sentilake.llm import bpe, jaccard_join, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -42,3 +42,17 @@ ORACLES["op4_quality_rules"] = quality_rules_sql.ORACLE
 @query
 def op10_pii(spark, d):
     return pii.find(table(spark, d, "documents"))
+
+
+@query
+def op6_warc_archive(spark, d):
+    return warc.archived(table(spark, d, "pages")).drop("payload", "url")
+
+
+ORACLES["op6_warc_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, strlen(h)::BIGINT AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
