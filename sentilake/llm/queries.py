@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, jaccard_join, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc
+from sentilake.llm import bpe, html_text, jaccard_join, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -56,3 +56,8 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND
   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+
+@query
+def op3_html_text(spark, d):
+    return html_text.main_text(table(spark, d, "pages"))
