@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, html_text, jaccard_join, lattice_dedup, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc
+from sentilake.llm import bpe, byte_cnn, html_text, jaccard_join, lattice_dedup, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -66,3 +66,8 @@ def op3_html_text(spark, d):
 @query
 def op5_lattice_dedup(spark, d):
     return lattice_dedup.link_vectors(table(spark, d, "embeddings"))
+
+
+@query
+def op7_byte_cnn(spark, d):
+    return byte_cnn.classify(table(spark, d, "documents"), table(spark, d, "labels"))
