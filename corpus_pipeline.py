@@ -1,11 +1,70 @@
-"""The corpus pipeline: stages over the documents table, each written and read again before the next."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and read again as the next one's documents.
+
+A stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of
+documents, n_chars counted anew where the text changes. ``run`` is registered as query
+``pipeline``. SQL can express neither the classifier nor the packing, so there is none.
+"""
+
+from pyspark.sql import functions as F
+
+from sentilake.llm import byte_cnn, jaccard_join, packing, pii, suffix_dedup
+from sentilake.llm.common import stage, table
 
-STAGES = []
 ORACLE_SQL = None
 
 
+def classify(spark, docs, sf_dir):
+    """Documents that the quality classifier rejects go."""
+    model = byte_cnn.train(docs, table(spark, sf_dir, "labels"))
+    scored = byte_cnn.score(docs, model, name="score_of_quality")
+    return scored.filter("score_of_quality >= 0.5").drop("score_of_quality")
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """Of each group of linked documents the one with the least id stays.
+
+    Rows that share an id are one document, of which one row stays. A row without an id stays, as none can be told apart.
+    """
+    linked = jaccard_join.link_sets(docs)
+    kept = linked.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def remove_repeats(spark, docs, sf_dir):
+    """Passages that repeat are cut out of every text; a text of which nothing is left goes, one that was empty stays."""
+    _, kept = suffix_dedup.remove_repeats(docs)
+    kept = kept.filter("n_bytes = 0 or kept_text <> ''").select("k", "kept_text")
+    # The old texts stay behind: only their digests travel.
+    rest = docs.select(suffix_dedup.text_key(F.col("text")).alias("k"), F.col("text").isNull().alias("none"), *(c for c in docs.columns if c != "text"))
+    text = F.when(~F.col("none"), F.col("kept_text"))
+    size = F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("kept_text"), F.lit(0)).cast("long"))
+    new = {"text": text.alias("text"), "n_chars": size.alias("n_chars")}
+    return rest.join(kept, "k").select(*(new.get(c, F.col(c)) for c in docs.columns))
+
+
+def mask_personal_data(spark, docs, sf_dir):
+    """Spans of personal data become their kind."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+
+
+def pack(spark, docs, sf_dir):
+    """Token pieces in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", remove_repeats),
+    ("PII", mask_personal_data),
+    ("best-fit packing", pack),
+]
+
+
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
