@@ -327,8 +327,8 @@ def annotation_overlay(spark, d):
 @query("annotations_json_roundtrip", "comments", "notes", sql="SELECT keyword, idx, date, text FROM notes")
 def annotations_json_roundtrip(spark, d):
     path = scratch_path(spark, "annotations")
-    write_annotations(V.notes(spark, d), path)
-    return read_annotations(spark, path, whole_file=False)
+    write_annotations(V.notes(spark, d).coalesce(1), path, single=True)
+    return read_annotations(spark, path)
 
 
 # --- whole pages ------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sentilake.functions.text import comment_key
-from sentilake.operators.skew import HOT_ROWS, join_unique
+from sentilake.operators.skew import join_unique
 
 KEY = "comment_key"
 
@@ -20,24 +20,28 @@ def keys_of(df: DataFrame, comment: str = "comment") -> DataFrame:
     return with_key(df, comment).select(KEY).distinct()
 
 
-def drop_known(new: DataFrame, known: DataFrame, comment: str = "comment", hot_rows: int = HOT_ROWS) -> DataFrame:
+def _found(keyed: DataFrame, known: DataFrame, comment: str) -> DataFrame:
+    """Keys of `keyed` that `known` holds. Stored rows are cut to the batch's keys before copies are combined, so a small
+    batch is broadcast and nothing stored is shuffled but what was found."""
+    return with_key(known, comment).select(KEY).join(keyed.select(KEY).distinct(), KEY, "left_semi").distinct()
+
+
+def drop_known(new: DataFrame, known: DataFrame, comment: str = "comment", hot_rows: int | None = None, bucketed: bool = False) -> DataFrame:
     """Rows of `new` whose comment does not occur in `known`, whatever their brand or source.
 
-    Copies inside `new` all stay. The stored side is first cut to the keys that `new` holds: a small batch is
-    broadcast there, so a large stored table is scanned but not shuffled; a large one joins key by key. Only the
-    keys found then meet the rows.
+    Copies inside `new` all stay. By default the stored side is first cut to the keys that `new` holds, and only the keys
+    found meet the rows. A `bucketed` stored table lies by its keys already: the batch joins it directly and is read once.
     """
     keyed = with_key(new, comment)
-    found = keys_of(known, comment).join(keyed.select(KEY).distinct(), KEY, "left_semi")
-    kept = join_unique(keyed, found, KEY, "left_anti", hot_rows)
-    return kept.select(*new.columns)
+    if bucketed:
+        return keyed.join(with_key(known, comment).select(KEY), KEY, "left_anti").select(*new.columns)
+    return join_unique(keyed, _found(keyed, known, comment), KEY, "left_anti", hot_rows).select(*new.columns)
 
 
-def mark_known(rows: DataFrame, known: DataFrame, comment: str = "comment", hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_known(rows: DataFrame, known: DataFrame, comment: str = "comment", hot_rows: int | None = None) -> DataFrame:
     """All rows of `rows`, with `is_known` telling whether their comment occurs in `known`."""
     keyed = with_key(rows, comment)
-    found = keys_of(known, comment).join(keyed.select(KEY).distinct(), KEY, "left_semi").withColumn("_hit", F.lit(True))
-    marked = join_unique(keyed, found, KEY, "left", hot_rows)
+    marked = join_unique(keyed, _found(keyed, known, comment).withColumn("_hit", F.lit(True)), KEY, "left", hot_rows)
     return marked.select(*rows.columns, F.col("_hit").isNotNull().alias("is_known"))
 
 

@@ -7,11 +7,11 @@ from sentilake import constants as K
 from sentilake.functions.labels import lookup
 from sentilake.functions.text import strip
 from sentilake.operators.dedup import KEY, drop_known, keys_of, mark_known, with_key
-from sentilake.operators.skew import HOT_ROWS, join_unique
+from sentilake.operators.skew import join_unique
 from sentilake.schemas import require_columns
 
 
-def pending(predicted: DataFrame, labelled: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def pending(predicted: DataFrame, labelled: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Predicted comments that nobody has labelled."""
     require_columns(predicted, "comment", "sentiment", "score")
     return drop_known(predicted, labelled, hot_rows=hot_rows)
@@ -27,7 +27,7 @@ def latest_decisions(decisions: DataFrame, order: str | None = None) -> DataFram
 
 def apply_decisions(
     predicted: DataFrame, decisions: DataFrame, order: str | None = None, labelled: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Comments with their human label. Empty agrees with the model; skips and unknown keys stay pending.
 
@@ -66,7 +66,7 @@ def agreement(labelled: DataFrame) -> DataFrame:
     return counts.withColumn("agreement", share)
 
 
-def progress(predicted: DataFrame, labelled: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def progress(predicted: DataFrame, labelled: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Predicted comments: in all, done, and left."""
     marked = mark_known(predicted, labelled, hot_rows=hot_rows)
     return marked.agg(

@@ -5,33 +5,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-# At most this many keys are treated as hot. A key outside them holds less than 1/1024 of the rows.
-HOT_KEYS = 1024
-# Keys with fewer rows than this are no burden for one task; hot ones are cut into portions of about this size.
-HOT_ROWS = 1_000_000
 RANK_BUCKETS = 64
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys and how many salts each needs: at most HOT_KEYS rows, so always small to broadcast."""
-    return (
-        df.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .where((F.col("_n") >= min_rows) & F.col(key).isNotNull())
-        .orderBy(F.col("_n").desc(), F.col(key))
-        .limit(HOT_KEYS)
-        .select(F.col(key).alias("_hot"), (F.ceil(F.col("_n") / min_rows) + 1).cast("int").alias("_salts"))
-    )
+def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
+    """Every key with `min_rows` rows or more, and how many salts it needs. At most rows / min_rows keys can be."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") >= min_rows) & F.col(key).isNotNull())
+    return counts.select(F.col(key).alias("_hot"), (F.ceil(F.col("_n") / min_rows) + 1).cast("int").alias("_salts"))
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Join `rows` to a side with one row per key, spreading the rows of a hot key over as many tasks as it fills.
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str, min_rows: int | None = None) -> DataFrame:
+    """Join `rows` to a side with one row per key.
 
-    `how` is any join kind that keeps or drops rows of the left side (inner, left, left_semi, left_anti).
-    Hot keys get a salt on the left and are repeated once per salt on the right; all others join as they are.
-    The salt follows from the row and its input partition, which a retried task finds unchanged.
+    `how` is any join kind that keeps or drops rows of the left side (inner, left, left_semi, left_anti); of these Spark's
+    adaptive execution splits a skewed left partition by itself. With `min_rows` the keys that have so many rows are
+    counted first and spread over as many tasks as they fill, for plans in which Spark may not split: hot keys get a salt
+    on the left and are repeated once per salt on the right, all others join as they are. The salt follows from the row
+    and its input partition, which a retried task finds unchanged.
     """
-    hot = F.broadcast(hot_keys(rows, key, min_rows))
+    if min_rows is None:
+        return rows.join(unique, key, how)
+    hot = hot_keys(rows, key, min_rows)
     is_hot = F.col("_hot").isNotNull()
     plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != key]
     spot = F.spark_partition_id() + (F.hash(*plain) if plain else F.lit(0))

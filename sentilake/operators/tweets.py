@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentilake import constants as K
-from sentilake.operators.skew import HOT_ROWS, join_unique
+from sentilake.operators.skew import join_unique
 
 
 def select_tweets(tweets: DataFrame, keyword: str, lang: str = "ja") -> DataFrame:
@@ -12,7 +12,7 @@ def select_tweets(tweets: DataFrame, keyword: str, lang: str = "ja") -> DataFram
     return tweets.where(F.col("text").contains(keyword) & (F.col("lang") == lang) & ~F.col("is_retweet"))
 
 
-def with_author(tweets: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_author(tweets: DataFrame, users: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Tweets in landing form: link, author name (the author's id where no user is known), text."""
     names = users.where(F.col("author_id").isNotNull()).groupBy("author_id").agg(F.max("username").alias("username"))
     joined = join_unique(tweets, names, "author_id", "left", hot_rows)

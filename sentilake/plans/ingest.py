@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sentilake import constants as K
 from sentilake import schemas as S
-from sentilake.operators.dedup import drop_known, first_per_comment, with_key
+from sentilake.operators.dedup import KEY, drop_known, first_per_comment, with_key
 from sentilake.operators.panels import sentiment_summary, summary_comments
 from sentilake.operators.scoring import Scorer, classify
-from sentilake.operators.skew import HOT_ROWS
+from sentilake.operators.skew import join_unique
 from sentilake.session import materialise
 from sentilake.sources.tables import fact_store, read_landing, union_by_name
 
@@ -48,7 +48,7 @@ def stamp(df: DataFrame, keyword: str | None, run_date: date) -> DataFrame:
 
 
 def new_rows(
-    collected: DataFrame, fact: DataFrame | None, keyword, run_date, scorer: Scorer, hot_rows: int = HOT_ROWS
+    collected: DataFrame, fact: DataFrame | None, keyword, run_date, scorer: Scorer, hot_rows: int | None = None
 ) -> DataFrame:
     """Fact rows of the comments not stored yet. Without a stored table nothing is dropped."""
     keyed = with_key(collected)
@@ -58,24 +58,28 @@ def new_rows(
 
 def ingest(
     collected: DataFrame | None, fact, keyword, run_date, scorer: Scorer,
-    once_per_comment: bool = False, hot_rows: int = HOT_ROWS,
+    once_per_comment: bool = False, hot_rows: int | None = None,
 ) -> DataFrame | None:
     """Append what is new to the fact table (a path or a store) and return it; None if nothing was.
 
-    The scored rows are computed once, into reliable storage, and serve both the append and the caller.
+    Only the keys of the new comments are kept aside, in reliable storage. The rows are scored on their way into the
+    store, and what was added is read back from the run's day by those keys, which no earlier run has stored.
     `once_per_comment` also drops copies within the batch, which makes a repeated run append nothing twice.
     """
     if collected is None:
         return None
+    keyed = with_key(collected)
     if once_per_comment:
-        collected = first_per_comment(collected, [F.col(c) for c in ("source", "article_url", "article_title") if c in collected.columns])
+        keyed = first_per_comment(keyed, [F.col(c) for c in ("source", "article_url", "article_title") if c in keyed.columns])
     store = fact_store(fact)
     stored = store.read(collected.sparkSession)
-    scored = materialise(new_rows(collected, stored, keyword, run_date, scorer, hot_rows))
-    if scored.isEmpty():
+    fresh = materialise(drop_known(keyed.select(KEY).distinct(), stored, bucketed=store.bucketed))
+    if fresh.isEmpty():
         return None
-    store.append(scored)
-    return scored
+    rows = join_unique(keyed, fresh, KEY, "left_semi", hot_rows)
+    store.append(classify(stamp(rows, keyword, run_date), scorer))
+    day = store.read(collected.sparkSession).where(F.col("scraped_date") == F.lit(run_date).cast("date"))
+    return join_unique(day, fresh, KEY, "left_semi", hot_rows)
 
 
 def run(spark, landing: str, fact, keyword: str, source: str, run_date, scorer: Scorer):

@@ -19,14 +19,16 @@ def _present(cube: DataFrame) -> dict:
 
 def analysis_report(
     fact: DataFrame, keyword: str = "All", notes: DataFrame | None = None, cube: DataFrame | None = None,
-    threshold: float = K.ALERT_POINTS, tie=("id",),
+    threshold: float = K.ALERT_POINTS, tie=None,
 ) -> dict[str, DataFrame]:
     """Every panel that applies to the data, by name.
 
     Count panels read one pre-aggregated cube, computed here once, so the comments are scanned once for all of them.
-    Pass a stored `cube` of the whole fact table to share it between reports.
+    Pass a stored `cube` of the whole fact table to share it between reports. `tie` orders comments of equal score; by
+    default their id, or what the fact table stores.
     """
     require_columns(fact, "sentiment")
+    tie = tie or [c for c in ("id", "comment_key", "article_url", "comment") if c in fact.columns][:2]
     rows = P.keyword_filter(fact, keyword)
     cube = materialise(P.summary_cube(rows)) if cube is None else P.keyword_filter(cube, keyword)
     present = _present(cube)

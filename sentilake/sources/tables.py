@@ -3,7 +3,6 @@
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +15,9 @@ BOM = "﻿"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table path holds any data yet."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).schema
-    except AnalysisException:
-        return False
-    return True
+    """Whether a table's folder or file is there; nothing below it is listed, and a store that fails is an error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -39,9 +35,10 @@ def spread(df: DataFrame) -> DataFrame:
 def read_csv(spark, path, schema, multiline=True) -> DataFrame:
     """CSV with header, quoted line ends, doubled quotes and an optional byte order mark.
 
-    Columns are matched to `schema` by header name; absent ones come back null, additional ones are left out.
+    Columns are matched to `schema` by header name; absent ones come back null, additional ones are left out. The files
+    of one read share a header: another order of columns is an error, as Spark takes values by position.
     """
-    options = dict(header=True, multiLine=multiline, escape='"', encoding="UTF-8")
+    options = dict(header=True, multiLine=multiline, escape='"', encoding="UTF-8", enforceSchema=False)
     raw = spark.read.options(**options).csv(path)
     named = {c.lstrip(BOM): c for c in raw.columns}
     return raw.select(
@@ -53,10 +50,12 @@ def read_csv(spark, path, schema, multiline=True) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path, bom=False, mode="error"):
-    """CSV files with header. `bom` marks every file as UTF-8 for spreadsheet programs, in the first header name."""
+    """CSV files with header, white space around values kept. `bom` marks every file as UTF-8 for spreadsheet programs, in the first header name."""
     if bom and df.columns:
         df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
-    df.write.mode(mode).options(header=True, escape='"', emptyValue='""').csv(path)
+    df.write.mode(mode).options(
+        header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def read_fact_csv(spark, path) -> DataFrame:
@@ -119,6 +118,7 @@ class FactFiles:
     """The fact table as Parquet files with a folder per `scraped_date`."""
 
     path: str
+    bucketed = False
 
     def read(self, spark) -> DataFrame:
         """The stored rows with their comment keys; an empty table before the first run."""
@@ -140,6 +140,7 @@ class FactTable:
     name: str
     buckets: int
     path: str | None = None
+    bucketed = True
 
     def read(self, spark) -> DataFrame:
         if not spark.catalog.tableExists(self.name):

@@ -1,5 +1,6 @@
 """The recurring run as a stream: files that land are ingested in micro-batches."""
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -24,17 +25,21 @@ def landing_stream(spark, landing: str, sources, files_per_batch: int | None = N
 
 
 def monitor(
-    arriving: DataFrame, fact, checkpoint: str, keyword: str, run_date: date, scorer: Scorer,
+    arriving: DataFrame, fact, checkpoint: str, keyword: str, run_date: date | Callable[[], date], scorer: Scorer,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Ingest every micro-batch into the fact table (a path or a store).
 
     A batch that is replayed, even after a partly finished write, finds its stored comments again and adds only the
-    rest: membership in the fact table is the only state, so no watermark bounds it.
+    rest: membership in the fact table is the only state, so no watermark bounds it. A stream that goes on over days
+    needs its date as a function, asked for each batch.
     """
+    if not available_now and not callable(run_date):
+        raise ValueError("a stream that goes on needs run_date as a function")
 
     def store(batch: DataFrame, batch_id: int):
-        ingest(batch, fact, keyword, run_date, scorer, once_per_comment=True)
+        day = run_date() if callable(run_date) else run_date
+        ingest(batch, fact, keyword, day, scorer, once_per_comment=True)
 
     writer = arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

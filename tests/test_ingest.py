@@ -56,7 +56,7 @@ def test_copies_in_one_batch_stay_unless_asked(spark, sample, tmp_path):
     assert I.ingest(twice, str(tmp_path / "b"), "k", DAY, scorer, once_per_comment=True).count() == 3
 
 
-@pytest.mark.parametrize("hot_rows", [1, skew.HOT_ROWS])
+@pytest.mark.parametrize("hot_rows", [1, None])
 def test_null_comments_match_each_other(rows, hot_rows):
     new, known = rows([("x",), (None,), ("x",)], "comment string"), rows([(None,), ("z",)], "comment string")
     assert [r.comment for r in D.drop_known(new, known, hot_rows=hot_rows).collect()] == ["x", "x"]
@@ -68,7 +68,7 @@ def test_drop_known_with_a_hot_text_equals_brute_force(rows, spark):
     stored = [f"t{i}" for i in range(0, 50, 2)] + ["viral"] * 100
     known = rows([(t,) for t in stored], "comment string")
     want = sorted(i for i, t in enumerate(texts) if t not in set(stored))
-    for hot in (2, 350, 10_000):
+    for hot in (None, 2, 350, 10_000):
         assert sorted(r.id for r in D.drop_known(new, known, hot_rows=hot).collect()) == want
         marked = {r.id: r.is_known for r in D.mark_known(new, known, hot_rows=hot).collect()}
         assert marked == {i: t in set(stored) for i, t in enumerate(texts)}
@@ -83,6 +83,31 @@ def test_join_unique_equals_plain_join(rows, how):
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_more_hot_keys_than_a_thousand(spark):
+    left = spark.range(5000).select(F.col("id"), (F.col("id") % 1250).alias("k"))
+    assert skew.hot_keys(left, "k", 4).count() == 1250
+    right = spark.range(0, 1250, 2).select(F.col("id").alias("k"))
+    assert skew.join_unique(left, right, "k", "left_anti", min_rows=4).count() == 2500
+
+
+def test_bucketed_store_is_not_shuffled_and_the_batch_read_once(spark, tmp_path):
+    store = T.FactTable("fact_plan_test", 4, str(tmp_path / "fact"))
+    batch = spark.createDataFrame([("u", "t", f"c{i}", "yahoo") for i in range(30)], S.CANONICAL)
+    I.ingest(batch, store, "k", DAY, scorer)
+    batch.write.parquet(str(tmp_path / "batch"))
+    again = spark.read.parquet(str(tmp_path / "batch"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = D.drop_known(again, store.read(spark), bucketed=True)
+        assert left.count() == 0
+        plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE fact_plan_test")
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 2
+
+
 def test_top_per_group_equals_brute_force(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 2).alias("g"), F.pmod(F.hash("id"), F.lit(17)).alias("v"))
     data = [tuple(r) for r in df.collect()]
@@ -129,6 +154,23 @@ def test_csv_over_several_files(spark, tmp_path):
     assert sorted(map(tuple, got), key=lambda r: r[2]) == [(c, t or None, s) for c, t, s in data]
 
 
+def test_csv_keeps_white_space_and_refuses_another_header(spark, tmp_path):
+    texts = ["  lead and trail  \n", " a,b ", "\tx", "\n\n y"]
+    T.write_csv(spark.createDataFrame([(t,) for t in texts], "comment string"), str(tmp_path / "csv"), bom=True)
+    assert sorted(r.comment for r in T.read_fact_csv(spark, str(tmp_path / "csv")).collect()) == sorted(texts)
+    for name, head in (("a", "comment,label\nc,l\n"), ("b", "label,comment\nl,c\n")):
+        (tmp_path / f"{name}.csv").write_text(head)
+    with pytest.raises(Exception, match="(?i)header"):
+        T.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], spark.createDataFrame([], "comment string, label string").schema).collect()
+
+
+def test_a_stream_that_goes_on_asks_for_its_date(spark):
+    from sentilake.streaming.monitor import monitor
+
+    with pytest.raises(ValueError):
+        monitor(None, "fact", "state", "k", DAY, scorer, available_now=False)
+
+
 def test_benchmark_set(spark, tmp_path):
     file = tmp_path / "set.csv"
     file.write_text('text,label,notes\n良い,positive,"casual, short"\n悪い,negative,\n', encoding="utf-8")

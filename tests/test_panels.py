@@ -128,5 +128,12 @@ def test_annotations_file(rows, spark, tmp_path):
     notes = read_annotations(spark, str(file))
     assert [tuple(r) for r in A.list_annotations(notes).collect()] == [("任天堂", 0, day(1), "発売"), ("任天堂", 1, day(5), "値下げ")]
     write_annotations(notes, str(tmp_path / "out"))
-    assert sorted(map(str, read_annotations(spark, str(tmp_path / "out"), whole_file=False).collect())) == sorted(map(str, notes.collect()))
+    assert sorted(map(str, read_annotations(spark, str(tmp_path / "out")).collect())) == sorted(map(str, notes.collect()))
+    many = rows([(f"b{i % 7}", i // 7, day(1), f"n{i}\n") for i in range(70)], "keyword string, idx int, date date, text string")
+    for single in (False, True):
+        write_annotations(many.coalesce(1), str(tmp_path / f"many{single}"), single=single)
+        assert sorted(map(str, read_annotations(spark, str(tmp_path / f"many{single}")).collect())) == sorted(map(str, many.collect()))
+    file.write_text('{"a": [{"date": ')
+    with pytest.raises(Exception, match="no JSON map"):
+        read_annotations(spark, str(file)).collect()
     assert read_annotations(spark, str(tmp_path / "none")).count() == 0
