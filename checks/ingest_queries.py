@@ -125,16 +125,22 @@ def ingest_rerun(spark, d):
 def ingest_rerun_bucketed(spark, d):
     """The same with the fact table in the catalog, bucketed by comment key."""
     path = scratch_path(spark, "fact")
-    return _rerun(spark, d, T.FactTable("fact_" + path.rsplit("-", 1)[1], 8, path))
+    name = "fact_" + path.rsplit("-", 1)[1]
+    _rerun(spark, d, T.FactTable(name, 8, path))
+    spark.sql(f"DROP TABLE {name}")
+    stored = T.read_fact(spark, path).groupBy("keyword", "scraped_date")
+    return stored.agg(F.count("*").alias("n_rows"), F.round(F.sum("score"), 4).alias("score_sum"))
 
 
 @query(
     "ingest_summary", "landed",
-    sql=f"""SELECT sentiment, count(*) AS n FROM (SELECT {_SCORED} FROM landed WHERE source = 'yahoo') GROUP BY 1""",
+    sql=f"""SELECT s.sentiment, (SELECT count(*) FROM (SELECT {_SCORED} FROM landed WHERE source <> '5ch') x WHERE x.sentiment = s.sentiment) AS n
+FROM (VALUES ('positive'), ('neutral'), ('negative')) s(sentiment)""",
 )
 def ingest_summary(spark, d):
-    result = I.run(spark, _landing(spark, d), scratch_path(spark, "fact"), "acme", "yahoo", RUN_DATE, V.length_scorer)
-    return result[1].where("n > 0").select("sentiment", "n")
+    """The run's own summary, classes without a comment included."""
+    result = I.run(spark, _landing(spark, d), scratch_path(spark, "fact"), "acme", "all", RUN_DATE, V.length_scorer)
+    return result[1].select("sentiment", "n")
 
 
 @query(
@@ -153,24 +159,26 @@ def fact_partition_read(spark, d):
 
 @query(
     "fact_csv_roundtrip", "landed",
-    sql=f"""SELECT article_url, article_title, comment, source, 'acme "x", y' AS keyword, DATE '2024-03-01' AS scraped_date, {_SCORED} FROM landed""",
+    sql=f"""SELECT article_url, article_title, comment, source, 'acme "x", y' AS keyword, DATE '2024-03-01' AS scraped_date, {_SCORED}
+FROM (SELECT article_url, article_title, '  ' || chr(9) || comment || ' ' || chr(10) || ' ' AS comment, source FROM landed)""",
 )
 def fact_csv_roundtrip(spark, d):
-    """Texts with line ends, quotes and commas through CSV with a byte order mark."""
+    """Texts with line ends, quotes, commas and white space around them through CSV with a byte order mark."""
     path = scratch_path(spark, "csv")
-    rows = I.new_rows(V.landed(spark, d).select(*S.CANONICAL.names), None, 'acme "x", y', RUN_DATE, V.length_scorer)
+    padded = V.landed(spark, d).withColumn("comment", F.concat(F.lit("  \t"), "comment", F.lit(" \n ")))
+    rows = I.new_rows(padded.select(*S.CANONICAL.names), None, 'acme "x", y', RUN_DATE, V.length_scorer)
     T.write_csv(rows.select(*S.FACT.names), path, bom=True)
     return T.read_fact_csv(spark, path)
 
 
 @query(
     "source_csv_union", "landed",
-    sql="SELECT article_url, article_title, comment, source FROM landed WHERE source IN ('cosme', 'tabelog')",
+    sql="SELECT article_url, article_title, comment, source FROM landed WHERE source <> '5ch'",
 )
 def source_csv_union(spark, d):
-    """Two sources' own CSV files, read back, renamed, stamped and united."""
+    """Every routed source's own CSV files, read back, renamed, stamped and united."""
     frames = {}
-    for source in ("cosme", "tabelog"):
+    for source in K.ALL_SOURCES:
         own = {common: name for name, common in K.CANONICAL_NAMES[source].items()}
         path = scratch_path(spark, source)
         rows = V.landed(spark, d).where(F.col("source") == source).withColumnsRenamed(own)
@@ -179,6 +187,41 @@ def source_csv_union(spark, d):
     return I.collect(frames, "all")
 
 
+@query(
+    "ingest_from_csv", "landed",
+    sql=f"""SELECT source, count(*) AS n_rows, round(sum(score), 4) AS score_sum FROM (SELECT source, {_SCORED}
+FROM (SELECT source, ' ' || comment || ' ' AS comment FROM landed WHERE source <> '5ch')) GROUP BY 1""",
+)
+def ingest_from_csv(spark, d):
+    """A fact table exported as CSV, read again as a new batch: the same texts, so nothing is stored twice."""
+    fact, csv = scratch_path(spark, "fact"), scratch_path(spark, "csv")
+    padded = V.landed(spark, d).where(F.col("source").isin(*K.ALL_SOURCES)).withColumn("comment", F.concat(F.lit(" "), "comment", F.lit(" ")))
+    I.ingest(padded.select(*S.CANONICAL.names), fact, "acme", RUN_DATE, V.length_scorer)
+    T.write_csv(T.read_fact(spark, fact).select(*S.FACT.names), csv, bom=True)
+    I.ingest(T.read_fact_csv(spark, csv).select(*S.CANONICAL.names), fact, "acme", datetime.date(2024, 3, 2), V.length_scorer)
+    stored = T.read_fact(spark, fact).groupBy("source")
+    return stored.agg(F.count("*").alias("n_rows"), F.round(F.sum("score"), 4).alias("score_sum"))
+
+
+@query(
+    "benchmark_csv",
+    sql="""SELECT text, CASE doc_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS label,
+CASE WHEN doc_id % 4 <> 0 THEN 'source ' || source || ', "' || lang || '"' END AS notes FROM documents""",
+)
+def benchmark_csv(spark, d):
+    """A benchmark set with quoted commas, quotes and missing notes; a file without its columns is refused."""
+    path = scratch_path(spark, "benchmark")
+    label = F.element_at(F.array(F.lit("positive"), F.lit("neutral"), F.lit("negative")), (F.col("doc_id") % 3 + 1).cast("int"))
+    notes = F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("source "), "source", F.lit(', "'), "lang", F.lit('"')))
+    T.write_csv(table(spark, d, "documents").select("text", label.alias("label"), notes.alias("notes")), path)
+    read = T.read_benchmark_csv(spark, path)
+    try:
+        S.require_columns(read, "text", "label", "human_label")
+    except ValueError:
+        return S.require_columns(read, "text", "label", "notes")
+    raise AssertionError("a missing column was not noticed")
+
+
 @query(
     "export_filtered_comments", "comments",
     sql="SELECT CAST(id AS BIGINT) AS id, sentiment, comment, scraped_date FROM comments WHERE sentiment IN ('positive', 'negative')",
@@ -278,11 +321,11 @@ def review_round_report(spark, d):
 
 @query(
     "stream_ingest", "landed",
-    sql=f"SELECT comment, {_SCORED} FROM (SELECT DISTINCT comment FROM landed WHERE source IN ('yahoo', 'cosme', '5ch'))",
+    sql=f"SELECT comment, {_SCORED} FROM (SELECT DISTINCT comment FROM landed)",
 )
 def stream_ingest(spark, d):
     """Every source's records land file by file, the labelled documents twice; the fact table ends with each text once."""
-    sources = ("yahoo", "cosme", "5ch")
+    sources = tuple(K.CANONICAL_NAMES)
     landing, fact = scratch_path(spark, "landing"), scratch_path(spark, "fact")
     rows = V.landed(spark, d)
     again = rows.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
