@@ -11,6 +11,9 @@ from sentilake.functions import text as X
 from sentilake.functions.markup import Select
 from sentilake.operators import extract as E
 from sentilake.operators import forum, tweets
+from sentilake.plans import landing
+from sentilake.session import scratch_path
+from sentilake.sources.tables import read_landing
 
 # White space at both ends as Python strips it, in RE2 spelling.
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -277,6 +280,7 @@ def page_blocks(spark, d):
 
 
 _AD = r"""regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)"""
+_AD_RAW = "trim(regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1, 's'))"
 _AD_TEXT = sql_strip(rf"regexp_replace({sql_unescape(_AD)}, '[ \t\n\r\f]+', ' ', 'g')")
 
 
@@ -329,8 +333,61 @@ WHERE contains(html, '<div class="ad">') AND length({_AD_TEXT}) > 20""",
 )
 def restaurant_reviews(spark, d):
     pages = table(spark, d, "pages", heavy=True)
-    names = E.restaurant_names(pages, (Select("name", ("h1", "h2"), rendered=True),))
-    return E.named_reviews(pages, "tabelog", names, (Select("block", ("div",), ("ad",), token=True, rendered=True),))
+    blocks = (Select("block", ("div",), ("ad",), token=True, rendered=True),)
+    return E.named_reviews(pages, "tabelog", selects=blocks, names=(Select("name", ("h1", "h2"), rendered=True),))
+
+
+@query(
+    "restaurant_reviews_unclosed",
+    sql=f"""SELECT url AS restaurant_url, substring({_H1_TEXT}, 1, 60) AS restaurant_name, {_AD_TEXT} AS comment FROM pages, (VALUES (1), (2)) n(i)
+WHERE contains(html, '<div class="ad">') AND length({_AD_TEXT}) > 20""",
+)
+def restaurant_reviews_unclosed(spark, d):
+    """The same text as two list items, the first one never closed: each is a review of its own."""
+    pages = table(spark, d, "pages", heavy=True)
+    item = r'<ul><li class="ad">$1<li class="ad">$1</ul>'
+    pages = pages.withColumn("html", F.regexp_replace("html", '(?s)<div class="ad">(.*?)</div>', item))
+    blocks = (Select("block", ("li",), ("ad",), token=True, rendered=True),)
+    return E.named_reviews(pages, "tabelog", selects=blocks, names=(Select("name", ("h1", "h2"), rendered=True),))
+
+
+@query(
+    "named_news_comments",
+    sql=f"""SELECT 'https://news.example/' || page_id AS article_url, CASE WHEN page_id % 3 <> 0 THEN 'item ' || page_id ELSE substring({_H1_TEXT}, 1, 60) END AS article_title,
+  {_AD_RAW} AS comment FROM pages WHERE contains(html, '<div class="ad">') AND length({_AD_RAW}) > 5""",
+)
+def named_news_comments(spark, d):
+    """News comments carry the address and title of their article, not of the comment page."""
+    pages = table(spark, d, "pages", heavy=True)
+    article = F.concat(F.lit("https://news.example/"), F.col("page_id").cast("string"))
+    items = pages.select(article.alias("url"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("item "), F.col("page_id").cast("string"))).alias("name"))
+    comments = pages.withColumn("url", F.concat(article, F.lit("/comments")))
+    return landing.records("yahoo", comments, items, selects=(Select("block", ("div",), ("ad",), token=True),), names=(Select("name", ("h1",)),))
+
+
+@query(
+    "pages_to_landing", "tweets",
+    sql=""", t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+posts AS (SELECT doc_id, unnest(ls) AS l FROM t)
+SELECT '5ch' AS source, count(*) AS n FROM posts WHERE length(trim(l)) >= 5
+UNION ALL SELECT 'twitter', count(*) FROM tweets UNION ALL SELECT 'yahoo', 0 UNION ALL SELECT 'cosme', 0 UNION ALL SELECT 'kakaku', 0 UNION ALL SELECT 'tabelog', 0""",
+)
+def pages_to_landing(spark, d):
+    """All six sources through one plan into the landing folder; the pages hold none of the sites' classes."""
+    path = scratch_path(spark, "landing")
+    pages = table(spark, d, "pages")
+    threads = table(spark, d, "documents").select(
+        F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("thread_url"),
+        F.col("source").alias("thread_title"),
+        F.regexp_replace("text", r"(?d)(^|\n)([^\n])", "$1name<>sage<>2024<>$2").alias("content"),
+    )
+    fetched = {s: (pages, None) for s in ("yahoo", "cosme", "kakaku", "tabelog")}
+    landing.pages_to_landing({**fetched, "5ch": (threads, None), "twitter": (V.tweets(spark, d), V.users(spark, d))}, path)
+    found = None
+    for source in K.CANONICAL_NAMES:
+        n = read_landing(spark, path, source).agg(F.lit(source).alias("source"), F.count("*").alias("n"))
+        found = n if found is None else found.unionByName(n)
+    return found
 
 
 # --- forum ------------------------------------------------------------------------------------

@@ -20,7 +20,19 @@ from pyspark.sql import types as T
 
 # --- fixed values: HTML element classes -------------------------------------------------------
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("script style template noscript".split())
+# Text that is none: in a parsed page, and in one laid out with scripts running.
+_HIDDEN = frozenset("script style template".split())
+_UNSEEN = _HIDDEN | {"noscript"}
+# Start tags that end an open element by themselves, and the elements that search stops at.
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+}
 _BLOCK = frozenset(
     "address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section table tr ul".split()
@@ -88,6 +100,8 @@ class _Page(HTMLParser):
     def __init__(self, selects, base):
         super().__init__(convert_charrefs=True)
         self.selects, self.base = selects, base
+        self.laid_out = all(select.rendered for select in selects)
+        self.unseen = _UNSEEN if self.laid_out else _HIDDEN
         self.stack = []  # (tag, class, found elements it opened)
         self.depth = Counter()  # open elements by name
         self.pieces = []  # (kind of break or None, text)
@@ -97,6 +111,8 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
+        if self.laid_out:
+            self._imply(tag)
         self._break(tag, "br" if tag == "br" else None)
         opened, parts = [], set()
         for select in self.selects:
@@ -110,7 +126,33 @@ class _Page(HTMLParser):
             return
         self.stack.append((tag, attrs.get("class", ""), opened))
         self.depth[tag] += 1
-        self.hidden += tag in _HIDDEN
+        self.hidden += tag in self.unseen
+
+    def _imply(self, tag):
+        """Laid out as a browser does it, an item ends where the next one begins, and a paragraph where a block does."""
+        ends, stops = _ENDS.get(tag, (set(), set()))
+        if tag in _BLOCK and tag != "html":
+            ends = ends | {"p"}
+        if not any(self.depth[name] for name in ends):
+            return
+        cut = None
+        for at in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[at][0]
+            if name in ends:
+                cut = at
+                if tag != "tr" or name == "tr":
+                    break
+            elif name in stops or name in _BLOCK and name not in ("p", "li", "dt", "dd", "tr"):
+                break
+        while cut is not None and len(self.stack) > cut:
+            self._pop()
+
+    def _pop(self):
+        name, _, opened = self.stack.pop()
+        self.depth[name] -= 1
+        self._close(opened)
+        self.hidden -= name in self.unseen
+        return name
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -120,13 +162,8 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if not self.depth[tag]:
             return
-        while True:
-            name, _, opened = self.stack.pop()
-            self.depth[name] -= 1
-            self._close(opened)
-            self.hidden -= name in _HIDDEN
-            if name == tag:
-                break
+        while self._pop() != tag:
+            pass
         self._break(tag, "cell" if tag in ("td", "th") else None)
 
     def handle_data(self, data):

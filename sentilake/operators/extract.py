@@ -4,6 +4,8 @@ Input is a table of pages (page_id, url, html). A site's links and blocks are `S
 expressions below; any other page layout passes its own.
 """
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -217,12 +219,45 @@ def restaurant_names(pages: DataFrame, selects=RESTAURANT_NAME) -> DataFrame:
     return first_name(pages, selects).select("page_id", "url", name.alias("name"))
 
 
-def named_reviews(pages: DataFrame, source: str, names: DataFrame, selects=None) -> DataFrame:
-    """Reviews with their page's name, in the source's landing columns."""
-    reviews = comment_blocks(pages, source, selects).join(names.select("page_id", "url", "name"), "page_id")
-    url, title = {v: k for k, v in K.CANONICAL_NAMES[source].items()}, "article_title"
-    return reviews.select(
-        F.col("url").alias(url["article_url"]), F.col("name").alias(url[title]), "comment"
+NAME_SELECTS = {"yahoo": PAGE_TITLE, "cosme": PRODUCT_NAME, "kakaku": PAGE_TITLE, "tabelog": RESTAURANT_NAME}
+
+
+def _page_name(source, text, url) -> Column:
+    """A page's name from the element it is read from."""
+    if source == "tabelog":
+        return X.truncate(F.coalesce(text, url), K.RESTAURANT_NAME_CHARS)
+    if source == "kakaku":
+        name = X.truncate(X.strip(X.remove(text, K.PRICE_TITLE_TAIL)), K.PRICE_NAME_CHARS)
+        return X.or_else(name, X.url_segment(url))
+    return X.truncate(X.or_else(text, X.url_segment(url)), K.BEAUTY_NAME_CHARS)
+
+
+def named_reviews(pages: DataFrame, source: str, items: DataFrame | None = None, selects=None, names=None) -> DataFrame:
+    """Reviews with their page's name, in the source's landing columns. A page is parsed once for both.
+
+    `items` (url, name) are the items that a search found: their comment pages' reviews then carry the item's address and
+    its name, if it has one. Without them a review carries its own page's.
+    """
+    blocks, heads = selects or BLOCK_SELECTS[source], names or NAME_SELECTS[source]
+    if not all(s.rendered for s in blocks):  # text pieces as parsed, for the name too: one way to read a page
+        heads = tuple(replace(s, rendered=False) for s in heads)
+    found = page_elements(pages, (*blocks, *heads))
+    page = W.partitionBy("page_id").orderBy(F.col("part") != "name", "pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = F.first(F.when(F.col("part") == "name", F.col("text"))).over(page)
+    read = found.withColumn("_name", first).where(F.col("part") == "block")
+    kept = X.keep_where(read, "comment", X.clean_comment(source, "text"), lambda c: X.long_enough(source, c))
+    kept = kept.select("page_url", "comment", _page_name(source, F.col("_name"), F.col("page_url")).alias("_name"))
+    if items is not None:
+        listed = items.select(F.col("url").alias("_url"), F.col("name").alias("_listed"), comment_target(F.lit(source), F.col("url")).alias("page_url"))
+        listed = listed.groupBy("page_url").agg(F.min_by(F.struct("_url", "_listed"), "_url").alias("_item"))
+        kept = kept.join(listed, "page_url", "left").select(
+            F.coalesce("_item._url", "page_url").alias("page_url"), "comment", F.coalesce("_item._listed", "_name").alias("_name")
+        )
+    own = {common: name for name, common in K.CANONICAL_NAMES[source].items()}
+    return kept.select(
+        F.col("page_url").alias(own.get("article_url", "article_url")),
+        F.col("_name").alias(own.get("article_title", "article_title")),
+        "comment",
     )
 
 

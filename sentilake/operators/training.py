@@ -88,9 +88,12 @@ def with_weight(rows: DataFrame, label: str = "label_id") -> DataFrame:
 
 def gram_stages(n: int = 2, features: int = 1 << 18) -> list:
     """Overlapping character n-grams of the lower-cased text, counted by hash. Needs no word breaking and no fitting."""
-    grams = f"regexp_extract_all(lower(_text), '(?s)(?=({'.' * n}))', 1)"
+    grams = "slice(_chars, 1, size(_chars) - {0})".format(n - 1)
+    for i in range(1, n):
+        grams = f"zip_with({grams}, slice(_chars, {i + 1}, size(_chars) - {n - 1}), (a, b) -> concat(a, b))"
     return [
-        SQLTransformer(statement=f"SELECT *, {grams} AS _grams FROM __THIS__"),
+        SQLTransformer(statement="SELECT *, regexp_extract_all(lower(_text), '(?s).', 0) AS _chars FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, CASE WHEN size(_chars) >= {n} THEN {grams} ELSE array() END AS _grams FROM __THIS__"),
         HashingTF(numFeatures=features, inputCol="_grams", outputCol="_tf"),
     ]
 

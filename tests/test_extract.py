@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sentilake.functions.markup import Select, page_elements
 from sentilake.operators import extract as E
 from sentilake.operators import forum, tweets
 
@@ -102,12 +103,39 @@ def test_restaurant_reviews_with_name(rows):
         "2024/10訪問 1 回目 ハンバーガーがとても美味しかったので、また行きたいです。<br>いいね 3</div>"
     )
     pages = page(rows, html, "https://tabelog.com/tokyo/A1/A2/13000001/dtlrvwlst/")
-    got = E.named_reviews(pages, "tabelog", E.restaurant_names(pages)).collect()
+    got = E.named_reviews(pages, "tabelog").collect()
     assert [tuple(r) for r in got] == [
         ("https://tabelog.com/tokyo/A1/A2/13000001/dtlrvwlst/", "モス 新宿店", "ハンバーガーがとても美味しかったので、また行きたいです。")
     ]
 
 
+def test_unclosed_items_are_separate_reviews(rows):
+    long = "ハンバーガーがとても美味しかったので、また行きたいです"
+    html = f'<ul><li class="js-rvw-item-clickable-area">{long}一<li class="js-rvw-item-clickable-area">{long}二</ul>'
+    got = E.named_reviews(page(rows, html, "https://t/"), "tabelog").collect()
+    assert sorted(r.comment for r in got) == sorted([f"{long}一", f"{long}二"])
+    html = '<p class="body">' + '<p class="body">0123456789'.join([""] * 2000)
+    got = page_elements(page(rows, html), (Select("block", ("p",), rendered=True),)).collect()
+    assert sum(len(r.text) for r in got) <= len(html)
+
+
+def test_noscript_counts_as_text_where_a_page_is_parsed(rows):
+    pages = page(rows, "<p>a<noscript>b</noscript><script>c</script></p>")
+    parsed, laid_out = (page_elements(pages, (Select("block", ("p",), rendered=r),)).first().text for r in (False, True))
+    assert (parsed, laid_out) == ("ab", "a")
+
+
+def test_news_reviews_carry_their_article(rows):
+    pages = rows([(1, "https://n/a/comments", '<title>T</title><p class="sc-169yn8p-10">とても良い記事でした</p>')], "page_id long, url string, html string")
+    items = rows([("https://n/a", "記事")], "url string, name string")
+    from sentilake.operators.extract import NEWS_COMMENT
+
+    cls = NEWS_COMMENT.classes[0]
+    pages = pages.withColumn("html", F.regexp_replace("html", "sc-169yn8p-10", cls))
+    assert [tuple(r) for r in E.named_reviews(pages, "yahoo", items).collect()] == [("https://n/a", "記事", "とても良い記事でした")]
+    assert [tuple(r) for r in E.named_reviews(pages, "yahoo").collect()] == [("https://n/a/comments", "T", "とても良い記事でした")]
+
+
 def test_names(rows):
     pages = rows(
         [
