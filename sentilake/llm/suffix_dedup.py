@@ -369,12 +369,10 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", window=WINDOW, gram=G
     )
     anchors = found.filter("kind = 0").select("k", "h", "packed")
     settled = found.filter("kind = 1").select("k", F.col("h").alias("s"), F.col("packed").alias("e")).distinct()
-    met = (
-        anchors.groupBy("h")
-        .agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("packed").alias("p0"), F.max("packed").alias("p1"), F.count("*").alias("n"))
-        .filter("k0 <> k1 or p0 <> p1")
-        .select("h", (F.col("n") > hot).alias("hot"))
-    )
+    # An anchor is met again if its occurrences differ in text or place: two 64-bit digests of one anchor's rows.
+    place = F.xxhash64("k", "packed")
+    met = anchors.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n"))
+    met = met.filter("lo <> hi").select("h", (F.col("n") > hot).alias("hot"))
     near = anchors.join(met, "h").groupBy("k", "h", "packed").agg(F.first("hot").alias("hot"))
     near = near.groupBy("k").agg(F.collect_list(F.struct("h", "packed", "hot")).alias("a"))
     texts = rows.groupBy("k").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
