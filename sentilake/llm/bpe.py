@@ -22,7 +22,7 @@ from sentilake.llm.common import small_batches
 from sentilake.llm.suffix_dedup import text_key
 
 LEAF = 32_768
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LOOKAHEAD = 3
 CACHED_PIECES = 500_000
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)

@@ -14,7 +14,7 @@ import pickle
 import numpy as np
 from pyspark.sql import functions as F
 
-from sentilake.llm.bytehash import string_column
+from sentilake.llm.bytehash import parts, string_column
 from sentilake.llm.common import small_batches
 
 SAMPLE = 1200
@@ -24,7 +24,7 @@ CHUNK, OVERLAP = 512, 64
 BLOCK = OVERLAP  # chunks are runs of whole blocks
 PER_CHUNK = CHUNK // BLOCK
 EPOCHS, BATCH, RATE, SEED = 20, 64, 0.004, 11
-PART = 1 << 19
+PART = 1 << 18
 
 
 def initial(seed=SEED):
@@ -109,9 +109,13 @@ def log_odds(model, size, best):
 
 
 def probabilities(model, data, offsets):
+    """Of label 1 for each text; a few texts are worked on at a time."""
+    found = [_probabilities(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in parts(offsets, PART)]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
+def _probabilities(model, data, offsets):
     n = len(offsets) - 1
-    if n == 0:
-        return np.zeros(0)
     text, size, best, _, _ = pooled(model, data, offsets)
     z, _, _ = log_odds(model, size, best)
     weight = size + 1.0

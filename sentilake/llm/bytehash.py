@@ -6,7 +6,7 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def _powers(base, n):
@@ -23,12 +23,11 @@ _tables = {}
 
 
 def powers(n):
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept up to one segment."""
-    size = max(1 << 16, 1 << (n - 1).bit_length())
-    if size not in _tables:
-        _tables[size] = (_powers(BASE, size), _powers(INVERSE, size))
-    up, down = _tables[size]
-    return up[:n], down[:n]
+    """BASE**i and BASE**-i modulo 2**64 for i < n; the longest pair asked for is kept."""
+    if n > _tables.get("size", 0):
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        _tables.update(size=size, up=_powers(BASE, size), down=_powers(INVERSE, size))
+    return _tables["up"][:n], _tables["down"][:n]
 
 
 def mix(x):
@@ -84,6 +83,15 @@ def range_hashes(data, starts, ends):
     return out
 
 
+def parts(offsets, size=SEGMENT):
+    """(first, end) of runs of whole texts of about so many bytes; a longer text is a run of its own."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 def string_column(column):
     """Bytes and row offsets of an Arrow string or binary column; nulls count as empty."""
     import pyarrow as pa

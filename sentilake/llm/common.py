@@ -14,6 +14,6 @@ def stage(df, name):
     return df.sparkSession.read.parquet(path)
 
 
-def small_batches(spark, rows=256):
-    """Whole texts go to Python: keep an Arrow batch at a few hundred rows."""
+def small_batches(spark, rows=64):
+    """Whole texts go to Python: keep an Arrow batch at a few dozen rows, as many can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sentilake.llm.bytehash import mix, range_hashes, string_column
+from sentilake.llm.bytehash import mix, parts, range_hashes, string_column
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(9, 14)]] = True
@@ -28,6 +28,13 @@ def words(data, offsets, lower=True):
 def shingle_sets(column, size, lower=True):
     """Sorted distinct hashes of each text's shingles of so many words; of all its words if it has fewer."""
     data, offsets = string_column(column)
+    out = []
+    for a, b in parts(offsets):
+        out += _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, lower)
+    return out
+
+
+def _sets(data, offsets, size, lower):
     text, h = words(data, offsets, lower)
     bounds = np.searchsorted(text, np.arange(len(offsets)))
     n = max(0, len(h) - size + 1)
