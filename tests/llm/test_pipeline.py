@@ -1,8 +1,10 @@
+import random
 import re
 
 import corpus_pipeline as cp
 from sentilake.llm import byte_cnn
 from tests.llm.test_jaccard_join import brute as brute_links
+from tests.llm.test_jaccard_join import shingles
 from tests.llm.test_pii import base
 from tests.llm.test_suffix_dedup import brute as brute_repeats
 
@@ -71,3 +73,23 @@ def test_run_and_edge_rows(spark, rows):
     for _, f in cp.STAGES[1:]:
         assert f(spark, docs, DATA).count() == (3 if f is cp.drop_near_copies else 4)
         assert f(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_near_copies_by_five_words(spark, rows):
+    """All pairs at 5 words and 0.8; of 50 words with one changed, 4-word shingles share less than 85 %."""
+    rnd = random.Random(7)
+    texts = []
+    for n in (30, 50, 50, 51, 90, 200):
+        base = [f"w{rnd.randint(0, 5000)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for places in ((n // 2,), (n // 3, 2 * n // 3), (n // 5, n // 2, 4 * n // 5)):
+            texts.append(" ".join(f"new{rnd.randint(0, 5000)}" if i in places else w for i, w in enumerate(base)))
+    sets = [shingles(t, 5) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    docs = rows([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.drop_near_copies(spark, docs, DATA).collect()} == {i for i, g in enumerate(group) if i == g}
+    assert {i for i, _, c in brute_links(list(enumerate(texts))) if i == c} != set(group)
