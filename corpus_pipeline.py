@@ -32,9 +32,10 @@ def drop_near_copies(spark, docs, sf_dir):
 
 
 def remove_repeats(spark, docs, sf_dir):
-    """Passages that repeat are cut out of every text; a text of which nothing is left goes, one that was empty stays."""
-    _, kept = suffix_dedup.remove_repeats(docs)
-    kept = kept.filter("n_bytes = 0 or kept_text <> ''").select("k", "kept_text")
+    """Passages of over 50 words, or of 400 bytes, that repeat are cut out of every text; a text of which nothing is left goes,
+    one that was empty stays."""
+    _, kept = suffix_dedup.remove_repeats(docs, words=51)
+    kept = kept.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^ \t-\r]")).select("k", "kept_text")
     # The old texts stay behind: only their digests travel.
     rest = docs.select(suffix_dedup.text_key(F.col("text")).alias("k"), F.col("text").isNull().alias("none"), *(c for c in docs.columns if c != "text"))
     text = F.when(~F.col("none"), F.col("kept_text"))

@@ -8,11 +8,8 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(9, 14)]] = True
 
 
-def words(data, offsets, lower=True):
-    """(text, hash) of every word of every text."""
-    if lower and len(data):
-        capital = (data >= 65) & (data <= 90)
-        data = np.where(capital, data + 32, data).astype(np.uint8)
+def word_ranges(data, offsets):
+    """(text, start, end) of every word of every text."""
     inside = ~SPACES[data] if len(data) else np.zeros(0, dtype=bool)
     begin = np.zeros(len(data) + 1, dtype=bool)
     begin[offsets] = True
@@ -22,6 +19,15 @@ def words(data, offsets, lower=True):
     stop[:-1] &= ~inside[1:] | begin[1 : len(data)]
     starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
     text = np.searchsorted(offsets, starts, side="right") - 1
+    return text, starts, ends
+
+
+def words(data, offsets, lower=True):
+    """(text, hash) of every word of every text."""
+    if lower and len(data):
+        capital = (data >= 65) & (data <= 90)
+        data = np.where(capital, data + 32, data).astype(np.uint8)
+    text, starts, ends = word_ranges(data, offsets)
     return text, range_hashes(data, starts, ends)
 
 

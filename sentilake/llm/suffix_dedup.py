@@ -15,6 +15,9 @@ To run it on many machines the collection is cut so that strings which can share
    common prefixes as minima over the old ones. Suffixes in different columns cannot hold the same window, so only the
    current column's order is kept. Right columns, the anchor (equal in a group) and left columns make the suffix.
 
+With ``words`` the same construction also runs over word symbols: every word of a text becomes ``WORD`` bytes of its hash,
+and the window is so many words. Texts lose what either window covers.
+
 Strings met twice in one text are settled there and enter the collection once; equal texts enter once. An anchor with
 more than ``HOT`` occurrences is not collected: its windows are counted by digest, with partial sums before the shuffle.
 """
@@ -24,14 +27,30 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from sentilake.llm.bytehash import SEGMENT, gram_hashes, mix, range_hashes, string_column
+from sentilake.llm.bytehash import SEGMENT, gram_hashes, mix, parts, range_hashes, string_column
 from sentilake.llm.common import small_batches, stage
+from sentilake.llm.shingles import word_ranges
 
 WINDOW = 400
 GRAM = 160
 HOT = 2000
 BATCH_STRINGS = 20_000
-END = 0xFF  # no byte of UTF-8
+END = 0xFF  # no byte of UTF-8, nor of a word's symbol
+WORD = 8
+WORD_GRAM = 20  # words
+
+
+def word_symbols(data, offsets):
+    """Texts as strings of WORD bytes a word, and their offsets; words are what stands between ASCII spaces, by case."""
+    symbols, ends = [np.zeros(0, dtype=np.uint8)], [np.zeros(1, dtype=np.int64)]
+    done = 0
+    for a, b in parts(offsets):
+        text, starts, stops = word_ranges(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        h = range_hashes(data[offsets[a] : offsets[b]], starts, stops)
+        symbols.append(np.minimum(h.view(np.uint8), END - 1))
+        ends.append(done + np.searchsorted(text, np.arange(b - a), side="right") * WORD)
+        done += len(h) * WORD
+    return np.concatenate(symbols), np.concatenate(ends)
 
 
 def _window_anchors(data, ends, window, gram):
@@ -184,12 +203,14 @@ def unpack(packed):
     return place, place - ((packed >> 12) & 1023), place - ((packed >> 2) & 1023)
 
 
-def _anchor_rows(window, gram):
+def _anchor_rows(window, gram, words=False):
     def rows(batches):
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = string_column(batch.column(1))
+            if words:
+                data, offsets = word_symbols(data, offsets)
             (row, h, place, lo, hi, again), spans = text_anchors(data, offsets, window, gram)
             keys = batch.column(0)
             kind = np.concatenate([np.zeros(len(row), dtype=np.int8), np.ones(len(spans[0]), dtype=np.int8)])
@@ -206,7 +227,7 @@ def _anchor_rows(window, gram):
     return rows
 
 
-def _string_rows(window, gram):
+def _string_rows(window, gram, words=False):
     """Text and its anchors to strings: the bytes its windows cover, left of the anchor, then right of it."""
 
     def rows(batches):
@@ -216,6 +237,8 @@ def _string_rows(window, gram):
             for k, text, anchors in zip(*(batch.column(i) for i in range(3)), strict=True):
                 raw = text.as_buffer()
                 data = memoryview(raw)
+                if words:
+                    data = memoryview(word_symbols(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0])
                 h = anchors.values.field("h").to_numpy(zero_copy_only=False)
                 packed = anchors.values.field("packed").to_numpy(zero_copy_only=False)
                 place, lo, hi = unpack(packed)
@@ -321,30 +344,47 @@ def _window_rows(window, gram):
     return rows
 
 
-def _cut_rows(batches):
-    """Text and its repeated spans to what is left of it."""
-    import pyarrow as pa
+def _word_spans(data, s, e):
+    """Spans over word symbols to spans of bytes, up to the next word."""
+    _, starts, _ = word_ranges(data, np.array([0, len(data)]))
+    first, last = -(-s // WORD), e // WORD
+    bounds = np.append(starts, len(data))
+    return bounds[first], bounds[last]
 
-    for batch in batches:
-        out = []
-        for k, text, spans, copies in zip(*(batch.column(i) for i in range(4)), strict=True):
-            data = np.frombuffer(text.as_buffer(), dtype=np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
-            if spans.is_valid and len(spans):
-                s, e = (spans.values.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e"))
-                _, s, e = merged(np.zeros(len(s), dtype=np.int64), s, e)
-            else:
+
+def _cut_rows(window, words):
+    """Text and its repeated spans to what is left of it; a copy of another text that holds a window goes whole."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for k, text, spans, copies in zip(*(batch.column(i) for i in range(4)), strict=True):
+                data = np.frombuffer(text.as_buffer(), dtype=np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
                 s = e = np.zeros(0, dtype=np.int64)
-            gone = np.zeros(len(data) + 1, dtype=np.int8)
-            gone[s] += 1
-            gone[e] -= 1
-            kept = data[np.cumsum(gone[:-1]) == 0].tobytes()
-            out.append((k.as_py(), len(data), int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            if out
-            else [pa.array([], t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())],
-            names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
-        )
+                if spans.is_valid and len(spans):
+                    s, e, by_word = (spans.values.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e", "by_word"))
+                    by_word = by_word.astype(bool)
+                    if by_word.any():
+                        found = _word_spans(data, s[by_word], e[by_word])
+                        s, e = (np.concatenate([x[~by_word], y]) for x, y in zip((s, e), found, strict=True))
+                if copies.as_py() > 1 and (len(data) >= window or words and len(word_ranges(data, np.array([0, len(data)]))[1]) >= words):
+                    s, e = np.zeros(1, dtype=np.int64), np.full(1, len(data))
+                _, s, e = merged(np.zeros(len(s), dtype=np.int64), s, e)
+                gone = np.zeros(len(data) + 1, dtype=np.int8)
+                gone[s] += 1
+                gone[e] -= 1
+                kept = data[np.cumsum(gone[:-1]) == 0].tobytes()
+                out.append((k.as_py(), len(data), int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+                if out
+                else [pa.array([], t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())],
+                names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+            )
+
+    return rows
 
 
 def text_key(column):
@@ -352,20 +392,13 @@ def text_key(column):
     return F.unhex(F.substring(F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def remove_repeats(docs, id_col="doc_id", text_col="text", window=WINDOW, gram=GRAM, hot=HOT, batch_strings=BATCH_STRINGS):
-    """Texts without the bytes that a repeated string of ``window`` bytes covers.
-
-    One row for each row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, kept_text (an UTF-8 character of which
-    a removal left only a part is dropped there, not in the digest). Null text counts as empty; texts shorter than the
-    window stay whole; rows with equal text, also repeated rows, are copies of each other, so long ones are removed whole;
-    null and repeated ids are carried as they are. Other columns of docs are not read. An empty table gives none.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def _repeats(rows, texts, name, window, gram, hot, batch_strings, by_word=False):
+    """(k, s, e, by_word) of the repeated spans of texts, in bytes, or in word symbols."""
+    spark = rows.sparkSession
+    least = window // WORD * 2 - 1 if by_word else window
     found = stage(
-        rows.filter(F.octet_length("t") >= window).select("k", "t").mapInArrow(_anchor_rows(window, gram), "k binary, h long, packed long, kind byte"),
-        "anchors",
+        rows.filter(F.octet_length("t") >= least).select("k", "t").mapInArrow(_anchor_rows(window, gram, by_word), "k binary, h long, packed long, kind byte"),
+        name,
     )
     anchors = found.filter("kind = 0").select("k", "h", "packed")
     settled = found.filter("kind = 1").select("k", F.col("h").alias("s"), F.col("packed").alias("e")).distinct()
@@ -375,12 +408,11 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", window=WINDOW, gram=G
     met = met.filter("lo <> hi").select("h", (F.col("n") > hot).alias("hot"))
     near = anchors.join(met, "h").groupBy("k", "h", "packed").agg(F.first("hot").alias("hot"))
     near = near.groupBy("k").agg(F.collect_list(F.struct("h", "packed", "hot")).alias("a"))
-    texts = rows.groupBy("k").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
     with_anchors = texts.join(near, "k")
     cut = lambda flag: (
         with_anchors.select("k", "t", F.filter("a", lambda x: x["hot"] == F.lit(flag)).alias("a"))
         .filter(F.size("a") > 0)
-        .mapInArrow(_string_rows(window, gram), "k binary, h long, packed long, sides binary")
+        .mapInArrow(_string_rows(window, gram, by_word), "k binary, h long, packed long, sides binary")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = cut(False).repartition(n, "h").sortWithinPartitions("h")
@@ -388,13 +420,30 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", window=WINDOW, gram=G
     windows = cut(True).mapInArrow(_window_rows(window, gram), "k binary, w binary, s long")
     twice = windows.groupBy("w").count().filter("count > 1").select("w")
     hot_spans = windows.join(twice, "w").select("k", "s", (F.col("s") + window).alias("e"))
-    spans = spans.unionByName(hot_spans).unionByName(settled)
-    per_text = spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.octet_length("t").cast("long").alias("e")))
+    return spans.unionByName(hot_spans).unionByName(settled).withColumn("by_word", F.lit(by_word))
+
+
+def remove_repeats(docs, id_col="doc_id", text_col="text", window=WINDOW, gram=GRAM, hot=HOT, batch_strings=BATCH_STRINGS, words=None, word_gram=WORD_GRAM):
+    """Texts without the bytes that a repeated string of ``window`` bytes, or of ``words`` words if given, covers.
+
+    Words are equal by bytes, whatever white space stands between them; the space from a cut word to the next goes with it.
+    One row for each row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, kept_text (an UTF-8 character of which
+    a removal left only a part is dropped there, not in the digest). Null text counts as empty; texts shorter than each
+    window stay whole; rows with equal text, also repeated rows, are copies of each other, so long ones are removed whole;
+    null and repeated ids are carried as they are. Other columns of docs are not read. An empty table gives none.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = rows.groupBy("k").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
+    spans = _repeats(rows, texts, "anchors", window, gram, hot, batch_strings)
+    if words:
+        spans = spans.unionByName(_repeats(rows, texts, "word-anchors", words * WORD, word_gram * WORD, hot, batch_strings, by_word=True))
+    per_text = spans.groupBy("k").agg(F.collect_list(F.struct("s", "e", "by_word")).alias("spans"))
     kept = (
         texts.join(per_text, "k", "left")
-        .select("k", "t", F.when((F.col("copies") > 1) & (F.octet_length("t") >= window), whole).otherwise(F.col("spans")).alias("spans"), "copies")
-        .mapInArrow(_cut_rows, "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+        .select("k", "t", "spans", "copies")
+        .mapInArrow(_cut_rows(window, words), "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     )
     return rows.select("id", "k"), kept
 

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline as cp
 from sentilake.llm import byte_cnn
@@ -93,3 +94,40 @@ def test_near_copies_by_five_words(spark, rows):
     docs = rows([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in cp.drop_near_copies(spark, docs, DATA).collect()} == {i for i, g in enumerate(group) if i == g}
     assert {i for i, _, c in brute_links(list(enumerate(texts))) if i == c} != set(group)
+
+
+def without_repeats(texts, words=51, window=400):
+    """What is left of each text without repeated windows of so many words or bytes."""
+    raw = [t.encode() for t in texts]
+    runs = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)] for x in raw]
+    tokens = [[x[a:b] for a, b in r] for x, r in zip(raw, runs, strict=True)]
+    by_byte = Counter(x[i : i + window] for x in raw for i in range(len(x) - window + 1))
+    by_word = Counter(tuple(t[i : i + words]) for t in tokens for i in range(len(t) - words + 1))
+    out = []
+    for x, r, t in zip(raw, runs, tokens, strict=True):
+        gone = bytearray(len(x))
+        for i in range(len(x) - window + 1):
+            if by_byte[x[i : i + window]] > 1:
+                gone[i : i + window] = b"\1" * window
+        for i in range(len(t) - words + 1):
+            if by_word[tuple(t[i : i + words])] > 1:
+                a, b = r[i][0], r[i + words][0] if i + words < len(r) else len(x)
+                gone[a:b] = b"\1" * (b - a)
+        out.append(bytes(c for c, g in zip(x, gone, strict=True) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def test_repeats_of_over_50_words(spark, rows):
+    """Brute force over real texts and passages of 50 and 51 short words, also laid out otherwise, twice in a text, and as a whole text."""
+    rnd = random.Random(9)
+    words = lambda n: [rnd.choice("abcdé") + str(rnd.randint(0, 99)) for _ in range(n)]
+    p, q, r = words(51), words(50), words(70)
+    line = " ".join
+    texts = [line(words(9) + p + words(9)), line(words(5)) + "\n" + "\t".join(p) + "\n\n" + line(words(5)), line(words(3) + q + words(3)), line(q), line(words(2) + r + words(8) + r), " " + line(r)]
+    texts += ["x" * 100 + line(p[:50]), "long" * 100 + " 1", "0 " + "long" * 100]
+    texts += sorted({x.text for x in spark.read.parquet(f"{DATA}/documents.parquet").collect()})
+    docs = rows([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: t for i, (t, old) in enumerate(zip(without_repeats(texts), texts, strict=True)) if t.strip() or t == old}
+    got = {x.doc_id: (x.text, x.n_chars) for x in cp.remove_repeats(spark, docs, DATA).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert want[1].endswith("\n" + texts[1].split("\n")[-1]) and want[2] == texts[2] and 5 not in want
