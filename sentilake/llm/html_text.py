@@ -4,7 +4,7 @@ Events are taken as they come, no tree is built. A block (paragraph, heading, li
 ratio is the characters of its text to the tags in it. Text of links and of regions that announce themselves as something
 else (navigation, footer, form, notice, advert, comments by tag, role or class) counts as none. Ratios are smoothed by a
 Gaussian and the lines above a threshold, a share of their spread, are content; clusters of content lines reach over the
-container they lie in: the article element, or else what the heaviest cluster is nested in, with its short lines.
+container they lie in: the article element, or else the innermost one that all clusters lie in, with its short lines.
 """
 
 import math
@@ -93,16 +93,16 @@ class Lines(HTMLParser):
         self.open.append((tag, hidden, aside, key))
 
     def _pop(self):
-        tag, hidden, aside, _ = self.open.pop()
+        tag, hidden, aside, key = self.open.pop()
         if tag in BLOCKS:
-            self._flush_closed(tag, hidden, aside)
+            self._flush_closed(tag, hidden, aside, key)
         self.hidden -= hidden
         self.aside -= aside
         self.links -= tag == "a"
 
-    def _flush_closed(self, tag, hidden, aside):
+    def _flush_closed(self, tag, hidden, aside, key):
         # The line belongs to what is closing: put it back for the moment.
-        self.open.append((tag, hidden, aside, 0))
+        self.open.append((tag, hidden, aside, key))
         self._flush()
         self.open.pop()
 
@@ -168,13 +168,13 @@ def select(lines):
         text, linked, _, _, path = lines[i]
         for j in range(len(path) + 1):
             weights[path[:j]] = weights.get(path[:j], 0) + len(text) - linked
-    # An article holds the text if there is one; else the innermost container that has most of the content.
+    # An article holds the text if there is one; else the innermost container that has all of the content.
     articles = [p for p in weights if p and p[-1] < 0]
     total = weights[()]
     if articles and max(weights[p] for p in articles) * 2 >= total:
         tops = [p for p in articles if not any(p[:i] in weights and p[i - 1] < 0 for i in range(1, len(p)))]
     else:
-        tops = [max((p for p in weights if weights[p] * 10 >= 7 * total), key=len)]
+        tops = [max((p for p in weights if weights[p] == total), key=len)]
     return [i for i, x in enumerate(lines) if not x[3] and any(x[4][: len(p)] == p for p in tops) and (len(x[0]) > x[1] or content[i])]
 
 

@@ -61,3 +61,20 @@ def test_operator(rows):
     want = [(i, "u", t, len(t)) for i, (_, t) in enumerate(CASES.values())] + [(None, None, "", 0), (0, "u", CASES["article"][1], len(CASES["article"][1]))]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert ht.main_text(rows([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = " ".join([SENTENCE] * 6)
+TWICE = f"{SENTENCE} {SENTENCE}"
+WHOLE = {
+    "around a list": (f"<div id=content><p>{SENTENCE}</p><ul><li>{LONG}</li><li>{LONG}</li></ul><p>End. {SENTENCE}</p></div>", [SENTENCE, LONG, LONG, f"End. {SENTENCE}"]),
+    "sections": (f"<div><section><p>{LONG}</p><p>{LONG}</p></section><section><p>{TWICE}</p></section></div>", [LONG, LONG, TWICE]),
+    "table": (f"<div><p>{SENTENCE}</p><table><tr><td>{LONG}</td></tr><tr><td>{LONG}</td></tr></table></div>", [SENTENCE, LONG, LONG]),
+    "text after the last block": (f"<article><p>{LONG}</p>{SENTENCE}</article>", [LONG, SENTENCE]),
+    "outside stays out": (f"<div class=sidebar><p>{SENTENCE}</p></div><div><p>{LONG}</p><ul><li>{LONG}</li></ul></div>", [LONG, LONG]),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_text_around_wrappers(name):
+    html, want = WHOLE[name]
+    assert ht.extract(page(html)).split("\n") == want
