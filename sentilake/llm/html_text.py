@@ -35,6 +35,7 @@ NAMES = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CONTENT = frozenset(("article", "main"))
+LINKED = frozenset("p h1 h2 h3 h4 h5 h6".split())  # text even if all of it is a link
 SIGMA = 1.0
 SHARE = 0.5
 
@@ -49,7 +50,7 @@ def _announces(name, inside):
 
 
 class Lines(HTMLParser):
-    """Lines of a page in order: text, link characters, tags, what contains them, and whether that is something else."""
+    """Lines of a page in order: text, link characters, tags, whether they are something else, what contains them, and their block's tag."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -60,7 +61,8 @@ class Lines(HTMLParser):
     def _flush(self):
         text = " ".join("".join(self.text).split())  # any white space, no-break spaces too
         if text:
-            self.lines.append((text, self.linked, self.tags, bool(self.aside), tuple(x[3] for x in self.open if x[3])))
+            block = next((x[0] for x in reversed(self.open) if x[0] in BLOCKS), "")
+            self.lines.append((text, self.linked, self.tags, bool(self.aside), tuple(x[3] for x in self.open if x[3]), block))
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -138,7 +140,7 @@ class Lines(HTMLParser):
         if not self.hidden:
             self.text.append(data)
             if self.links:
-                self.linked += len(data.strip())
+                self.linked += len(" ".join(data.split()))
 
     def finish(self):
         self.close()
@@ -158,14 +160,14 @@ def smoothed(values, sigma=SIGMA):
 
 def select(lines):
     """Indices of the lines of the main text."""
-    ratio = np.array([0.0 if aside else max(0, len(text) - linked) / max(1, tags) for text, linked, tags, aside, _ in lines])
+    ratio = np.array([0.0 if x[3] else max(0, len(x[0]) - x[1]) / max(1, x[2]) for x in lines])
     if not ratio.any():
-        return []
+        return [i for i, x in enumerate(lines) if not x[3] and any(k < 0 for k in x[4])]  # links alone are text in an article only
     level = smoothed(ratio)
     content = (level >= min(level.mean(), SHARE * level.std())) & (ratio > 0)
     weights = {}
     for i in np.flatnonzero(content).tolist():
-        text, linked, _, _, path = lines[i]
+        text, linked, _, _, path, _ = lines[i]
         for j in range(len(path) + 1):
             weights[path[:j]] = weights.get(path[:j], 0) + len(text) - linked
     # An article holds the text if there is one; else the innermost container that has all of the content.
@@ -173,9 +175,28 @@ def select(lines):
     total = weights[()]
     if articles and max(weights[p] for p in articles) * 2 >= total:
         tops = [p for p in articles if not any(p[:i] in weights and p[i - 1] < 0 for i in range(1, len(p)))]
+        linked = set(range(len(lines)))
     else:
         tops = [max((p for p in weights if weights[p] == total), key=len)]
-    return [i for i, x in enumerate(lines) if not x[3] and any(x[4][: len(p)] == p for p in tops) and (len(x[0]) > x[1] or content[i])]
+        linked = _linked_text(lines, content)
+    return [i for i, x in enumerate(lines) if not x[3] and any(x[4][: len(p)] == p for p in tops) and (len(x[0]) > x[1] or i in linked)]
+
+
+def _linked_text(lines, content):
+    """Lines that are text though wholly links: headings, paragraphs, what stands among the content, lists beside a content line."""
+    at = np.flatnonzero(content)
+    out = {i for i, x in enumerate(lines) if x[5] in LINKED or at[0] < i < at[-1]}
+    for step in (1, -1):
+        beside = None
+        for i in range(len(lines))[::step]:
+            text, linked, _, aside, path, _ = lines[i]
+            if content[i]:
+                beside = path
+            elif aside or len(text) > linked:
+                beside = None
+            elif beside is not None and path[: len(beside)] == beside:
+                out.add(i)
+    return out
 
 
 def extract(html):

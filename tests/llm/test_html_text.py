@@ -72,9 +72,22 @@ WHOLE = {
     "text after the last block": (f"<article><p>{LONG}</p>{SENTENCE}</article>", [LONG, SENTENCE]),
     "outside stays out": (f"<div class=sidebar><p>{SENTENCE}</p></div><div><p>{LONG}</p><ul><li>{LONG}</li></ul></div>", [LONG, LONG]),
 }
+LINKS = {
+    "article": (f"<article><h1><a href=x>Title</a></h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><ul><li><a>one</a></li><li><a>two</a></li></ul><p><a>Full report</a></p></article>", ["Title", LONG, LONG, LONG, "one", "two", "Full report"]),
+    "no article": (f"<div><h1><a href=x>Title</a></h1><p>{LONG}</p><p>{LONG}</p><ul><li><a>one</a></li><li><a>two</a></li></ul><p><a>Full report</a></p></div>", ["Title", LONG, LONG, "one", "two", "Full report"]),
+    "unnamed menu": (f"<div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div><p>{LONG}</p><p>{LONG}</p></div>", [LONG, LONG]),
+    "wrapped": (f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><ul><li>see <a>the{chr(10)}{' ' * 40}report</a></li></ul></article>", [LONG, LONG, LONG, "see the report"]),
+    "aside": (f"<article><p>{LONG}</p><nav><p><a>next</a></p></nav><p>{LONG}</p></article>", [LONG, LONG]),
+}
 
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_text_around_wrappers(name):
     html, want = WHOLE[name]
     assert ht.extract(page(html)).split("\n") == want
+
+
+@pytest.mark.parametrize("name", LINKS)
+def test_link_blocks(name):
+    html, want = LINKS[name]
+    assert ht.extract(page(html)).split("\n") == want
