@@ -20,15 +20,26 @@ def classify(spark, docs, sf_dir):
     return scored.filter("score_of_quality >= 0.5").drop("score_of_quality")
 
 
+def row_keys(docs):
+    """docs with __key: the id, those without one last, and 128 bits of the whole row. Rows of one key are equal."""
+    rest = F.to_json(F.struct(F.col("text").isNull().alias("none"), *(c for c in docs.columns if c != "text")))
+    digest = suffix_dedup.text_key(F.concat(F.hex(suffix_dedup.text_key(F.col("text"))), rest))
+    return docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
+
+
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each group of linked documents, five words a shingle and a similarity of 0.8 or more, the one with the least id stays.
+    """Of each group of linked rows, five words a shingle and a similarity of 0.8 or more, the one with the least key stays.
 
-    Rows that share an id are one document, of which one row stays. A row without an id stays, as none can be told apart.
+    Rows link by their texts only: those that share an id, or have none, are different documents unless they link. Blank
+    texts link with nothing and stay.
     """
-    linked = jaccard_join.link_sets(docs, shingle=5, threshold=80)
-    kept = linked.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")
+    keyed = row_keys(docs.filter(worded))
+    linked = jaccard_join.link_sets(keyed, id_col="__key", shingle=5, threshold=80)
+    kept = linked.filter("__key = component_id").select(F.col("__key.digest").alias("digest")).distinct()
+    keyed = keyed.select(F.col("__key.digest").alias("digest"), *docs.columns)
+    named = keyed.join(kept, "digest", "left_semi").dropDuplicates(["digest"])
+    return named.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def remove_repeats(spark, docs, sf_dir):

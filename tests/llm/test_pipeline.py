@@ -131,3 +131,16 @@ def test_repeats_of_over_50_words(spark, rows):
     got = {x.doc_id: (x.text, x.n_chars) for x in cp.remove_repeats(spark, docs, DATA).collect()}
     assert got == {i: (t, len(t)) for i, t in want.items()}
     assert want[1].endswith("\n" + texts[1].split("\n")[-1]) and want[2] == texts[2] and 5 not in want
+
+
+def test_rows_that_share_an_id_or_have_none(spark, rows):
+    """Of each group of linked texts one row stays, whatever the ids; texts that do not link all stay."""
+    rnd = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(120)) for _ in range(4))
+    data = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, c + " end"), (5, d), (5, d + " end"), (7, d), (None, a), (9, ""), (9, ""), (None, None)]
+    docs = rows([(i, t, "en", "s", None if t is None else len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, DATA).collect()]
+    by_text = {"a": [x for x in got if x[1] == a], "b": [x for x in got if x[1] == b]}
+    assert by_text == {"a": [(1, a)], "b": [(1, b)]}
+    assert [x[0] for x in got if (x[1] or "").startswith(c)] == [None] and [x[0] for x in got if (x[1] or "").startswith(d)] == [5]
+    assert sorted((x for x in got if not x[1]), key=str) == [(9, ""), (9, ""), (None, None)] and len(got) == 7
