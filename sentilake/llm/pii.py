@@ -251,7 +251,7 @@ def find(docs, id_col="doc_id", text_col="text"):
 
 
 def mask(docs, text_col="text"):
-    """docs with every span of the text replaced by its kind in angle brackets; of overlapping spans the first counts. Null stays null."""
+    """docs with every span of the text replaced by its kind in angle brackets; overlapping spans become the first one's kind, up to the last end. Null stays null."""
     d = _found(docs.withColumn("__row", F.struct(*docs.columns)), "__row", text_col)
     done = F.aggregate(
         "spans",
@@ -262,7 +262,7 @@ def mask(docs, text_col="text"):
                 F.concat(s["out"], F.substring(F.col("t"), s["at"] + 1, x["s"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out"),
                 x["e"].alias("at"),
             ),
-        ).otherwise(s),
+        ).otherwise(F.struct(s["out"].alias("out"), F.greatest(s["at"], x["e"]).alias("at"))),
         lambda s: F.concat(s["out"], F.substring(F.col("t"), s["at"] + 1, F.length("t") - s["at"])),
     )
     masked = F.when(F.size("spans") > 0, done).otherwise(F.col(f"id.{text_col}"))

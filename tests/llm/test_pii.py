@@ -92,3 +92,11 @@ def test_mask_and_edge_tables(rows):
     docs = rows([(1, "write to a@b.com or +1 (443) 555-5793 now", "x"), (1, "write to a@b.com or +1 (443) 555-5793 now", "x"), (None, None, None), (2, "é a@b.co", "y")], "doc_id long, text string, t string")
     got = sorted(((r.doc_id, r.text, r.t) for r in pii.mask(docs).collect()), key=str)
     assert got == sorted([(1, "write to <EMAIL> or <PHONE> now", "x")] * 2 + [(None, None, None), (2, "é <EMAIL>", "y")], key=str)
+
+
+def test_mask_reaches_over_overlaps(rows):
+    texts = ["pay 4111 1111 1111 1111@shop.com now", "a@b.example.com and 10.1.2.3", None, "plain"]
+    got = {r.doc_id: r.text for r in pii.mask(rows(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = {r.doc_id: r.spans for r in pii.find(rows(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(spans[0].split(",")) > 1
+    assert got == {0: "pay <CARD> now", 1: "<EMAIL> and <IP>", 2: None, 3: "plain"}
