@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, byte_cnn, html_text, jaccard_join, lattice_dedup, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc
+from sentilake.llm import bpe, byte_cnn, html_text, jaccard_join, lattice_dedup, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc, whitening
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,9 @@ def op5_lattice_dedup(spark, d):
 @query
 def op7_byte_cnn(spark, d):
     return byte_cnn.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op13_whitening(spark, d):
+    white = whitening.whiten(table(spark, d, "embeddings"))
+    return white.withColumn("deviation", white["deviation"].try_cast("long"))
