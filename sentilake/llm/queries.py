@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, byte_cnn, html_text, jaccard_join, lattice_dedup, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc, whitening
+from sentilake.llm import bpe, byte_cnn, decontamination, html_text, jaccard_join, lattice_dedup, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc, whitening
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -77,3 +77,25 @@ def op7_byte_cnn(spark, d):
 def op13_whitening(spark, d):
     white = whitening.whiten(table(spark, d, "embeddings"))
     return white.withColumn("deviation", white["deviation"].try_cast("long"))
+
+
+@query
+def op11_decontamination(spark, d):
+    return decontamination.report(decontamination.passages(table(spark, d, "documents"), table(spark, d, "benchmark")))
+
+
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op11_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+windows AS (SELECT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM
+  (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+grams AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM
+  (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+hits AS (SELECT doc_id, i, m, item_id FROM grams JOIN windows USING (m, g)),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items.list, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
