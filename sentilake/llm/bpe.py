@@ -8,7 +8,7 @@ window lies inside it, and both sides agree when the window gives back its first
 right: a token sequence is the encoding of a piece if each two neighbours are the encoding of their own bytes.
 
 Leaves are encoded in bulk: the splitter's rules run over arrays of character classes, each distinct piece goes to the
-library's model once a worker, and ids are gathered by piece. Classes are asked of the library, a character at a time.
+library's model once a worker, and ids are gathered by piece, whose bytes are compared. Classes are asked of the library, a character at a time.
 """
 
 import hashlib
@@ -17,8 +17,9 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from sentilake.llm.bytehash import span_hashes, string_column
+from sentilake.llm.bytehash import string_column
 from sentilake.llm.common import small_batches
+from sentilake.llm.pieces import PieceStore, gather
 from sentilake.llm.suffix_dedup import text_key
 
 LEAF = 32_768
@@ -37,28 +38,25 @@ def vocabulary_path():
 class Encoder:
     """Encodes texts as the library does with add_special_tokens=False; keeps a bounded store of pieces met."""
 
-    def __init__(self, path, cached=CACHED_PIECES):
+    def __init__(self, path, cached=CACHED_PIECES, plain=False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cached = cached
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = plain
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [] if plain else added  # with plain their strings are text like any other
         self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
-        self.forget()
-        self.token_bytes()
-
-    def forget(self):
-        """Empty the store: an open hash table from a piece's hash to where its ids stand."""
-        self.slots = 1 << max(10, (4 * self.cached - 1).bit_length())
-        self.keys = np.zeros(self.slots, dtype=np.uint64)
-        self.starts = np.zeros(self.slots, dtype=np.int32)
-        self.sizes = np.zeros(self.slots, dtype=np.int32)
-        self.flat, self.used, self.held = np.zeros(1 << 16, dtype=np.int32), 0, 0
-
-    def token_bytes(self):
+        self.token_bytes(added)
+        self.store = PieceStore(self._tokenize, cached)
+
+    def _tokenize(self, pieces):
+        tokenize = self.library.model.tokenize
+        return [[t.id for t in tokenize(p.decode("latin-1").translate(self.letters))] for p in pieces]
+
+    def token_bytes(self, added):
         """Bytes of every token, concatenated, and where each begins."""
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -67,7 +65,7 @@ class Encoder:
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         assert set(letters) == set(ByteLevel.alphabet())
         self.letters = {b: c for c, b in letters.items()}
-        special = set(self.special)
+        special = set(added)
         vocab = self.library.get_vocab(True)
         pieces = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -79,7 +77,7 @@ class Encoder:
     def decode_bytes(self, ids):
         if not len(ids):
             return b""
-        return self.byte_data[_gather(self.byte_starts[ids], self.byte_sizes[ids])].tobytes()
+        return self.byte_data[gather(self.byte_starts[ids], self.byte_sizes[ids])].tobytes()
 
     def _classify(self, codes):
         pieces = lambda s: len(self.library.pre_tokenizer.pre_tokenize_str(s))
@@ -122,55 +120,6 @@ class Encoder:
         start[first] = True
         return np.flatnonzero(start[:n])
 
-    def _find(self, keys):
-        """Slot of each key: the one that holds it or else the free one where the search ends."""
-        mask = np.uint64(self.slots - 1)
-        at = (keys & mask).astype(np.int64)
-        open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & (self.slots - 1)
-            there = self.keys[at[open_]]
-            open_ = open_[(there != keys[open_]) & (there != 0)]
-        return at
-
-    def _lookup(self, data, starts, ends):
-        """Where the ids of each piece stand, and how many they are."""
-        keys = span_hashes(data, starts, ends) | np.uint64(1)
-        at = self._find(keys)
-        missing = np.flatnonzero(self.keys[at] == 0)
-        if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
-            raw = data.tobytes()
-            tokenize = self.library.model.tokenize
-            for key, i in zip(new, missing[first].tolist(), strict=True):
-                ids = [t.id for t in tokenize(raw[starts[i] : ends[i]].decode("latin-1").translate(self.letters))]
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if 2 * self.held >= self.slots:
-                    self._grow()
-                slot = int(key) & (self.slots - 1)
-                while self.keys[slot]:
-                    slot = (slot + 1) & (self.slots - 1)
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.keys[slot], self.starts[slot], self.sizes[slot] = key, self.used, len(ids)
-                self.used += len(ids)
-                self.held += 1
-            at = self._find(keys)
-        return self.starts[at].astype(np.int64), self.sizes[at].astype(np.int64)
-
-    def _grow(self):
-        """One text may hold more pieces than the store is sized for."""
-        full = np.flatnonzero(self.keys)
-        keys, starts, sizes = self.keys[full], self.starts[full], self.sizes[full]
-        self.slots *= 2
-        self.keys = np.zeros(self.slots, dtype=np.uint64)
-        self.starts, self.sizes = (np.zeros(self.slots, dtype=np.int32) for _ in range(2))
-        for key, start, size in zip(keys, starts, sizes, strict=True):
-            slot = int(key) & (self.slots - 1)
-            while self.keys[slot]:
-                slot = (slot + 1) & (self.slots - 1)
-            self.keys[slot], self.starts[slot], self.sizes[slot] = key, start, size
-
     def _chunk(self, data, offsets):
         codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
         leads = np.flatnonzero((data & 0xC0) != 0x80)
@@ -178,8 +127,8 @@ class Encoder:
         at = self.split(codes, begins)
         starts = leads[at]
         ends = np.append(starts[1:], len(data))
-        where, sizes = self._lookup(data, starts, ends)
-        ids = self.flat[_gather(where, sizes)]
+        where, sizes = self.store.lookup(data, starts, ends)
+        ids = self.store.flat[gather(where, sizes)]
         opens = np.zeros(len(ids) + 1, dtype=bool)
         total = np.append(0, np.cumsum(sizes))
         opens[total[:-1]] = True
@@ -191,8 +140,7 @@ class Encoder:
         while text < n:
             stop = max(text + 1, int(np.searchsorted(offsets, offsets[text] + CHUNK, side="right")) - 1)
             part = data[offsets[text] : offsets[stop]]
-            if self.held > self.cached:
-                self.forget()
+            self.store.shrink()
             if len(part) and any(s.encode() in part.tobytes() for s in self.special):
                 for i in range(text, stop):
                     got = self.library.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False)
@@ -213,21 +161,15 @@ class Encoder:
         return self.encode(data, np.array([0, len(data)]))[0]
 
 
-def _gather(starts, sizes):
-    """Indices of ranges, one range after the other."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
-
-
 _encoders = {}
 
 
-def encoder(path):
+def encoder(path, **kind):
     """One a worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, *sorted(kind.items()))
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, **kind)
+    return _encoders[key]
 
 
 def _inside(enc, left, right):

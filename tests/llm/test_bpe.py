@@ -71,3 +71,11 @@ def test_store_of_pieces_is_bounded(enc):
     for _ in range(5):
         text = odd_text(rnd, 300)
         assert small.encode_text(text.encode())[0].tolist() == library(enc, text)
+
+
+def test_words_of_one_hash_keep_their_ids(rows, enc):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever its base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), one]
+    got = {r.doc_id: np.frombuffer(r.ids, dtype=np.int32).tolist() for r in bpe.encode(rows(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {i: library(enc, t) for i, t in enumerate(texts)} and got[0] != got[1]
