@@ -1,6 +1,8 @@
 """One query for each operator, over its whole table with production settings, and the SQL where SQL can say the same."""
 
-from sentilake.llm import bpe, byte_cnn, decontamination, html_text, jaccard_join, lattice_dedup, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc, whitening
+from pyspark.sql import functions as F
+
+from sentilake.llm import alignment, bpe, byte_cnn, decontamination, html_text, jaccard_join, lattice_dedup, packing, pii, quality_rules, quality_rules_sql, suffix_dedup, warc, whitening
 from sentilake.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -99,3 +101,10 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_
   sha256(coalesce(items.list, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op12_token_alignment(spark, d):
+    aligned = alignment.align(table(spark, d, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
