@@ -16,6 +16,7 @@ from sentilake.plans import ingest as I
 from sentilake.plans.review_round import review_round
 from sentilake.session import scratch_path
 from sentilake.sources import tables as T
+from sentilake.sources.fact import STORED_FACT, FactFiles
 from sentilake.streaming import monitor as M
 
 RUN_DATE = datetime.date(2024, 3, 1)
@@ -118,7 +119,60 @@ def _rerun(spark, d, store):
 
 @query("ingest_rerun", "landed", sql=_RERUN)
 def ingest_rerun(spark, d):
-    return _rerun(spark, d, T.FactFiles(scratch_path(spark, "fact")))
+    return _rerun(spark, d, FactFiles(scratch_path(spark, "fact")))
+
+
+class Stopped(Exception):
+    """A run that ends between writing its files and naming them."""
+
+
+class _Stopping(FactFiles):
+    def _name(self, files):
+        raise Stopped
+
+
+@query("ingest_after_a_stop", "landed", sql=_RERUN)
+def ingest_after_a_stop(spark, d):
+    """Two runs stop when their files are written: nothing of them shows, and their replay adds each row once."""
+    path, landing = scratch_path(spark, "fact"), _landing(spark, d)
+    runs = [("acme", "all", RUN_DATE), ("other", "5ch", datetime.date(2024, 3, 2))]
+    for keyword, source, day in runs:
+        for store in (_Stopping(path), FactFiles(path), FactFiles(path)):
+            try:
+                I.ingest(I.collect_landing(spark, landing, source), store, keyword, day, V.length_scorer, run=f"{keyword} {day}")
+            except Stopped:
+                pass
+    stored = FactFiles(path).read(spark).groupBy("keyword", "scraped_date")
+    return stored.agg(F.count("*").alias("n_rows"), F.round(F.sum("score"), 4).alias("score_sum"))
+
+
+@query("known_by_filters", sql="SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents SEMI JOIN labels USING (doc_id))")
+def known_by_filters(spark, d):
+    """Documents whose text a fact table of seven days holds, found through the days' key filters."""
+    store = FactFiles(scratch_path(spark, "fact"))
+    scored = I.new_rows(_stored(spark, d), None, "acme", RUN_DATE, V.length_scorer)
+    rows = scored.withColumns({c: F.lit("") for c in ("article_url", "article_title", "source")})
+    store.append(rows.withColumn("scraped_date", F.date_add("scraped_date", F.pmod(F.hash("comment"), F.lit(7)))))
+    documents = D.with_key(table(spark, d, "documents").withColumnRenamed("text", "comment"))
+    known = store.known(spark, documents.select(D.KEY).distinct())
+    return documents.join(known, D.KEY, "left_semi").select("doc_id")
+
+
+@query(
+    "cube_of_runs", "comments",
+    sql="""SELECT keyword, source, scraped_date, sentiment, count(*) AS n_rows, count(score) AS score_rows, round(sum(score), 6) AS score_sum
+FROM (SELECT * REPLACE (CASE WHEN id % 50 = 0 AND sentiment IS NOT NULL THEN 'neutral' ELSE sentiment END AS sentiment) FROM comments) GROUP BY 1, 2, 3, 4""",
+)
+def cube_of_runs(spark, d):
+    """Counts of three runs and a round of corrections, from the runs' own cubes: no stored comment is read."""
+    store = FactFiles(scratch_path(spark, "fact"))
+    rows = V.comments(spark, d).withColumn("article_url", F.col("id").cast("string"))
+    for i in range(3):
+        store.append(rows.where(F.col("id") % 3 == i))
+    wrong = rows.where((F.col("id") % 50 == 0) & F.col("sentiment").isNotNull() & (F.col("sentiment") != "neutral"))
+    store.correct(wrong, wrong.withColumn("sentiment", F.lit("neutral")))
+    cells = store.cube(spark).groupBy("keyword", "source", "scraped_date", "sentiment")
+    return cells.agg(F.sum("n_rows").alias("n_rows"), F.sum("score_rows").alias("score_rows"), F.round(F.sum("score_sum"), 6).alias("score_sum"))
 
 
 @query("ingest_rerun_bucketed", "landed", sql=_RERUN)
@@ -128,7 +182,7 @@ def ingest_rerun_bucketed(spark, d):
     name = "fact_" + path.rsplit("-", 1)[1]
     _rerun(spark, d, T.FactTable(name, 8, path))
     spark.sql(f"DROP TABLE {name}")
-    stored = T.read_fact(spark, path).groupBy("keyword", "scraped_date")
+    stored = spark.read.schema(STORED_FACT).parquet(path).groupBy("keyword", "scraped_date")
     return stored.agg(F.count("*").alias("n_rows"), F.round(F.sum("score"), 4).alias("score_sum"))
 
 

@@ -4,6 +4,8 @@ Count panels take comment rows, or the far smaller `summary_cube` of them; the r
 sentiments stay in every total and out of every class.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,19 +23,32 @@ def score_bin(score="score", bins: int = K.SCORE_BINS) -> Column:
     return F.when(score.isNotNull(), inside)
 
 
-def summary_cube(df: DataFrame) -> DataFrame:
+CUBE_KEYS = ("keyword", "source", "scraped_date", "sentiment", "score_bin")
+
+
+def summary_cube(df: DataFrame, sign: int = 1) -> DataFrame:
     """Row counts and score sums by brand, source, day, sentiment and score bin: every count panel in one scan.
 
-    Combined before the shuffle; its size depends on the days and brands, not on the comments.
+    Combined before the shuffle; its size depends on the days and brands, not on the comments. With sign -1 the rows are
+    taken away: merged with a cube that holds them, they are gone.
     """
-    keys = [c for c in ("keyword", "source", "scraped_date", "sentiment") if c in df.columns]
-    measures = [F.count("*").alias("n_rows")]
+    keys = [F.col(c) for c in CUBE_KEYS[:4] if c in df.columns]
+    one = F.lit(sign).cast("long")
+    measures = [F.sum(one).alias("n_rows")]
     if "score" in df.columns:
-        keys = [*[F.col(c) for c in keys], score_bin().alias("score_bin")]
-        measures += [F.sum("score").alias("score_sum"), F.count("score").alias("score_rows")]
+        keys.append(score_bin().alias("score_bin"))
+        measures += [F.sum(F.col("score") * sign).alias("score_sum"), F.coalesce(F.sum(F.when(F.col("score").isNotNull(), one)), F.lit(0)).cast("long").alias("score_rows")]
     return df.groupBy(*keys).agg(*measures)
 
 
+def merge_cubes(*cubes: DataFrame) -> DataFrame:
+    """One cube of several, or of the parts that one table holds: counts and sums added up, cells of which nothing is left gone."""
+    whole = reduce(DataFrame.unionByName, cubes)
+    measures = [c for c in ("n_rows", "score_sum", "score_rows") if c in whole.columns]
+    merged = whole.groupBy(*[c for c in CUBE_KEYS if c in whole.columns]).agg(*[F.sum(c).alias(c) for c in measures])
+    return merged.where(F.col("n_rows") != 0)
+
+
 def class_count(df: DataFrame, label: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col("sentiment") == label, weight(df))), F.lit(0)).cast("long")
 

@@ -12,7 +12,8 @@ from sentilake.operators.panels import sentiment_summary, summary_comments
 from sentilake.operators.scoring import Scorer, classify
 from sentilake.operators.skew import join_unique
 from sentilake.session import materialise
-from sentilake.sources.tables import fact_store, read_landing, union_by_name
+from sentilake.sources.fact import added_rows, fact_store
+from sentilake.sources.tables import read_landing, union_by_name
 
 
 def routed(source: str) -> tuple:
@@ -58,28 +59,29 @@ def new_rows(
 
 def ingest(
     collected: DataFrame | None, fact, keyword, run_date, scorer: Scorer,
-    once_per_comment: bool = False, hot_rows: int | None = None,
+    once_per_comment: bool = False, hot_rows: int | None = None, run: str | None = None,
 ) -> DataFrame | None:
     """Append what is new to the fact table (a path or a store) and return it; None if nothing was.
 
     Only the keys of the new comments are kept aside, in reliable storage. The rows are scored on their way into the
-    store, and what was added is read back from the run's day by those keys, which no earlier run has stored.
-    `once_per_comment` also drops copies within the batch, which makes a repeated run append nothing twice.
+    store, and what was added is read back from there. `once_per_comment` also drops copies within the batch, which makes
+    a repeated run append nothing twice. A named `run` that is finished already is not done again: what it added is returned.
     """
     if collected is None:
         return None
+    spark, store = collected.sparkSession, fact_store(fact)
+    if run is not None and store.finished(spark, run):
+        return store.added(spark, run)
     keyed = with_key(collected)
     if once_per_comment:
         keyed = first_per_comment(keyed, [F.col(c) for c in ("source", "article_url", "article_title") if c in keyed.columns])
-    store = fact_store(fact)
-    stored = store.read(collected.sparkSession)
-    fresh = materialise(drop_known(keyed.select(KEY).distinct(), stored, bucketed=store.bucketed))
+    keys = keyed.select(KEY).distinct()
+    fresh = materialise(keys.join(store.known(spark, keys), KEY, "left_anti"))
     if fresh.isEmpty():
         return None
     rows = join_unique(keyed, fresh, KEY, "left_semi", hot_rows)
-    store.append(classify(stamp(rows, keyword, run_date), scorer))
-    day = store.read(collected.sparkSession).where(F.col("scraped_date") == F.lit(run_date).cast("date"))
-    return join_unique(day, fresh, KEY, "left_semi", hot_rows)
+    run = store.append(classify(stamp(rows, keyword, run_date), scorer), run)
+    return added_rows(store, spark, run, run_date, fresh, hot_rows)
 
 
 def run(spark, landing: str, fact, keyword: str, source: str, run_date, scorer: Scorer):

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentilake import schemas as S
-from sentilake.sources.tables import path_exists
+from sentilake.sources.paths import path_exists
 
 _MAP = "map<string,array<struct<date:string,text:string>>>"
 

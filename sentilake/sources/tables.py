@@ -1,6 +1,5 @@
 """Readers and writers of the stored tables."""
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +9,10 @@ from pyspark.sql import types as T
 from sentilake import constants as K
 from sentilake import schemas as S
 from sentilake.operators.dedup import KEY, with_key
+from sentilake.sources.csv_blocks import BOM, parse_records, read_records
+from sentilake.sources.fact import FactFiles, FactTable, append_fact, fact_store, read_fact  # noqa: F401
+from sentilake.sources.paths import path_exists
 
-BOM = "﻿"
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table's folder or file is there; nothing below it is listed, and a store that fails is an error."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -32,21 +27,19 @@ def spread(df: DataFrame) -> DataFrame:
 # --- CSV --------------------------------------------------------------------------------------
 
 
-def read_csv(spark, path, schema, multiline=True) -> DataFrame:
-    """CSV with header, quoted line ends, doubled quotes and an optional byte order mark.
+def read_csv(spark, path, schema) -> DataFrame:
+    """CSV with header, quoted line ends, doubled quotes and an optional byte order mark; large files are read in blocks.
 
     Columns are matched to `schema` by header name; absent ones come back null, additional ones are left out. The files
-    of one read share a header: another order of columns is an error, as Spark takes values by position.
+    of one read share a header: another one is an error, as values are taken by position.
     """
-    options = dict(header=True, multiLine=multiline, escape='"', encoding="UTF-8", enforceSchema=False)
-    raw = spark.read.options(**options).csv(path)
-    named = {c.lstrip(BOM): c for c in raw.columns}
-    return raw.select(
-        *[
-            (F.col(f"`{named[f.name]}`") if f.name in named else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    header = spark.read.options(multiLine=True, escape='"', encoding="UTF-8").csv(path).head()
+    if header is None:
+        return spark.createDataFrame([], schema)
+    names = [(c or "").lstrip(BOM) for c in header]
+    raw = parse_records(read_records(spark, path), names)
+    place = {n: f"c{i}" for i, n in reversed(list(enumerate(names)))}
+    return raw.select(*[(F.col(place[f.name]) if f.name in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_csv(df: DataFrame, path, bom=False, mode="error"):
@@ -97,9 +90,8 @@ def read_thread_files(spark, path) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-# --- fact and labelled tables -----------------------------------------------------------------
+# --- labelled table ---------------------------------------------------------------------------
 
-STORED_FACT = T.StructType(S.FACT.fields + [T.StructField(KEY, T.BinaryType())])
 STORED_LABELLED = T.StructType(S.LABELLED.fields + [T.StructField(KEY, T.BinaryType())])
 
 
@@ -109,64 +101,6 @@ def _read(spark, path, schema):
     return spark.read.schema(schema).parquet(path)
 
 
-def _as_fact(rows: DataFrame) -> DataFrame:
-    return with_key(rows).select(*STORED_FACT.names)
-
-
-@dataclass(frozen=True)
-class FactFiles:
-    """The fact table as Parquet files with a folder per `scraped_date`."""
-
-    path: str
-    bucketed = False
-
-    def read(self, spark) -> DataFrame:
-        """The stored rows with their comment keys; an empty table before the first run."""
-        return _read(spark, self.path, STORED_FACT).select(*STORED_FACT.names)
-
-    def append(self, rows: DataFrame):
-        """Add rows under their day, usually the run's only one. Rebalancing gives files of an even size."""
-        even = _as_fact(rows).hint("rebalance")
-        even.write.mode("append").partitionBy("scraped_date").parquet(self.path)
-
-
-@dataclass(frozen=True)
-class FactTable:
-    """The fact table in the catalog, by day and bucketed by comment key.
-
-    Finding known comments then reads the stored keys bucket by bucket and shuffles only the new batch.
-    """
-
-    name: str
-    buckets: int
-    path: str | None = None
-    bucketed = True
-
-    def read(self, spark) -> DataFrame:
-        if not spark.catalog.tableExists(self.name):
-            return spark.createDataFrame([], STORED_FACT)
-        return spark.table(self.name).select(*STORED_FACT.names)
-
-    def append(self, rows: DataFrame):
-        """Add rows. Rebalancing by key keeps a bucket's rows together, and splits the bucket of a hot text."""
-        even = _as_fact(rows).hint("rebalance", KEY)
-        writer = even.write.mode("append").partitionBy("scraped_date").bucketBy(self.buckets, KEY).sortBy(KEY)
-        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
-
-
-def fact_store(store):
-    """A store, or FactFiles for a path."""
-    return FactFiles(store) if isinstance(store, str) else store
-
-
-def read_fact(spark, path) -> DataFrame:
-    return FactFiles(path).read(spark)
-
-
-def append_fact(rows: DataFrame, path):
-    FactFiles(path).append(rows)
-
-
 def read_labelled(spark, path) -> DataFrame:
     return _read(spark, path, STORED_LABELLED)
 
