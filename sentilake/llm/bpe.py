@@ -54,7 +54,11 @@ class Encoder:
 
     def _tokenize(self, pieces):
         tokenize = self.library.model.tokenize
-        return [[t.id for t in tokenize(p.decode("latin-1").translate(self.letters))] for p in pieces]
+        whole, out, at = b"".join(pieces).decode("latin-1").translate(self.letters), [], 0
+        for p in pieces:
+            out.append([t.id for t in tokenize(whole[at : at + len(p)])])
+            at += len(p)
+        return out
 
     def token_bytes(self, added):
         """Bytes of every token, concatenated, and where each begins."""

@@ -1,5 +1,7 @@
 """Ids of pieces of text that were met before, for whole batches of pieces at a time."""
 
+import itertools
+
 import numpy as np
 
 from sentilake.llm.bytehash import mix, span_hashes
@@ -58,26 +60,33 @@ class PieceStore:
 
     def _add(self, data, keys, starts, sizes):
         """Store pieces under keys that the table lacks, one piece a key."""
-        found = self.tokenize([data[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        raw = data[gather(starts, sizes)]
+        ends = np.cumsum(sizes)
+        whole = raw.tobytes()
+        found = self.tokenize([whole[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
+        count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(count.sum()))
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.text = _room(self.text, self.text_used + len(raw) + 8)
+        self.text[self.text_used : self.text_used + len(raw)] = raw
+        places = np.stack([self.used + np.cumsum(count) - count, count, self.text_used + ends - sizes, sizes], axis=1)
+        self.used += len(ids)
+        self.text_used += len(raw)
         while 2 * (self.held + len(keys)) > self.slots:
             self._grow()
-        total = int(sizes.sum())
-        while self.text_used + total + 8 > len(self.text):
-            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
-        for key, ids, s, n in zip(keys.tolist(), found, starts.tolist(), sizes.tolist(), strict=True):
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            slot = key & (self.slots - 1)
-            while self.keys[slot]:
-                slot = (slot + 1) & (self.slots - 1)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.text[self.text_used : self.text_used + n] = data[s : s + n]
-            self.keys[slot] = key
-            self.places[slot] = self.used, len(ids), self.text_used, n
-            self.used += len(ids)
-            self.text_used += n
+        self._place(keys, places)
         self.held += len(keys)
 
+    def _place(self, keys, places):
+        """Put keys into free slots; of those that meet in one the first stays and the others look on."""
+        while len(keys):
+            at, first = np.unique(self._find(keys), return_index=True)
+            self.keys[at], self.places[at] = keys[first], places[first]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, places = keys[rest], places[rest]
+
     def _grow(self):
         """One text may hold more pieces than the store is sized for."""
         full = np.flatnonzero(self.keys)
@@ -85,11 +94,7 @@ class PieceStore:
         self.slots *= 2
         self.keys = np.zeros(self.slots, dtype=np.uint64)
         self.places = np.zeros((self.slots, 4), dtype=np.int64 if self.slots > 1 << 26 else np.int32)
-        for key, place in zip(keys.tolist(), places, strict=True):
-            slot = key & (self.slots - 1)
-            while self.keys[slot]:
-                slot = (slot + 1) & (self.slots - 1)
-            self.keys[slot], self.places[slot] = key, place
+        self._place(keys, places)
 
     def lookup(self, data, starts, ends):
         """Where the ids of each piece data[start:end] stand in ``flat``, and how many they are; no piece is empty."""
@@ -112,6 +117,15 @@ class PieceStore:
         return where, count
 
 
+def _room(array, size):
+    """The array, or one at least twice as long with its content."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), dtype=array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 def gather(starts, sizes):
     """Indices of ranges, one range after the other."""
     ends = np.cumsum(sizes)
