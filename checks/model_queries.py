@@ -39,6 +39,23 @@ def batch_scoring(spark, d):
     return S.classify(docs, S.batch_scorer(length_model())).select("doc_id", "sentiment", "score")
 
 
+@query(
+    "batch_scoring_by_length",
+    sql=f"SELECT doc_id, {SQL_LABEL.format('text')} AS sentiment, {SQL_SCORE.format('text')} AS score FROM documents",
+)
+def batch_scoring_by_length(spark, d):
+    """The same through small batches: a text of more than 3000 characters is a batch of its own, ids are carried."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("comment"))
+    return S.classify(docs, S.batch_scorer(length_model(), batch_size=5, batch_chars=3000)).select("doc_id", "sentiment", "score")
+
+
+@query("classify_single_texts", sql=f"SELECT item_id, {SQL_LABEL.format('text')} AS sentiment, {SQL_SCORE.format('text')} AS score FROM benchmark")
+def classify_single_texts(spark, d):
+    """Each benchmark text classified by itself; the outside model sees one text at a time."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("comment"))
+    return S.classify(items, S.batch_scorer(length_model(), batch_size=1)).select("item_id", "sentiment", "score")
+
+
 def _shout_scorer(df, text):
     mark = F.when(F.col(text).contains("!"), "LABEL_2").when(F.col(text).contains("?"), "LABEL_0").otherwise("LABEL_1")
     return df.select(*df.columns, mark.alias("label"), F.lit(0.5).alias("score"))
@@ -48,12 +65,32 @@ def _broken():
     raise RuntimeError("no weights")
 
 
+def _broken_on_workers():
+    raise RuntimeError("no weights on this worker")
+
+
+def _broken_on_a_text():
+    """Loader of a model that cannot take texts of more than 2000 characters."""
+
+    def load():
+        def predict(texts):
+            if any(len(t) > 2000 for t in texts):
+                raise ValueError("a long text")
+            return {"label": np.full(len(texts), "1"), "score": np.full(len(texts), 0.5)}
+
+        return predict
+
+    return load
+
+
 REGISTRY = {
     "length": {"load": lambda: V.length_scorer, "labels": K.INGEST_LABELS},
     "batched": {"load": lambda: S.batch_scorer(length_model()), "labels": K.INGEST_LABELS},
     "marks": {"load": lambda: _shout_scorer, "labels": K.BENCHMARK_LABELS},
     "broken": {"load": _broken, "labels": K.BENCHMARK_LABELS},
     "skipped": {"load": _broken, "labels": None, "skip": True},
+    "broken on workers": {"load": lambda: S.batch_scorer(_broken_on_workers), "labels": K.BENCHMARK_LABELS},
+    "broken on a text": {"load": lambda: S.batch_scorer(_broken_on_a_text()), "labels": K.BENCHMARK_LABELS},
 }
 
 _MARKS = "CASE WHEN contains(comment, '!') THEN 'positive' WHEN contains(comment, '?') THEN 'negative' ELSE 'neutral' END"

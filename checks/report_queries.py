@@ -327,10 +327,38 @@ def annotation_overlay(spark, d):
 @query("annotations_json_roundtrip", "comments", "notes", sql="SELECT keyword, idx, date, text FROM notes")
 def annotations_json_roundtrip(spark, d):
     path = scratch_path(spark, "annotations")
-    write_annotations(V.notes(spark, d).coalesce(1), path, single=True)
+    write_annotations(V.notes(spark, d), path)
     return read_annotations(spark, path)
 
 
+# Every note is added on its day; after every third one the first, second or third of the list goes, if there is one.
+_LOG = """, edits AS (SELECT keyword, 2 * idx AS seq, 'add' AS op, date, text, NULL::INTEGER AS position FROM notes
+  UNION ALL SELECT keyword, 2 * idx + 1, 'delete', NULL, NULL, CAST(idx // 3 % 4 AS INTEGER) FROM notes WHERE idx % 3 = 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY seq) AS nth FROM edits),
+folded AS (
+  SELECT DISTINCT keyword, 0::BIGINT AS nth, []::STRUCT(date DATE, text VARCHAR)[] AS held FROM edits
+  UNION ALL
+  SELECT f.keyword, n.nth, CASE WHEN op = 'add' THEN list_append(held, {'date': date, 'text': text})
+      ELSE list_concat(held[1:position], held[position + 2:]) END
+  FROM folded f JOIN numbered n ON n.keyword = f.keyword AND n.nth = f.nth + 1),
+last AS (SELECT keyword, arg_max(held, nth) AS held FROM folded GROUP BY keyword)
+SELECT keyword, CAST(i - 1 AS INTEGER) AS idx, held[i].date AS date, held[i].text AS text
+FROM (SELECT keyword, held, unnest(range(1, len(held) + 1)) AS i FROM last)"""
+
+
+@query("annotations_replay", "comments", "notes", sql=_LOG)
+def annotations_replay(spark, d):
+    """A log of adds and deletes of every brand, folded to its list; positions count anew after each delete."""
+    notes = V.notes(spark, d)
+    none = lambda kind: F.lit(None).cast(kind)
+    adds = notes.select("keyword", (2 * F.col("idx")).alias("seq"), F.lit("add").alias("op"), "date", "text", none("int").alias("position"))
+    place = (F.floor(F.col("idx") / 3) % 4).cast("int")
+    deletes = notes.where(F.col("idx") % 3 == 1).select(
+        "keyword", (2 * F.col("idx") + 1).alias("seq"), F.lit("delete").alias("op"), none("date").alias("date"), none("string").alias("text"), place.alias("position")
+    )
+    return A.replay(adds.unionByName(deletes))
+
+
 # --- whole pages ------------------------------------------------------------------------------
 
 

@@ -19,8 +19,8 @@ def table(spark, d, name, heavy=False):
 
 
 def with_views(*names):
-    """WITH clause of the named views."""
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n"
+    """WITH clause of the named views; one of them may go on from itself."""
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n"
 
 
 # --- comments over events ---------------------------------------------------------------------

@@ -132,6 +132,7 @@ ALERT_POINTS = 10.0
 VALIDATION_SHARE = 0.15
 SPLIT_SEED = 42
 SCORING_BATCH = 16
+SCORING_CHARS = 200_000  # of a batch, padding included
 SCORE_DECIMALS = 4
 
 # --- fixed values: where to fetch -------------------------------------------------------------

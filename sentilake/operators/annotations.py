@@ -28,3 +28,30 @@ def list_annotations(notes: DataFrame, keyword: str | None = None) -> DataFrame:
     """Notes in list order, of one brand or of all."""
     chosen = notes if keyword is None else notes.where(F.col("keyword") == keyword)
     return chosen.select("keyword", "idx", "date", "text").orderBy("keyword", "idx")
+
+
+def replay(log: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Lists after an ordered log of edits: rows (keyword, seq, op, date, text, position), op `add` or `delete`.
+
+    The edits of a brand are applied in the order of `seq`: an add puts its note at the list's end unless its text is empty,
+    a delete takes out the note that stands at its position by then, and nothing where none stands there. `notes` are the
+    lists before the log. A brand's edits meet in one row, as its list does wherever it is stored.
+    """
+    edit = ["keyword", "seq", "op", "date", "text", "position"]
+    edits = log.select("keyword", F.col("seq").cast("long").alias("seq"), "op", F.col("date").cast("date").alias("date"), "text", F.col("position").cast("int").alias("position"))
+    if notes is not None:
+        least = F.lit(-(2**62)) + F.col("idx")
+        before = notes.select("keyword", least.alias("seq"), F.lit("add").alias("op"), "date", "text", F.lit(None).cast("int").alias("position"))
+        edits = before.unionByName(edits)
+    ordered = F.array_sort(F.collect_list(F.struct(*edit[1:])))
+    note = lambda e: F.struct(e["date"].alias("date"), e["text"].alias("text"))
+    start = F.array().cast("array<struct<date:date,text:string>>")
+
+    def step(held, e):
+        at = e["position"]
+        out = F.concat(F.slice(held, F.lit(1), at), F.slice(held, at + 2, F.size(held)))
+        added = F.when(F.coalesce(e["text"], F.lit("")) != "", F.concat(held, F.array(note(e)))).otherwise(held)
+        return F.when(e["op"] == "add", added).when((e["op"] == "delete") & (at >= 0) & (at < F.size(held)), out).otherwise(held)
+
+    lists = edits.groupBy("keyword").agg(F.aggregate(ordered, start, step).alias("held"))
+    return lists.select("keyword", F.posexplode("held").alias("idx", "note")).select("keyword", "idx", "note.date", "note.text")

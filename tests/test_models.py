@@ -104,3 +104,49 @@ def test_default_model(spark, fitted, tmp_path):
     assert len(got) == 5 and all(r.sentiment in K.SENTIMENTS and 0 <= r.score <= 1 for r in got)
     report = {r.label for r in T.validation_report(model, split).collect()}
     assert {"accuracy", "macro avg", "weighted avg"} <= report
+
+
+def test_batches_are_bounded_and_carry_their_rows(spark, tmp_path):
+    """Sixteen very long texts and many short ones: batches stay within the bound, and each row has its own result."""
+    lengths = [5000 + i for i in range(16)] + [i % 40 for i in range(300)]
+    for rows, chars in ((16, 20_000), (7, None), (1, 10), (16, 1)):
+        batches = list(S.length_batches(lengths, rows, chars))
+        assert sorted(i for b in batches for i in b) == list(range(len(lengths)))
+        assert all(len(b) <= rows and (chars is None or len(b) == 1 or len(b) * max(lengths[i] for i in b) <= chars) for b in batches)
+    seen = str(tmp_path / "seen")
+
+    def make_model():
+        import numpy as np
+
+        def predict(texts):
+            with open(seen, "a") as f:
+                f.write(f"{len(texts)} {max(map(len, texts))}\n")
+            return {"label": np.array([t[:3] or "none" for t in texts]), "score": np.array([len(t) / 10_000 for t in texts])}
+
+        return predict
+
+    data = [(i, f"{i:03d}" + "x" * (n - 3) if n > 3 else "") for i, n in enumerate(lengths)]
+    got = S.classify(spark.createDataFrame(data, "id int, comment string").coalesce(1), S.batch_scorer(make_model, batch_chars=20_000)).collect()
+    assert {r.id: (r.sentiment, r.score) for r in got} == {i: (t[:3] or "none", round(len(t) / 10_000, 4)) for i, t in data}
+    sizes = [tuple(map(int, x.split())) for x in open(seen)]
+    assert all(n <= 16 and (n == 1 or n * longest <= 20_000) for n, longest in sizes)
+    assert sum(n for n, longest in sizes if longest >= 5000) == 16 and any(n == 16 for n, _ in sizes)
+
+
+def test_models_that_fail_on_a_worker_are_left_out(rows):
+    def good():
+        import numpy as np
+
+        return lambda texts: {"label": np.array(["2"] * len(texts)), "score": np.ones(len(texts))}
+
+    def bad():
+        raise OSError("no weights here")
+
+    df = rows([(1, "a", "positive"), (2, None, "neutral")], "id int, text string, true_label string")
+    registry = {"good": {"load": lambda: S.batch_scorer(good), "labels": K.INGEST_LABELS}, "bad": {"load": lambda: S.batch_scorer(bad)}}
+    got = S.score_with_models(df, registry).collect()
+    assert sorted((r.id, r.model, r.pred_label, r.score) for r in got) == [(1, "good", "positive", 1.0), (2, "good", "positive", 1.0)]
+    with pytest.raises(ValueError, match="every model"):
+        S.score_with_models(df, {"bad": registry["bad"]})
+    with pytest.raises(Exception, match="no weights here"):
+        S.classify(df.select("id", F.col("text").alias("comment")), S.batch_scorer(bad)).collect()

@@ -137,3 +137,29 @@ def test_annotations_file(rows, spark, tmp_path):
     with pytest.raises(Exception, match="no JSON map"):
         read_annotations(spark, str(file)).collect()
     assert read_annotations(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_notes_after_a_log_of_edits(rows, spark):
+    """Against a list that is edited step by step."""
+    import random
+
+    from sentilake.operators import annotations as A
+
+    rnd = random.Random(2)
+    log, lists = [], {"a": [("2024-01-01", "first")], "b": []}
+    notes = rows([("a", 0, "2024-01-01", "first")], "keyword string, idx int, d string, text string").selectExpr("keyword", "idx", "to_date(d) AS date", "text")
+    for seq in range(80):
+        key = rnd.choice("aab")
+        if rnd.random() < 0.6:
+            text = rnd.choice(["", None, f"note {seq}", f"note {seq}"])
+            log.append((key, seq, "add", "2024-02-01", text, None))
+            lists[key] += [("2024-02-01", text)] if text else []
+        else:
+            at = rnd.randint(-1, 5)
+            log.append((key, seq, "delete", None, None, at))
+            if 0 <= at < len(lists[key]):
+                del lists[key][at]
+    rnd.shuffle(log)
+    got = A.replay(rows(log, "keyword string, seq int, op string, date string, text string, position int"), notes)
+    want = sorted((k, i, d, t) for k, held in lists.items() for i, (d, t) in enumerate(held))
+    assert sorted((r.keyword, r.idx, str(r.date), r.text) for r in got.collect()) == want
