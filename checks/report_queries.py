@@ -362,44 +362,92 @@ def annotations_replay(spark, d):
 # --- whole pages ------------------------------------------------------------------------------
 
 
-def _long(panels, columns):
-    """Counts of several panels as (panel, item, n)."""
-    parts = [
-        df.select(F.lit(name).alias("panel"), item(df).cast("string").alias("item"), F.col(n).cast("long").alias("n"))
-        for (name, df), (item, n) in ((p, columns[p[0]]) for p in panels.items() if p[0] in columns)
-    ]
+_LAYOUT = {  # of each panel: the columns that are shown as text, and those that are numbers
+    "kpis": ((), ("total", "n_positive", "n_neutral", "n_negative", "pct_positive", "pct_neutral", "pct_negative")),
+    "classes": (("sentiment",), ("n",)),
+    "scores": (("sentiment", "score_bin"), ("bin_start", "n")),
+    "sources": (("source", "sentiment"), ("n",)),
+    "shown": ((), ("shown", "total")),
+    "alert": (("cutoff", "alert"), ("recent_pct", "prior_pct", "change")),
+    "trend": (("sentiment", "scraped_date", "annotation"), ("pct", "rolling7")),
+    "cards": (("sentiment", "title", "meta", "comment"), ("rank", "score")),
+    "table": (("article_title", "sentiment", "comment", "source", "scraped_date"), ("score",)),
+    "summary": (("keyword",), ("comments", "positive_pct", "neutral_pct", "negative_pct", "avg_score")),
+    "distribution": (("keyword", "measure", "sentiment"), ("pct",)),
+    "brand trend": (("keyword", "scraped_date"), ("pct", "rolling7")),
+}
+
+
+def _page(panels):
+    """All rows of all panels in one table: panel, the texts, the numbers."""
+    parts = []
+    for name, df in panels.items():
+        texts, numbers = _LAYOUT[name]
+        texts = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in texts]) if texts else F.array().cast("array<string>")
+        values = F.array(*[F.coalesce(F.round(F.col(c).cast("double"), 6).cast("double"), F.lit(-1.0)) for c in numbers])
+        parts.append(df.select(F.lit(name).alias("panel"), texts.alias("texts"), values.alias("numbers")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _page_sql(panels):
+    """The same of SQL texts, whose first CTE may begin with a comma."""
+    parts = []
+    for name, sql in panels.items():
+        texts, numbers = _LAYOUT[name]
+        sql = "WITH " + sql.lstrip(", \n") if sql.lstrip().startswith(",") else sql
+        texts = ", ".join(f"coalesce({c}::VARCHAR, '-')" for c in texts)
+        values = ", ".join(f"coalesce(round({c}::DOUBLE, 6), -1)" for c in numbers)
+        parts.append(f"SELECT '{name}' AS panel, [{texts}]::VARCHAR[] AS texts, [{values}]::DOUBLE[] AS numbers FROM ({sql})")
+    return "\nUNION ALL ".join(parts)
+
+
+def _of(sql, view):
+    return sql.replace("FROM comments", f"FROM {view}")
+
+
+_ANALYSIS = {
+    "kpis": _KPI.format(by=""),
+    "classes": "SELECT sentiment, count(*) AS n FROM comments WHERE sentiment IS NOT NULL GROUP BY 1",
+    "scores": """SELECT sentiment, bin AS score_bin, CAST(bin - 1 AS DOUBLE) / 20 AS bin_start, count(*) AS n
+FROM (SELECT sentiment, CAST(least(floor(score * 20), 19) + 1 AS INTEGER) AS bin FROM comments
+      WHERE score IS NOT NULL AND sentiment IS NOT NULL) GROUP BY 1, 2, 3""",
+    "sources": "SELECT source, sentiment, count(*) AS n FROM comments WHERE source IS NOT NULL AND sentiment IS NOT NULL GROUP BY 1, 2",
+    "shown": "SELECT count(*) FILTER (sentiment IN ('positive', 'neutral', 'negative')) AS shown, count(*) AS total FROM comments",
+    "alert": _ALERT.format(by="", over="", t=10),
+    "trend": ", trend AS (SELECT * FROM (WITH " + TREND_SQL.lstrip(",\n") + ")) SELECT t.*, n.text AS annotation FROM trend t LEFT JOIN notes n ON n.keyword = 'brand_4' AND n.date = t.scraped_date",
+    "cards": """SELECT sentiment, rank, score, title,
+  CASE WHEN title <> '' THEN coalesce(source, '') || '  ·  ' || title ELSE coalesce(source, '') END AS meta, comment FROM (""" + _TOP.format(
+        cols="sentiment, rank, score, source, substring(coalesce(nullif(article_title, ''), nullif(product_name, ''), ''), 1, 70) AS title, substring(comment, 1, 320) AS comment",
+        order="score DESC NULLS LAST, id", classes=_ALL, k=5,
+    ) + ")",
+    "table": "SELECT article_title, sentiment, score, comment, source, scraped_date FROM comments WHERE sentiment IN ('positive', 'neutral', 'negative')",
+}
+
+
 @query(
-    "analysis_report", "comments",
-    sql="""SELECT 'kpis' AS panel, 'total' AS item, count(*) AS n FROM comments WHERE keyword = 'brand_4'
-UNION ALL SELECT 'classes', sentiment, count(*) FROM comments WHERE keyword = 'brand_4' AND sentiment IS NOT NULL GROUP BY 2
-UNION ALL SELECT 'sources', source || ' ' || sentiment, count(*) FROM comments
-  WHERE keyword = 'brand_4' AND source IS NOT NULL AND sentiment IS NOT NULL GROUP BY 2
-UNION ALL SELECT 'scores', sentiment || ' ' || CAST(least(floor(score * 20), 19) + 1 AS INTEGER), count(*) FROM comments
-  WHERE keyword = 'brand_4' AND score IS NOT NULL AND sentiment IS NOT NULL GROUP BY 2
-UNION ALL SELECT 'shown', 'shown', count(*) FILTER (sentiment IN ('positive', 'neutral', 'negative')) FROM comments WHERE keyword = 'brand_4'""",
+    "analysis_report", "comments", "notes",
+    sql=", b AS (SELECT * FROM comments WHERE keyword = 'brand_4')\n" + _page_sql({k: _of(v, "b") for k, v in _ANALYSIS.items()}),
 )
 def analysis_report(spark, d):
+    """Every panel of a brand's page, every row of each."""
     panels = reports.analysis_report(V.comments(spark, d), "brand_4", V.notes(spark, d))
-    pair = lambda a, b: lambda df: F.concat_ws(" ", F.col(a), F.col(b).cast("string"))
-    return _long(
-        panels,
-        {
-            "kpis": (lambda df: F.lit("total"), "total"),
-            "classes": (lambda df: F.col("sentiment"), "n"),
-            "sources": (pair("source", "sentiment"), "n"),
-            "scores": (pair("sentiment", "score_bin"), "n"),
-            "shown": (lambda df: F.lit("shown"), "shown"),
-        },
-    )
+    assert set(panels) == set(_ANALYSIS)
+    return _page(panels)
 
 
-@query(
-    "compare_report", "comments",
-    sql=BRAND_TREND_SQL.replace("FROM comments", "FROM comments SEMI JOIN (SELECT DISTINCT keyword FROM comments WHERE keyword IS NOT NULL ORDER BY 1 LIMIT 4) USING (keyword)", 1),
-)
+_FOUR = ", b AS (SELECT * FROM comments SEMI JOIN (SELECT DISTINCT keyword FROM comments WHERE keyword IS NOT NULL ORDER BY 1 LIMIT 4) USING (keyword))\n"
+_COMPARED = {
+    "summary": _BRANDS.format(where=""),
+    "distribution": "SELECT keyword, measure, replace(measure, '_pct', '') AS sentiment, pct FROM (UNPIVOT (" + _BRANDS.format(where="")
+    + ") ON positive_pct, neutral_pct, negative_pct INTO NAME measure VALUE pct)",
+    "brand trend": BRAND_TREND_SQL,
+}
+
+
+@query("compare_report", "comments", sql=_FOUR + _page_sql({k: _of(v, "b") for k, v in _COMPARED.items()}))
 def compare_report(spark, d):
-    trend = reports.compare_report(V.comments(spark, d))["trend"]
-    return trend.withColumn("rolling7", F.round("rolling7", 6))
+    """Every panel of the comparison of the first four brands."""
+    panels = reports.compare_report(V.comments(spark, d))
+    panels["brand trend"] = panels.pop("trend")
+    assert set(panels) == set(_COMPARED)
+    return _page(panels)

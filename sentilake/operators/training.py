@@ -92,7 +92,7 @@ def gram_stages(n: int = 2, features: int = 1 << 18) -> list:
     for i in range(1, n):
         grams = f"zip_with({grams}, slice(_chars, {i + 1}, size(_chars) - {n - 1}), (a, b) -> concat(a, b))"
     return [
-        SQLTransformer(statement="SELECT *, regexp_extract_all(lower(_text), '(?s).', 0) AS _chars FROM __THIS__"),
+        SQLTransformer(statement="SELECT *, array_remove(split(lower(_text), ''), '') AS _chars FROM __THIS__"),
         SQLTransformer(statement=f"SELECT *, CASE WHEN size(_chars) >= {n} THEN {grams} ELSE array() END AS _grams FROM __THIS__"),
         HashingTF(numFeatures=features, inputCol="_grams", outputCol="_tf"),
     ]
