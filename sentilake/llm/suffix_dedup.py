@@ -27,7 +27,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from sentilake.llm.bytehash import SEGMENT, gram_hashes, mix, parts, range_hashes, string_column
+from sentilake.llm.bytehash import SEGMENT, gram_hashes, mix, parts, string_column, string_hashes
 from sentilake.llm.common import small_batches, stage
 from sentilake.llm.shingles import word_ranges
 
@@ -46,8 +46,9 @@ def word_symbols(data, offsets):
     done = 0
     for a, b in parts(offsets):
         text, starts, stops = word_ranges(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        h = range_hashes(data[offsets[a] : offsets[b]], starts, stops)
-        symbols.append(np.minimum(h.view(np.uint8), END - 1))
+        h = string_hashes(data[offsets[a] : offsets[b]], starts, stops)
+        digits = np.stack([h // np.uint64(END**i) % np.uint64(END) for i in range(WORD)], axis=1)
+        symbols.append(digits.astype(np.uint8).ravel())
         ends.append(done + np.searchsorted(text, np.arange(b - a), side="right") * WORD)
         done += len(h) * WORD
     return np.concatenate(symbols), np.concatenate(ends)
@@ -107,7 +108,7 @@ def text_anchors(data, offsets, window=WINDOW, gram=GRAM):
         empty = np.zeros(0, dtype=np.int64)
         return (empty, empty.astype(np.uint64), empty, empty, empty, empty.astype(bool)), (empty, empty, empty)
     row, h, place, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-    sides = range_hashes(data, lo, hi + window)
+    sides = string_hashes(data, lo, hi + window)
     content = mix(sides ^ mix((place - lo).astype(np.uint64)) ^ row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, first, back, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
     again = times[back] > 1
