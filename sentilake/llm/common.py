@@ -1,5 +1,8 @@
 """Tables, stages and settings that the operators share."""
 
+import gc
+import re
+
 from sentilake.session import scratch_path
 
 
@@ -14,6 +17,17 @@ def stage(df, name):
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark, *frames):
+    """Delete staged tables that nothing needs any more. Spark then also drops the shuffles and broadcasts that led to them,
+    once its driver has collected its garbage."""
+    for folder in {f.rsplit("/", 1)[0] for frame in frames for f in frame.inputFiles()}:
+        if re.search("-[0-9a-f]{32}$", folder):
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark, rows=64):
     """Whole texts go to Python: keep an Arrow batch at a few dozen rows, as many can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

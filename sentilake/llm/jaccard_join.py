@@ -2,26 +2,34 @@
 
 Two sets that link differ in at most (1 - t) / (1 + t) of their summed sizes. Sets go by size bands so wide that a link
 stays within a band or two neighbouring ones; the instance of a band has one bound k on the differing elements. It cuts the
-feature domain by hash into more than k parts, so that linked sets agree wholly on one part at least: the signatures are
-the subsets of one part each, hashed with part and instance. Enough parts are added that one of those is not empty; a set
-with too many empty parts lists them too. Sets whose signature nobody shares link with nothing.
+feature domain by hash into n1 = k / 2 + 1 first parts and each of these into three second parts. Of linked sets one first part
+at least holds no more than one differing element, so the sets agree wholly on two of its second parts: the signatures are the
+subsets of two second parts, hashed with first part and instance. Enough first parts are added that one such subset is not empty;
+a set with too many empty subsets lists these too. Sets whose signature nobody shares link with nothing.
 
 - Equal sets are one set from the start. Sets that cannot link are dropped before signatures are made: of a linked pair's
   features at least 85 % are shared, so among the features whose hash falls in a sixteenth of the domain many must be met
   elsewhere. How many is set so that a linked set fails with probability below 1e-12, the order of a hash collision.
-- In a bucket only pairs with its first and its last set are listed, which is enough when they link. What stays in several
-  components is joined pair by pair; pairs whose parity sketches differ in more bits than elements may differ are not
-  listed. Every listed pair is verified by its exact intersection, and links become components by stars.
+  ``prefilter=False`` does without.
+- Most signatures are met once. Which are met again is counted by signature alone; a Bloom filter of those, if its size allows,
+  then lets only their sets into the shuffle by bucket.
+- In a bucket only pairs with its first and its last set are listed, which is enough when they link. Of a set's pairs the one
+  that shares most signatures is verified first, by its exact intersection, and the others only where they could still join
+  two components. What then stays in several components is joined pair by pair; pairs whose parity sketches differ in more bits
+  than elements may differ are not listed. Links become components by stars.
 """
 
+import itertools
 import math
 from functools import cache
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from sentilake.functions import bloom
 from sentilake.llm.bytehash import mix
-from sentilake.llm.common import small_batches, stage
+from sentilake.llm.common import discard, small_batches, stage
 from sentilake.llm.components import components
 from sentilake.llm.shingles import shingle_sets
 from sentilake.llm.suffix_dedup import text_key
@@ -31,6 +39,9 @@ THRESHOLD = 85  # per cent
 SAMPLE = 16
 PARITY_WORDS = 8
 MISS = 1e-12
+SECOND, DIFFER = 3, 1  # second parts of a first part, and how many of them a subset leaves out
+FILTER_BLOCKS = 16_384  # of 4 KB: the largest filter of signatures that goes to every task
+FEW_SETS = 200_000  # sets whose keys, some 50 bytes each, may go to every task
 
 
 @cache
@@ -69,15 +80,22 @@ def signatures(features, threshold=THRESHOLD):
         if k == 0:
             continue  # such sets link only when equal
         spare = k // 50 + 1
-        parts = k + 1 + spare
+        first = k // (DIFFER + 1) + 1 + spare
         seeded = mix(features ^ np.uint64(instance + 1))
-        part = (seeded % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, dtype=np.uint64)
+        part = (seeded % np.uint64(first * SECOND)).astype(np.int64)
+        sums = np.zeros(first * SECOND, dtype=np.uint64)
         np.add.at(sums, part, mix(seeded))
-        full = np.zeros(parts, dtype=bool)
-        full[part] = True
-        listed = np.flatnonzero(full) if parts - full.sum() <= spare else np.arange(parts)
-        out.append(mix(sums[listed] ^ mix((np.uint64(instance) << np.uint64(40)) + listed.astype(np.uint64))))
+        full = np.bincount(part, minlength=first * SECOND).reshape(first, SECOND) > 0
+        sums = sums.reshape(first, SECOND)
+        place = mix((np.uint64(instance) << np.uint64(40)) + np.arange(first, dtype=np.uint64))
+        subsets = list(itertools.combinations(range(SECOND), SECOND - DIFFER))
+        held = np.stack([full[:, c].any(axis=1) for c in subsets])
+        listed = held if (~held).any(axis=0).sum() <= spare else np.ones_like(held)
+        for c, there in zip(subsets, listed, strict=True):
+            h = place[there]
+            for j in c:
+                h = mix((h ^ sums[there, j]) * np.uint64(2 * j + 3))
+            out.append(h)
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -163,23 +181,75 @@ def _may_link(x, y, threshold):
     return sizes & ((100 + threshold) * apart <= (100 - threshold) * (n + m))
 
 
-def _verified(pairs, sets, features, threshold):
+def _near(pairs, narrow, threshold):
+    """The pairs (a, b) that may link, with the sizes of both sets."""
+    both = pairs.alias("p").join(narrow.alias("x"), F.col("p.a") == F.col("x.sid")).join(narrow.alias("y"), F.col("p.b") == F.col("y.sid"))
+    return both.filter(_may_link("x", "y", threshold)).select("p.*", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
+def _verified(near, features, threshold):
     """The pairs (a, b) of sets that link."""
-    narrow = sets.select("sid", "n", "parity")
-    near = (
-        pairs.alias("p")
-        .join(narrow.alias("x"), F.col("p.a") == F.col("x.sid"))
-        .join(narrow.alias("y"), F.col("p.b") == F.col("y.sid"))
-        .filter(_may_link("x", "y", threshold))
-        .select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    )
     both = near.join(features.select(F.col("sid").alias("a"), F.col("f").alias("fa")), "a")
     both = both.join(features.select(F.col("sid").alias("b"), F.col("f").alias("fb")), "b")
     shared = F.size(F.array_intersect("fa", "fb"))
     return both.filter(100 * shared >= threshold * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def link_sets(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold=THRESHOLD):
+def _buckets(signed):
+    """(sig, sid, lo, hi) of the signatures that several sets have, with the first and the last of these."""
+    spark = signed.sparkSession
+    met = stage(signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "met-signatures")
+    blocks = spark.range(1).select(bloom.blocks_for(F.lit(met.count())).alias("b")).first().b
+    listed = signed
+    if blocks <= FILTER_BLOCKS:
+        few = bloom.build(met.withColumn("blocks", F.lit(blocks)), "sig").select("block", "bits")
+        listed = signed.join(F.broadcast(few), (bloom.block_of("sig", F.lit(blocks)) == F.col("block")) & bloom.may_hold("bits", F.col("sig")), "left_semi")
+    listed = stage(listed.join(met.hint("merge"), "sig", "left_semi"), "signed")
+    ends = listed.groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi")
+    members = stage(listed.join(ends.hint("merge"), "sig"), "buckets")
+    discard(spark, met, listed)
+    return members
+
+
+def _labels(first, more):
+    """(node, component) of first's components, joined further by the edges more."""
+    if more.isEmpty():
+        return first
+    label = first.select("node", "component")
+    edges = more.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    edges = edges.join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    edges = edges.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    then = components(edges, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    ends = edges.select(F.col("a").alias("node"), F.col("ca").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("cb").alias("component")))
+    nodes = first.unionByName(ends).distinct()
+    return stage(nodes.join(then, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+
+
+def _apart(pairs, labels):
+    """The pairs whose ends are not in one component."""
+    placed = pairs.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    placed = placed.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return placed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "na", "nb")
+
+
+def _alive(keys, threshold):
+    """(k, k0, k1, n) of the sets of which enough samples are met in other sets."""
+    spark = keys.sparkSession
+    sampled = keys.select("k0", "k1", F.explode("samples").alias("f"))
+    met = sampled.groupBy("f").agg(F.min("k0").alias("lo"), F.max("k0").alias("hi")).filter("lo <> hi").select("f")
+    shared = sampled.join(met, "f").groupBy("k0", "k1").agg(F.count("*").alias("shared"))
+    most = int(keys.agg(F.max(F.size("samples"))).first()[0] or 0)
+    rule = spark.createDataFrame([(i, least_shared(i, threshold)) for i in range(min(most, 256) + 1)], "size int, least int")
+    needed = F.when(F.size("samples") > 256, least_shared(256, threshold)).otherwise(F.col("least"))
+    return (
+        keys.join(shared, ["k0", "k1"], "left")
+        .join(F.broadcast(rule), F.size("samples") == F.col("size"), "left")
+        .filter(F.coalesce("shared", F.lit(0)) >= needed)
+        .select("k", "k0", "k1", "n")
+    )
+
+
+def link_sets(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold=THRESHOLD, prefilter=True):
     """(id_col, n_shingles, component_id) of each row of docs.
 
     component_id is the least id reachable by links. Null and blank text has no shingles and links with nothing, its
@@ -193,56 +263,54 @@ def link_sets(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold
     kind = rows.schema["id"].dataType.simpleString()
     found = stage(rows.mapInArrow(_set_rows(shingle), f"id {kind}, k binary, k0 long, k1 long, n long, samples array<long>"), "sets")
 
-    # One text for each set, and of those the sets of which enough samples are met in other sets.
+    # One text for each set that may link.
     keys = found.filter("n > 1").groupBy("k0", "k1").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("samples").alias("samples"))
     keys = stage(keys, "distinct-sets")
-    sampled = keys.select("k0", "k1", F.explode("samples").alias("f"))
-    met = sampled.groupBy("f").agg(F.min("k0").alias("lo"), F.max("k0").alias("hi")).filter("lo <> hi").select("f")
-    shared = sampled.join(met, "f").groupBy("k0", "k1").agg(F.count("*").alias("shared"))
-    most = int(keys.agg(F.max(F.size("samples"))).first()[0] or 0)
-    rule = spark.createDataFrame([(i, least_shared(i, threshold)) for i in range(min(most, 256) + 1)], "size int, least int")
-    needed = F.when(F.size("samples") > 256, least_shared(256, threshold)).otherwise(F.col("least"))
-    alive = (
-        keys.join(shared, ["k0", "k1"], "left")
-        .join(F.broadcast(rule), F.size("samples") == F.col("size"), "left")
-        .filter(F.coalesce("shared", F.lit(0)) >= needed)
-        .select("k", "k0", "k1", "n")
-    )
-    texts = rows.groupBy("k").agg(F.first("t").alias("t")).join(alive, "k")
+    alive = stage(_alive(keys, threshold) if prefilter else keys.select("k", "k0", "k1", "n"), "alive-sets")
+    chosen = F.broadcast(alive) if alive.count() <= FEW_SETS else alive
+    texts = rows.select("k", "t").join(chosen.select("k"), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")).join(chosen, "k")
     sets = texts.select("k0", "k1", "n", "t").mapInArrow(_detail_rows(shingle), "k0 long, k1 long, n long, t string, parity array<long>")
     sets = stage(sets.withColumn("sid", F.monotonically_increasing_id()), "live-sets")
+    discard(spark, keys, alive)
 
-    # Buckets of two sets and more, with their first and last set.
-    listed = sets.select("sid", "t").mapInArrow(_signature_rows(shingle, threshold), "sig long, sid long")
-    buckets = listed.groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi")
-    members = stage(listed.join(buckets, "sig"), "buckets")
+    # Pairs with the first and the last set of each bucket.
+    members = _buckets(sets.select("sid", "t").mapInArrow(_signature_rows(shingle, threshold), "sig long, sid long"))
     stars = members.filter("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b"))
-    stars = stars.unionByName(members.filter("sid <> lo and sid <> hi").select(F.col("sid").alias("a"), F.col("hi").alias("b"))).distinct()
+    stars = stars.unionByName(members.filter("sid <> lo and sid <> hi").select(F.col("sid").alias("a"), F.col("hi").alias("b")))
+    narrow = sets.select("sid", "n", "parity")
+    near = stage(_near(stars.groupBy("a", "b").agg(F.count("*").alias("met")), narrow, threshold), "near")
     features = sets.select("sid", "t").mapInArrow(_feature_rows(shingle), "sid long, f array<long>")
-    links = stage(_verified(stars, sets, features, threshold), "links")
-    joined = components(links)
+    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("met"), "a"))
+    ranked = near.withColumn("best", best)
+    links = stage(_verified(ranked.filter("best = 1"), features, threshold), "links")
+    joined = stage(components(links), "labels")
+    discard(spark, links)
+    links = stage(_verified(_apart(near, joined), features, threshold), "links")
+    joined = _labels(joined, links)
+    discard(spark, near, links)
 
     # Sets of one bucket in different components: pair by pair, without those listed above.
     placed = members.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
     placed = placed.select("sig", "sid", "lo", "hi", F.coalesce("component", "sid").alias("c"))
     mixed = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).filter("c0 <> c1 and size > 2")
-    open_ = placed.join(mixed.select("sig"), "sig").join(sets.select("sid", "n", "parity"), "sid")
+    open_ = placed.join(mixed.select("sig"), "sig").join(narrow, "sid")
     rest = (
         open_.alias("x")
         .join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", threshold))
         .filter("x.sid <> x.lo and y.sid <> y.hi")
-        .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+        .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         .distinct()
     )
-    more = stage(_verified(rest, sets, features, threshold), "more-links")
-    linked = components(links.unionByName(more))
+    more = stage(_verified(rest, features, threshold), "more-links")
+    linked = _labels(joined, more)
 
     # Back to documents: the least id of each set, then of each component.
     classes = sets.join(linked, sets["sid"] == linked["node"]).select("k0", "k1", "component")
     ids = found.filter("n > 0").groupBy("k0", "k1").agg(F.min("id").alias("least"))
     ids = ids.join(classes, ["k0", "k1"], "left")
     roots = ids.filter("component is not null").groupBy("component").agg(F.min("least").alias("root"))
-    ids = ids.join(roots, "component", "left").select("k0", "k1", F.coalesce("root", "least").alias("root"))
+    ids = stage(ids.join(roots, "component", "left").select("k0", "k1", F.coalesce("root", "least").alias("root")), "roots")
+    discard(spark, members, more, sets)
     out = found.select("id", "k0", "k1", "n").join(ids, ["k0", "k1"], "left")
     root = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"))

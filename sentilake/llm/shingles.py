@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sentilake.llm.bytehash import mix, parts, range_hashes, string_column
+from sentilake.llm.bytehash import mix, parts, string_column, string_hashes
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(9, 14)]] = True
@@ -28,7 +28,7 @@ def words(data, offsets, lower=True):
         capital = (data >= 65) & (data <= 90)
         data = np.where(capital, data + 32, data).astype(np.uint8)
     text, starts, ends = word_ranges(data, offsets)
-    return text, range_hashes(data, starts, ends)
+    return text, string_hashes(data, starts, ends)
 
 
 def shingle_sets(column, size, lower=True):
@@ -52,10 +52,10 @@ def _sets(data, offsets, size, lower):
         if b - a >= size:
             out.append(np.unique(rolled[a : b - size + 1]))
         elif b > a:
-            one = np.uint64(b - a)
-            for x in h[a:b][::-1]:
-                one = mix(np.array([x + one * np.uint64(5)], dtype=np.uint64))[0]
-            out.append(np.array([one], dtype=np.uint64))
+            one = np.array([b - a], dtype=np.uint64)
+            for i in range(b - 1, a - 1, -1):
+                one = mix(h[i : i + 1] + one * np.uint64(5))
+            out.append(one)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

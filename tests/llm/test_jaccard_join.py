@@ -68,9 +68,27 @@ def test_against_brute_force(spark, rows, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(docs)
 
 
+@pytest.mark.parametrize("limits", [{"FILTER_BLOCKS": 0}, {"FEW_SETS": 0}])
+def test_other_ways_give_the_same(spark, rows, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jj, name, value)
+    docs = corpus(3)
+    got = jj.link_sets(rows(docs, "doc_id long, text string"), prefilter="FEW_SETS" not in limits)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(docs)
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(rows):
+    """Thue-Morse words and their complements."""
+    word = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    other = lambda w: w.translate(str.maketrans("ab", "ba"))
+    one, two = (" ".join(["x", "y", w, "z"]) for w in (word(1024), other(word(1024))))
+    got = {r.doc_id: r.component_id for r in jj.link_sets(rows([(1, one), (2, two), (3, two), (4, word(2048)), (5, other(word(2048)))], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
 def test_signatures_are_complete():
     rnd = np.random.default_rng(1)
-    for _ in range(600):
+    for _ in range(1500):
         n = int(rnd.integers(7, 400))
         x = rnd.integers(0, 2**63, n).astype(np.uint64)
         drop, add = rnd.integers(0, n // 6 + 1, 2)
