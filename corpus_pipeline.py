@@ -8,23 +8,31 @@ documents, n_chars counted anew where the text changes. ``run`` is registered as
 from pyspark.sql import functions as F
 
 from sentilake.llm import byte_cnn, jaccard_join, packing, pii, suffix_dedup
-from sentilake.llm.common import stage, table
+from sentilake.llm.common import discard, stage, table
 
 ORACLE_SQL = None
 
 
+def spare(docs, name):
+    """A column name that docs does not have, whatever the case."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def classify(spark, docs, sf_dir):
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null texts are scored as empty ones; rows that repeat an id, or have
+    none, are scored each; an empty table stays empty."""
     model = byte_cnn.train(docs, table(spark, sf_dir, "labels"))
-    scored = byte_cnn.score(docs, model, name="score_of_quality")
-    return scored.filter("score_of_quality >= 0.5").drop("score_of_quality")
+    score = spare(docs, "score")
+    return byte_cnn.score(docs, model, name=score).filter(F.col(score) >= 0.5).drop(score)
 
 
-def row_keys(docs):
-    """docs with __key: the id, those without one last, and 128 bits of the whole row. Rows of one key are equal."""
-    rest = F.to_json(F.struct(F.col("text").isNull().alias("none"), *(c for c in docs.columns if c != "text")))
+def row_keys(docs, name):
+    """docs with a key: the id, those without one last, and 128 bits of the whole row. Rows of one key are equal."""
+    rest = F.to_json(F.struct(F.col("text").isNull().alias(spare(docs, "none")), *(c for c in docs.columns if c != "text")))
     digest = suffix_dedup.text_key(F.concat(F.hex(suffix_dedup.text_key(F.col("text"))), rest))
-    return docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
+    return docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
 
 
 def drop_near_copies(spark, docs, sf_dir):
@@ -34,35 +42,38 @@ def drop_near_copies(spark, docs, sf_dir):
     texts link with nothing and stay.
     """
     worded = F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")
-    keyed = row_keys(docs.filter(worded))
-    linked = jaccard_join.link_sets(keyed, id_col="__key", shingle=5, threshold=80)
-    kept = linked.filter("__key = component_id").select(F.col("__key.digest").alias("digest")).distinct()
-    keyed = keyed.select(F.col("__key.digest").alias("digest"), *docs.columns)
-    named = keyed.join(kept, "digest", "left_semi").dropDuplicates(["digest"])
+    key, digest = spare(docs, "key"), spare(docs, "digest")
+    keyed = row_keys(docs.filter(worded), key)
+    linked = jaccard_join.link_sets(keyed.select(key, "text"), id_col=key, shingle=5, threshold=80)
+    kept = linked.filter(F.col(key) == F.col("component_id")).select(F.col(f"{key}.digest").alias(digest)).distinct()
+    keyed = keyed.select(F.col(f"{key}.digest").alias(digest), *docs.columns)
+    named = keyed.join(kept, digest, "left_semi").dropDuplicates([digest])
     return named.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def remove_repeats(spark, docs, sf_dir):
     """Passages of over 50 words, or of 400 bytes, that repeat are cut out of every text; a text of which nothing is left goes,
-    one that was empty stays."""
+    one that was empty or null stays. Rows of equal text are copies of each other, whatever their ids."""
     _, kept = suffix_dedup.remove_repeats(docs, words=51)
-    kept = kept.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^ \t-\r]")).select("k", "kept_text")
+    kept = kept.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^ \t-\r]"))
+    key, none, left = spare(docs, "k"), spare(docs, "none"), spare(docs, "kept_text")
+    kept = kept.select(F.col("k").alias(key), F.col("kept_text").alias(left))
     # The old texts stay behind: only their digests travel.
-    rest = docs.select(suffix_dedup.text_key(F.col("text")).alias("k"), F.col("text").isNull().alias("none"), *(c for c in docs.columns if c != "text"))
-    text = F.when(~F.col("none"), F.col("kept_text"))
-    size = F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("kept_text"), F.lit(0)).cast("long"))
+    rest = docs.select(suffix_dedup.text_key(F.col("text")).alias(key), F.col("text").isNull().alias(none), *(c for c in docs.columns if c != "text"))
+    text = F.when(~F.col(none), F.col(left))
+    size = F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length(left), F.lit(0)).cast("long"))
     new = {"text": text.alias("text"), "n_chars": size.alias("n_chars")}
-    return rest.join(kept, "k").select(*(new.get(c, F.col(c)) for c in docs.columns))
+    return rest.join(kept, key).select(*(new.get(c, F.col(c)) for c in docs.columns))
 
 
 def mask_personal_data(spark, docs, sf_dir):
-    """Spans of personal data become their kind."""
+    """Spans of personal data become their kind. Null texts stay null; every row stays, whatever its id."""
     masked = pii.mask(docs)
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
 def pack(spark, docs, sf_dir):
-    """Token pieces in sequences."""
+    """Token pieces in sequences. A null text is packed as an empty one; rows that repeat an id, or have none, each have pieces."""
     return packing.pack(docs)
 
 
@@ -77,6 +88,8 @@ STAGES = [
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    for i, (name, f) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage(f(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        if i:
+            discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
