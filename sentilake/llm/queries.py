@@ -15,7 +15,8 @@ def query(f):
 
 @query
 def op1_suffix_dedup(spark, d):
-    return suffix_dedup.kept_texts(table(spark, d, "documents"), with_text=False)
+    """Repeated strings of 400 bytes; beside them the bytes of repeated passages of over 50 words, many of which are shorter."""
+    return suffix_dedup.kept_texts(table(spark, d, "documents"), with_text=False, words=51, cut_words=False)
 
 
 @query

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sentilake.llm.bytehash import SEGMENT, gram_hashes, mix, parts, string_column, string_hashes
-from sentilake.llm.common import small_batches, stage
+from sentilake.llm.common import discard, small_batches, stage
 from sentilake.llm.shingles import word_ranges
 
 WINDOW = 400
@@ -353,8 +353,11 @@ def _word_spans(data, s, e):
     return bounds[first], bounds[last]
 
 
-def _cut_rows(window, words):
-    """Text and its repeated spans to what is left of it; a copy of another text that holds a window goes whole."""
+def _cut_rows(window, words, cut_words):
+    """Text and its repeated spans to what is left of it; a copy of another text that holds a window goes whole.
+
+    Spans of words are counted by the bytes from their first word to their last, and cut too if asked for.
+    """
 
     def rows(batches):
         import pyarrow as pa
@@ -363,26 +366,32 @@ def _cut_rows(window, words):
             out = []
             for k, text, spans, copies in zip(*(batch.column(i) for i in range(4)), strict=True):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
-                s = e = np.zeros(0, dtype=np.int64)
+                s = e = from_word = to_word = np.zeros(0, dtype=np.int64)
                 if spans.is_valid and len(spans):
                     s, e, by_word = (spans.values.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e", "by_word"))
                     by_word = by_word.astype(bool)
                     if by_word.any():
-                        found = _word_spans(data, s[by_word], e[by_word])
-                        s, e = (np.concatenate([x[~by_word], y]) for x, y in zip((s, e), found, strict=True))
-                if copies.as_py() > 1 and (len(data) >= window or words and len(word_ranges(data, np.array([0, len(data)]))[1]) >= words):
-                    s, e = np.zeros(1, dtype=np.int64), np.full(1, len(data))
+                        from_word, to_word = _word_spans(data, s[by_word], e[by_word])
+                        s, e = s[~by_word], e[~by_word]
+                whole = np.zeros(1, dtype=np.int64), np.full(1, len(data))
+                if copies.as_py() > 1 and len(data) >= window:
+                    s, e = whole
+                if copies.as_py() > 1 and words and len(word_ranges(data, np.array([0, len(data)]))[1]) >= words:
+                    from_word, to_word = whole
+                _, first, last = merged(np.zeros(len(from_word), dtype=np.int64), from_word, to_word)
+                if cut_words:
+                    s, e = np.concatenate([s, first]), np.concatenate([e, last])
                 _, s, e = merged(np.zeros(len(s), dtype=np.int64), s, e)
                 gone = np.zeros(len(data) + 1, dtype=np.int8)
                 gone[s] += 1
                 gone[e] -= 1
                 kept = data[np.cumsum(gone[:-1]) == 0].tobytes()
-                out.append((k.as_py(), len(data), int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                digest = hashlib.sha256(kept).hexdigest()
+                out.append((k.as_py(), len(data), int((e - s).sum()), len(s), digest, int((last - first).sum()), kept.decode("utf-8", "ignore")))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-                if out
-                else [pa.array([], t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())],
-                names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)],
+                names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "kept_text"],
             )
 
     return rows
@@ -421,14 +430,17 @@ def _repeats(rows, texts, name, window, gram, hot, batch_strings, by_word=False)
     windows = cut(True).mapInArrow(_window_rows(window, gram), "k binary, w binary, s long")
     twice = windows.groupBy("w").count().filter("count > 1").select("w")
     hot_spans = windows.join(twice, "w").select("k", "s", (F.col("s") + window).alias("e"))
-    return spans.unionByName(hot_spans).unionByName(settled).withColumn("by_word", F.lit(by_word))
+    spans = stage(spans.unionByName(hot_spans).unionByName(settled).withColumn("by_word", F.lit(by_word)), "spans")
+    discard(spark, found)
+    return spans
 
 
-def remove_repeats(docs, id_col="doc_id", text_col="text", window=WINDOW, gram=GRAM, hot=HOT, batch_strings=BATCH_STRINGS, words=None, word_gram=WORD_GRAM):
+def remove_repeats(docs, id_col="doc_id", text_col="text", window=WINDOW, gram=GRAM, hot=HOT, batch_strings=BATCH_STRINGS, words=None, word_gram=WORD_GRAM, cut_words=True):
     """Texts without the bytes that a repeated string of ``window`` bytes, or of ``words`` words if given, covers.
 
     Words are equal by bytes, whatever white space stands between them; the space from a cut word to the next goes with it.
-    One row for each row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, kept_text (an UTF-8 character of which
+    One row for each row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes (those that repeated
+    strings of words cover, which stay in the text without ``cut_words``), kept_text (an UTF-8 character of which
     a removal left only a part is dropped there, not in the digest). Null text counts as empty; texts shorter than each
     window stay whole; rows with equal text, also repeated rows, are copies of each other, so long ones are removed whole;
     null and repeated ids are carried as they are. Other columns of docs are not read. An empty table gives none.
@@ -444,7 +456,7 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", window=WINDOW, gram=G
     kept = (
         texts.join(per_text, "k", "left")
         .select("k", "t", "spans", "copies")
-        .mapInArrow(_cut_rows(window, words), "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+        .mapInArrow(_cut_rows(window, words, cut_words), "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, kept_text string")
     )
     return rows.select("id", "k"), kept
 

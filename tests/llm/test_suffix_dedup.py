@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -99,3 +100,43 @@ def test_common_prefixes_against_sorting():
         seen = Counter(key)
         want = [seen[x] > 1 and i <= a[s] and span - i <= b[s] for s, x in enumerate(key)]
         assert got[:, i].tolist() == want
+
+
+def brute_passages(texts, words):
+    """Bytes of each text that repeated runs of so many words cover, to the begin of the next word."""
+    raw = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)] for x in raw]
+    runs = [[tuple(x[a:b] for a, b in r[i : i + words]) for i in range(len(r) - words + 1)] for x, r in zip(raw, at, strict=True)]
+    seen = Counter(w for r in runs for w in r)
+    out = []
+    for x, r, windows in zip(raw, at, runs, strict=True):
+        gone = set()
+        for i, w in enumerate(windows):
+            if seen[w] > 1:
+                gone |= set(range(r[i][0], r[i + words][0] if i + words < len(r) else len(x)))
+        out.append(len(x) if gone and raw.count(x) > 1 else len(gone))
+    return out
+
+
+def test_passages_beside_the_byte_rule(spark, rows):
+    """Short passages of many words are counted; the columns of the byte rule stay as they are."""
+    rnd = random.Random(8)
+    words = lambda n: " ".join(rnd.choice("ab") + str(rnd.randint(0, 40)) for _ in range(n))
+    passage, other = words(51), words(50)
+    texts = [words(20) + " " + passage + " " + words(9), passage + "\n" + words(4), other, words(3) + " " + other, words(600), None, "", "one"]
+    texts += [texts[4], words(30) + " " + texts[4][50:500]]
+    docs = rows([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(sd.kept_texts(docs, words=51, cut_words=False).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(texts, 400)
+    assert [r.n_passage_bytes for r in got] == brute_passages(texts, 51)
+    assert got[0].n_passage_bytes > 0 == got[0].n_removed and got[2].n_passage_bytes == 0
+
+
+def test_words_of_one_polynomial_hash_are_no_repeat(spark, rows):
+    """Thue-Morse words and their complements among equal words."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    some = " ".join(f"w{i}" for i in range(30))
+    docs = rows([(1, f"{some} {word} {some}x"), (2, f"{some} {other} {some}y"), (3, f"{some} {other} {some}z")], "doc_id long, text string")
+    got = {r.doc_id: r.n_passage_bytes for r in sd.kept_texts(docs, words=51, cut_words=False).collect()}
+    assert got[1] == 0 and got[2] == got[3] > 1000
