@@ -182,6 +182,19 @@ def page_links(spark, d):
     return E.news_links(table(spark, d, "pages", heavy=True), where=F.lit(True))
 
 
+@query(
+    "thread_links",
+    sql="WITH " + _LINKS + """, t AS (SELECT page_id, pos, 'https://a.5ch.net/test/read.cgi/' || substring(href, 2) AS href, trim(text) AS title
+  FROM links WHERE page_id % 3 = 1 AND href LIKE '/%' AND trim(text) <> '')
+SELECT page_id, pos, href AS url, title FROM t QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1""",
+)
+def thread_links(spark, d):
+    """Links of a forum search: a third of the pages have the forum's host and path, another third its host alone."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("/", "https://a.5ch.net/test/read.cgi/", "https://a.5ch.net/list/")]), (F.col("page_id") % 3 + 1).cast("int"))
+    pages = table(spark, d, "pages", heavy=True)
+    return E.thread_links(pages.withColumn("html", F.replace("html", F.lit('href="/'), F.concat(F.lit('href="'), kind))))
+
+
 @query(
     "page_links_first_three",
     sql="WITH " + _LINKS + """, kept AS (SELECT page_id, pos, href AS url, trim(text) AS title FROM links WHERE trim(text) <> ''
@@ -365,29 +378,48 @@ def named_news_comments(spark, d):
     return landing.records("yahoo", comments, items, selects=(Select("block", ("div",), ("ad",), token=True),), names=(Select("name", ("h1",)),))
 
 
+_SITE_BLOCKS = {  # a page's block in each site's own form
+    "yahoo": f'<p class="{K.NEWS_COMMENT_CLASS}-10 x">$1</p>',
+    "cosme": '<div class="review-sec"><div class="x body">$1</div></div>',
+    "kakaku": f'<div class="x {K.PRICE_REVIEW_CLASS}">$1</div>',
+    "tabelog": f'<div class="{K.RESTAURANT_REVIEW_CLASS}">$1</div>',
+}
+_LANDED_PAGES = "\n".join(
+    f"UNION ALL SELECT '{source}', url, {text} FROM pages WHERE contains(html, '<div class=\"ad\">') AND length({text}) >= {K.MIN_COMMENT_CHARS[source]}"
+    for source, text in (("yahoo", _AD_RAW), ("cosme", _AD_TEXT), ("kakaku", _AD_TEXT), ("tabelog", _AD_TEXT))
+)
+
+
 @query(
     "pages_to_landing", "tweets",
     sql=""", t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-posts AS (SELECT doc_id, unnest(ls) AS l FROM t)
-SELECT '5ch' AS source, count(*) AS n FROM posts WHERE length(trim(l)) >= 5
-UNION ALL SELECT 'twitter', count(*) FROM tweets UNION ALL SELECT 'yahoo', 0 UNION ALL SELECT 'cosme', 0 UNION ALL SELECT 'kakaku', 0 UNION ALL SELECT 'tabelog', 0""",
+posts AS (SELECT doc_id, unnest(ls) AS l FROM t),
+texts AS (SELECT 'twitter' AS source, NULL AS url, text AS comment FROM tweets """ + _LANDED_PAGES + """),
+landed AS (SELECT source, url, comment FROM texts UNION ALL SELECT '5ch', 'https://t/' || doc_id, l FROM posts WHERE length(trim(l)) >= 5)
+SELECT source, CASE WHEN source <> 'twitter' THEN url END AS url, count(*) AS n,
+  CASE WHEN source NOT IN ('twitter', '5ch') THEN string_agg(comment, '|' ORDER BY comment) END AS comments FROM landed GROUP BY 1, 2""",
 )
 def pages_to_landing(spark, d):
-    """All six sources through one plan into the landing folder; the pages hold none of the sites' classes."""
+    """All six sources through one plan into the landing folder, the pages' blocks in each site's classes."""
     path = scratch_path(spark, "landing")
     pages = table(spark, d, "pages")
+    block = r'(?s)<div class="ad">(.*?)</div>'
+    fetched = {s: (pages.withColumn("html", F.regexp_replace("html", block, own)), None) for s, own in _SITE_BLOCKS.items()}
     threads = table(spark, d, "documents").select(
-        F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("thread_url"),
+        F.concat(F.lit("https://t/"), F.col("doc_id").cast("string")).alias("thread_url"),
         F.col("source").alias("thread_title"),
         F.regexp_replace("text", r"(?d)(^|\n)([^\n])", "$1name<>sage<>2024<>$2").alias("content"),
     )
-    fetched = {s: (pages, None) for s in ("yahoo", "cosme", "kakaku", "tabelog")}
     landing.pages_to_landing({**fetched, "5ch": (threads, None), "twitter": (V.tweets(spark, d), V.users(spark, d))}, path)
     found = None
-    for source in K.CANONICAL_NAMES:
-        n = read_landing(spark, path, source).agg(F.lit(source).alias("source"), F.count("*").alias("n"))
-        found = n if found is None else found.unionByName(n)
-    return found
+    for source, names in K.CANONICAL_NAMES.items():
+        url = next((name for name, common in names.items() if common == "article_url"), "article_url")
+        url = F.lit(None).cast("string") if source == "twitter" else F.col(url)
+        rows = read_landing(spark, path, source).select(F.lit(source).alias("source"), url.alias("url"), "comment")
+        found = rows if found is None else found.unionByName(rows)
+    of_page = ~F.col("source").isin("twitter", "5ch")  # a page's comments are few
+    counted = found.groupBy("source", "url").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(of_page, F.col("comment")))).alias("all"))
+    return counted.select("source", "url", "n", F.when(of_page, F.array_join("all", "|")).alias("comments"))
 
 
 # --- forum ------------------------------------------------------------------------------------

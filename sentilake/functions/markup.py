@@ -8,7 +8,7 @@ import sys
 from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
-from itertools import chain
+from itertools import accumulate, chain
 from typing import Iterator
 from urllib.parse import urljoin
 
@@ -66,6 +66,7 @@ class Select:
     has_href   only elements with a link target
     rendered   text as a browser lays it out (line ends at blocks); otherwise the text pieces, each stripped,
                with nothing between them
+    least      characters that text has at least which is not laid out; shorter elements keep their position and give no row
     """
 
     part: str
@@ -75,6 +76,7 @@ class Select:
     inside: tuple = ()
     has_href: bool = False
     rendered: bool = False
+    least: int = 0
 
     def _class_hit(self, wanted, cls):
         names = cls.split() if self.token else [cls]
@@ -181,9 +183,16 @@ class _Page(HTMLParser):
         self.open -= len(opened)
 
     def rows(self):
+        """The found elements. Text that is not laid out stands in one buffer, and each element's is an interval of it, cut
+        only as its row leaves: elements that were never closed hold all that follows."""
+        plain = ["" if kind else text.strip() for kind, text in self.pieces]
+        at = list(accumulate(map(len, plain), initial=0))
+        buffer = "".join(plain)
         for pos, (select, tag, cls, href, start, end) in enumerate(self.found):
-            pieces = self.pieces[start:end]
-            text = _rendered(pieces) if select.rendered else "".join(t.strip() for kind, t in pieces if not kind)
+            end = len(self.pieces) if end is None else end
+            if select.least and not select.rendered and at[end] - at[start] < select.least:
+                continue
+            text = _rendered(self.pieces[start:end]) if select.rendered else buffer[at[start] : at[end]]
             yield select.part, pos, tag, cls, href, href and _absolute(self.base, href), text
 
 

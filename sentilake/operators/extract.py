@@ -147,7 +147,7 @@ def cap_per_search(found: DataFrame, limit: int, search=("keyword", "source"), o
 
 # --- text blocks ------------------------------------------------------------------------------
 
-NEWS_COMMENT = Select("block", ("p",), (K.NEWS_COMMENT_CLASS,))
+NEWS_COMMENT = Select("block", ("p",), (K.NEWS_COMMENT_CLASS,), least=K.MIN_COMMENT_CHARS["yahoo"])
 # The three layouts of a beauty review; an element that fits several is one block.
 BEAUTY_REVIEW = (
     Select("block", classes=("body",), token=True, inside=("review-sec", "post-review"), rendered=True),

@@ -205,3 +205,36 @@ def test_targets(rows):
     assert collect(urls.select("s", E.comment_target(F.col("s"), F.col("u")).alias("t")), "t", sort="s") == [
         ("https://review.kakaku.com/review/K5/",), ("t",), ("https://n/1/comments",),
     ]
+
+
+def test_a_page_of_unclosed_elements_takes_little_memory():
+    """A thousand paragraphs, each holding all that follow: texts are cut from one buffer as their rows leave."""
+    import time
+    import tracemalloc
+
+    from sentilake.functions import markup as M
+
+    words = [f"{i} " + "word " * 25 for i in range(1000)]
+    html = "".join(f"<p class=c>{w}" for w in words)
+    start = time.process_time()
+    page = M._Page((Select("block", ("p",), ("c",)),), "u")
+    page.feed(html)
+    page.close()
+    stripped = [w.strip() for w in words]
+    tracemalloc.start()
+    total = 0
+    for (_, pos, *_, text), first in zip(page.rows(), range(1000), strict=True):
+        assert text == "".join(stripped[first:])
+        total += len(text)
+    assert total > 60_000_000 and tracemalloc.get_traced_memory()[1] < 3_000_000
+    tracemalloc.stop()
+    assert time.process_time() - start < 10
+
+
+def test_short_elements_keep_their_place_and_give_no_row():
+    from sentilake.functions import markup as M
+
+    page = M._Page((Select("block", ("p",), least=4),), "u")
+    page.feed("<p>one</p><p> four </p><p>\n ab <b> c </b></p><p>a<b>bc</b>d")
+    page.close()
+    assert [(r[1], r[6]) for r in page.rows()] == [(1, "four"), (3, "abcd")]
