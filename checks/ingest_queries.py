@@ -127,7 +127,7 @@ class Stopped(Exception):
 
 
 class _Stopping(FactFiles):
-    def _name(self, files):
+    def _name(self, spark, files):
         raise Stopped
 
 

@@ -14,10 +14,9 @@ KEYS_PER_BLOCK = 1_500
 HASHES = 8
 
 
-def blocks_for(n_keys) -> Column:
+def blocks_for(n_keys: int) -> int:
     """Blocks of a filter for so many keys: a power of two, so that filters of like size share a layout."""
-    n = F.col(n_keys) if isinstance(n_keys, str) else F.lit(n_keys)
-    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n / KEYS_PER_BLOCK, F.lit(1.0))))).cast("int")
+    return 1 << (max(1, -(-n_keys // KEYS_PER_BLOCK)) - 1).bit_length()
 
 
 def block_of(key, blocks) -> Column:

@@ -3,7 +3,7 @@
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,14 @@ def _as_fact(rows: DataFrame) -> DataFrame:
     return with_key(rows).select(*STORED_FACT.names)
 
 
+def _filter_sizes(files) -> dict:
+    """Blocks of each day's filter in each batch."""
+    rows = {}
+    for r in files:
+        rows[r.batch, r.scraped_date] = rows.get((r.batch, r.scraped_date), 0) + r.n_rows
+    return {k: bloom.blocks_for(n) for k, n in rows.items()}
+
+
 @dataclass(frozen=True)
 class FactFiles:
     """The fact table as Parquet files with a folder per `scraped_date`.
@@ -44,7 +52,7 @@ class FactFiles:
     # --- manifest ------------------------------------------------------------------------------
 
     def manifest(self, spark) -> DataFrame:
-        """The files of all finished runs; a run that added nothing has its one row without a file."""
+        """The files of all finished runs; each run also has one row without a file."""
         if not path_exists(spark, f"{self.path}/manifest"):
             return spark.createDataFrame([], MANIFEST)
         return spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
@@ -52,40 +60,42 @@ class FactFiles:
     def finished(self, spark, run: str) -> bool:
         return not self.manifest(spark).where(F.col("run") == run).isEmpty()
 
-    def _batches(self, spark, run=None) -> list:
-        """Folders of finished runs. A run has been named once; of two that were by accident, the first name counts."""
-        named = self.manifest(spark).where("file IS NULL")
-        named = named.groupBy("run").agg(F.min("batch").alias("batch"))
-        return [r.batch for r in (named if run is None else named.where(F.col("run") == run)).collect()]
-
-    def _named(self, spark, batches) -> DataFrame:
-        """Rows of the files that the manifest names for some runs. Names are all that comes to the driver."""
-        files = self.manifest(spark).where(F.col("file").isNotNull() & F.col("batch").isin(batches))
-        names = [f"{self.path}/files/{r.file}" for r in files.select("file").collect()]
+    def _live(self, spark, run=None) -> list:
+        """Rows of the manifest for all finished runs, or for one: names and counts of files are all that comes to the driver.
+        A run has been named once; of two names that it has by accident, the first counts."""
+        named = self.manifest(spark)
+        rows = (named if run is None else named.where(F.col("run") == run)).collect()
+        first = {}
+        for r in rows:
+            first[r.run] = min(first.get(r.run, r.batch), r.batch)
+        return [r for r in rows if first[r.run] == r.batch]
+
+    def _rows(self, spark, live) -> DataFrame:
+        """Rows of the files that parts of the manifest name."""
+        names = [f"{self.path}/files/{r.file}" for r in live if r.file]
         if not names:
             return spark.createDataFrame([], STORED_FACT)
         read = spark.read.schema(STORED_FACT).option("basePath", f"{self.path}/files").parquet(*names)
         return read.select(*STORED_FACT.names)
 
-    def _beside(self, spark, kind, batches, schema) -> DataFrame | None:
-        folders = [f"{self.path}/{kind}/batch={b}" for b in batches]
-        return spark.read.schema(schema).parquet(*folders) if folders else None
+    def _beside(self, spark, kind, batches, schema) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/batch={b}" for b in sorted(batches)])
 
     # --- reading -------------------------------------------------------------------------------
 
     def read(self, spark) -> DataFrame:
         """The stored rows with their comment keys; an empty table before the first run."""
-        return self._named(spark, self._batches(spark))
+        return self._rows(spark, self._live(spark))
 
     def added(self, spark, run: str) -> DataFrame:
         """The rows that a run added."""
-        return self._named(spark, self._batches(spark, run))
+        return self._rows(spark, self._live(spark, run))
 
     def cube(self, spark) -> DataFrame:
         """The summary cube of all stored rows, from the runs' own cubes; no comment is read."""
         empty = summary_cube(spark.createDataFrame([], S.FACT))
-        parts = self._beside(spark, "cube", self._batches(spark), empty.schema)
-        return empty if parts is None else merge_cubes(parts)
+        batches = {r.batch for r in self._live(spark)}
+        return merge_cubes(self._beside(spark, "cube", batches, empty.schema)) if batches else empty
 
     def known(self, spark, keys: DataFrame) -> DataFrame:
         """Those of some distinct keys that are stored.
@@ -94,24 +104,22 @@ class FactFiles:
         of those days are then cut, before they move, by a filter of the keys that passed, and meet these in an exact join.
         With more keys passed than such a filter may hold the days' rows are joined as they are.
         """
-        batches = self._batches(spark)
-        if not batches:
-            return keys.select(KEY).limit(0)
-        stored = self._beside(spark, "filters", batches, FILTERS)
-        sizes = [r.blocks for r in stored.select("blocks").distinct().collect()]  # powers of two: a few dozen at most
-        probes = F.array(*[F.struct(F.lit(n).alias("blocks"), bloom.block_of(KEY, F.lit(n)).alias("block")) for n in sizes]) if sizes else F.array()
-        if not sizes:
+        files = [r for r in self._live(spark) if r.file]
+        if not files:
             return keys.select(KEY).limit(0)
+        stored = self._beside(spark, "filters", {r.batch for r in files}, FILTERS)
+        # Filters have a power of two of blocks: a few dozen sizes at most.
+        probes = F.array(*[F.struct(F.lit(n).alias("blocks"), bloom.block_of(KEY, F.lit(n)).alias("block")) for n in sorted(set(_filter_sizes(files).values()))])
         probed = keys.select(KEY, F.explode(probes).alias("p")).select(KEY, "p.blocks", "p.block")
         met = probed.join(stored, (probed["blocks"] == stored["blocks"]) & (probed["block"] == stored["block"]) & bloom.may_hold(stored["bits"], probed[KEY]))
         passed = materialise(met.select(probed[KEY], "scraped_date").distinct())
-        day = F.coalesce(F.col("scraped_date").cast("string"), F.lit(""))
-        found = passed.agg(F.count_distinct(KEY).alias("n"), F.collect_set(day).alias("days")).first()
-        if not found.n:
+        found = passed.groupBy("scraped_date").agg(F.count("*").alias("n")).collect()
+        if not found:
             return keys.select(KEY).limit(0)
+        days = {r.scraped_date for r in found}
+        rows = self._rows(spark, [r for r in files if r.scraped_date in days]).select(KEY)
         maybe = passed.select(KEY).distinct()
-        rows = self._named(spark, batches).where(day.isin(found.days)).select(KEY)
-        blocks = spark.range(1).select(bloom.blocks_for(F.lit(found.n)).alias("b")).first().b
+        blocks = bloom.blocks_for(sum(r.n for r in found))
         if blocks <= FILTER_BLOCKS:
             few = bloom.build(maybe.withColumn("blocks", F.lit(blocks)), KEY)
             rows = rows.join(F.broadcast(few), (bloom.block_of(KEY, F.lit(blocks)) == few["block"]) & bloom.may_hold(few["bits"], F.col(KEY)), "left_semi")
@@ -122,42 +130,42 @@ class FactFiles:
     def append(self, rows: DataFrame, run: str | None = None) -> str:
         """Add rows under their day, and name them in the manifest when all is written. Rebalancing gives files of an even
         size. A run that is finished already adds nothing. Returns the run's name, by default a new one."""
-        spark = rows.sparkSession
-        run = run or uuid.uuid4().hex
-        if not self.finished(spark, run):
-            self._name(self._stage(rows, run))
+        if run is None:
+            run = uuid.uuid4().hex
+        elif self.finished(rows.sparkSession, run):
+            return run
+        self._name(rows.sparkSession, self._stage(rows, run))
         return run
 
-    def _stage(self, rows: DataFrame, run: str) -> DataFrame:
+    def _stage(self, rows: DataFrame, run: str) -> list:
         """Write a run's files, filters and cube; returns its part of the manifest."""
         spark, batch = rows.sparkSession, uuid.uuid4().hex
         folder = f"{self.path}/files/batch={batch}"
         _as_fact(rows).hint("rebalance").write.partitionBy("scraped_date").parquet(folder)
         written = spark.read.schema(STORED_FACT).option("basePath", folder).parquet(folder)
-        by_file = written.groupBy(F.col("_metadata.file_path").alias("f"), "scraped_date").agg(F.count("*").alias("n_rows"))
-        file = F.regexp_extract("f", "/files/(batch=.*)$", 1).alias("file")
-        files = materialise(by_file.select(F.lit(run).alias("run"), F.lit(batch).alias("batch"), file, "scraped_date", "n_rows"))
-        days = files.groupBy("scraped_date").agg(F.sum("n_rows").alias("n")).select("scraped_date", bloom.blocks_for("n").alias("blocks"))
-        keys = written.alias("w").join(F.broadcast(days).alias("d"), F.col("w.scraped_date").eqNullSafe(F.col("d.scraped_date")))
-        keys = keys.select("w.scraped_date", KEY, "blocks")
-        bloom.build(keys, KEY, "scraped_date").write.parquet(f"{self.path}/filters/batch={batch}")
+        by_file = written.groupBy(F.regexp_extract("_metadata.file_path", "/files/(batch=.*)$", 1).alias("file"), "scraped_date").agg(F.count("*").alias("n"))
+        files = [Row(run=run, batch=batch, file=r.file, scraped_date=r.scraped_date, n_rows=r.n) for r in by_file.collect()]
+        if files:
+            sizes = _filter_sizes(files)
+            dated = [F.lit(x) for (_, day), n in sizes.items() if day is not None for x in (day, n)]
+            blocks = F.try_element_at(F.create_map(*dated), F.col("scraped_date")) if dated else F.lit(None).cast("int")
+            keys = written.select("scraped_date", KEY, F.coalesce(blocks, F.lit(sizes.get((batch, None)))).alias("blocks"))
+            bloom.build(keys, KEY, "scraped_date").write.parquet(f"{self.path}/filters/batch={batch}")
         summary_cube(written).write.parquet(f"{self.path}/cube/batch={batch}")
-        whole = files.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
-        done = whole.select(F.lit(run).alias("run"), F.lit(batch).alias("batch"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("date").alias("scraped_date"), "n_rows")
-        return files.unionByName(done)
+        return [*files, Row(run=run, batch=batch, file=None, scraped_date=None, n_rows=sum(r.n_rows for r in files))]
 
-    def _name(self, files: DataFrame) -> None:
+    def _name(self, spark, files: list) -> None:
         """Make a run's files visible: one file, so one rename."""
-        files.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        spark.createDataFrame(files, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def correct(self, before: DataFrame, after: DataFrame, run: str | None = None) -> str:
         """Take rows out of the table's counts and put their corrected form in, as a run without rows: the cube follows the
         correction, the stored comments stay as they were scored."""
-        spark, batch, run = before.sparkSession, uuid.uuid4().hex, run or uuid.uuid4().hex
-        if not self.finished(spark, run):
+        spark, batch = before.sparkSession, uuid.uuid4().hex
+        if run is None or not self.finished(spark, run):
+            run = run or uuid.uuid4().hex
             merge_cubes(summary_cube(before, -1), summary_cube(after)).write.parquet(f"{self.path}/cube/batch={batch}")
-            spark.createDataFrame([], FILTERS).write.parquet(f"{self.path}/filters/batch={batch}")
-            self._name(spark.createDataFrame([(run, batch, None, None, 0)], MANIFEST))
+            self._name(spark, [Row(run=run, batch=batch, file=None, scraped_date=None, n_rows=0)])
         return run
 
 

@@ -46,8 +46,7 @@ def stopping(monkeypatch):
     """Lets the next run stop once its files are written and before they are named."""
     name = FT.FactFiles._name
 
-    def stop(self, files):
-        files.count()
+    def stop(self, spark, files):
         monkeypatch.setattr(FT.FactFiles, "_name", name)
         raise Stopped
 
@@ -108,7 +107,7 @@ def test_a_run_without_rows_is_finished(spark, tmp_path):
 
 def test_filters_hold_every_key_and_few_others(spark):
     keys = spark.range(9000).select(F.expr("unhex(sha2(cast(id as string), 256))").alias("k"), (F.col("id") % 3).alias("day"))
-    sized = keys.withColumn("blocks", bloom.blocks_for(F.lit(3000)))
+    sized = keys.withColumn("blocks", F.lit(bloom.blocks_for(3000)))
     filters = bloom.build(sized, "k", "day").collect()
     assert {r.blocks for r in filters} == {2} and len(filters) == 6
     other = spark.range(9000, 40_000).select(F.expr("unhex(sha2(cast(id as string), 256))").alias("k"), F.lit(0).alias("day"))
