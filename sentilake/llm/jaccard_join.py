@@ -199,7 +199,7 @@ def _buckets(signed):
     """(sig, sid, lo, hi) of the signatures that several sets have, with the first and the last of these."""
     spark = signed.sparkSession
     met = stage(signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "met-signatures")
-    blocks = spark.range(1).select(bloom.blocks_for(F.lit(met.count())).alias("b")).first().b
+    blocks = bloom.blocks_for(met.count())
     listed = signed
     if blocks <= FILTER_BLOCKS:
         few = bloom.build(met.withColumn("blocks", F.lit(blocks)), "sig").select("block", "bits")
