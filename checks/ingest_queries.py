@@ -148,8 +148,8 @@ def ingest_after_a_stop(spark, d):
 
 @query("known_by_filters", sql="SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents SEMI JOIN labels USING (doc_id))")
 def known_by_filters(spark, d):
-    """Documents whose text a fact table of seven days holds, found through the days' key filters."""
-    store = FactFiles(scratch_path(spark, "fact"))
+    """Documents whose text a fact table of seven days holds, found through the days' key filters whatever their number."""
+    store = FactFiles(scratch_path(spark, "fact"), filter_from=0)
     scored = I.new_rows(_stored(spark, d), None, "acme", RUN_DATE, V.length_scorer)
     rows = scored.withColumns({c: F.lit("") for c in ("article_url", "article_title", "source")})
     store.append(rows.withColumn("scraped_date", F.date_add("scraped_date", F.pmod(F.hash("comment"), F.lit(7)))))

@@ -1,6 +1,7 @@
 """The fact table: scored comments by day, as files that a run names when it is done, or in the catalog, bucketed by key."""
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
@@ -18,6 +19,7 @@ from sentilake.sources.paths import path_exists
 STORED_FACT = T.StructType(S.FACT.fields + [T.StructField(KEY, T.BinaryType())])
 MANIFEST = "run string, batch string, file string, scraped_date date, n_rows long"
 FILTERS = "scraped_date date, blocks int, block int, bits binary"
+FILTER_FROM = 1_000_000  # stored rows
 FILTER_BLOCKS = 16_384  # of 4 KB: the largest filter of found keys that goes to every task
 
 
@@ -48,6 +50,7 @@ class FactFiles:
     """
 
     path: str
+    filter_from: int | None = None  # stored rows from which the filters are asked; FILTER_FROM by default
 
     # --- manifest ------------------------------------------------------------------------------
 
@@ -102,11 +105,15 @@ class FactFiles:
 
         The days' filters tell which keys a day may hold, by a join that moves the keys and the filters' blocks. The rows
         of those days are then cut, before they move, by a filter of the keys that passed, and meet these in an exact join.
-        With more keys passed than such a filter may hold the days' rows are joined as they are.
+        With more keys passed than such a filter may hold the days' rows are joined as they are, and so is a table of fewer
+        than `FILTER_FROM` rows, which asking the filters would not save from anything.
         """
         files = [r for r in self._live(spark) if r.file]
         if not files:
             return keys.select(KEY).limit(0)
+        if sum(r.n_rows for r in files) < (FILTER_FROM if self.filter_from is None else self.filter_from):
+            stored = self._rows(spark, files).select(KEY).join(keys.select(KEY), KEY, "left_semi").distinct()
+            return keys.select(KEY).join(stored, KEY, "left_semi")
         stored = self._beside(spark, "filters", {r.batch for r in files}, FILTERS)
         # Filters have a power of two of blocks: a few dozen sizes at most.
         probes = F.array(*[F.struct(F.lit(n).alias("blocks"), bloom.block_of(KEY, F.lit(n)).alias("block")) for n in sorted(set(_filter_sizes(files).values()))])
@@ -143,15 +150,17 @@ class FactFiles:
         folder = f"{self.path}/files/batch={batch}"
         _as_fact(rows).hint("rebalance").write.partitionBy("scraped_date").parquet(folder)
         written = spark.read.schema(STORED_FACT).option("basePath", folder).parquet(folder)
-        by_file = written.groupBy(F.regexp_extract("_metadata.file_path", "/files/(batch=.*)$", 1).alias("file"), "scraped_date").agg(F.count("*").alias("n"))
-        files = [Row(run=run, batch=batch, file=r.file, scraped_date=r.scraped_date, n_rows=r.n) for r in by_file.collect()]
-        if files:
-            sizes = _filter_sizes(files)
-            dated = [F.lit(x) for (_, day), n in sizes.items() if day is not None for x in (day, n)]
-            blocks = F.try_element_at(F.create_map(*dated), F.col("scraped_date")) if dated else F.lit(None).cast("int")
-            keys = written.select("scraped_date", KEY, F.coalesce(blocks, F.lit(sizes.get((batch, None)))).alias("blocks"))
-            bloom.build(keys, KEY, "scraped_date").write.parquet(f"{self.path}/filters/batch={batch}")
-        summary_cube(written).write.parquet(f"{self.path}/cube/batch={batch}")
+        with ThreadPoolExecutor(1) as beside:
+            cube = beside.submit(summary_cube(written).write.parquet, f"{self.path}/cube/batch={batch}")
+            by_file = written.groupBy(F.regexp_extract("_metadata.file_path", "/files/(batch=.*)$", 1).alias("file"), "scraped_date").agg(F.count("*").alias("n"))
+            files = [Row(run=run, batch=batch, file=r.file, scraped_date=r.scraped_date, n_rows=r.n) for r in by_file.collect()]
+            if files:
+                sizes = _filter_sizes(files)
+                dated = [F.lit(x) for (_, day), n in sizes.items() if day is not None for x in (day, n)]
+                blocks = F.try_element_at(F.create_map(*dated), F.col("scraped_date")) if dated else F.lit(None).cast("int")
+                keys = written.select("scraped_date", KEY, F.coalesce(blocks, F.lit(sizes.get((batch, None)))).alias("blocks"))
+                bloom.build(keys, KEY, "scraped_date").write.parquet(f"{self.path}/filters/batch={batch}")
+            cube.result()
         return [*files, Row(run=run, batch=batch, file=None, scraped_date=None, n_rows=sum(r.n_rows for r in files))]
 
     def _name(self, spark, files: list) -> None:

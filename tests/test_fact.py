@@ -41,6 +41,12 @@ class Stopped(Exception):
     pass
 
 
+@pytest.fixture(autouse=True)
+def filters_of_any_table(monkeypatch):
+    """Small tables ask their filters too."""
+    monkeypatch.setattr(FT, "FILTER_FROM", 0)
+
+
 @pytest.fixture
 def stopping(monkeypatch):
     """Lets the next run stop once its files are written and before they are named."""
@@ -129,8 +135,9 @@ def test_known_keys_against_a_plain_join(spark, tmp_path, monkeypatch):
         store.append(rows.withColumn("scraped_date", F.when(F.col("comment") != "c7", F.col("scraped_date"))))
     new = D.keys_of(batch(spark, [f"c{i}" for i in range(1000, 6000)] + ["viral", "c7", None]))
     want = {bytes(r[0]) for r in new.join(store.read(spark).select(D.KEY), D.KEY, "left_semi").collect()}
-    for limit in (FT.FILTER_BLOCKS, 0):
+    for limit, least in ((FT.FILTER_BLOCKS, 0), (0, 0), (0, 10**6)):
         monkeypatch.setattr(FT, "FILTER_BLOCKS", limit)
+        monkeypatch.setattr(FT, "FILTER_FROM", least)
         got = [bytes(r[0]) for r in store.known(spark, new).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) == 2502
 
