@@ -268,7 +268,7 @@ def link_sets(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold
     keys = stage(keys, "distinct-sets")
     alive = stage(_alive(keys, threshold) if prefilter else keys.select("k", "k0", "k1", "n"), "alive-sets")
     chosen = F.broadcast(alive) if alive.count() <= FEW_SETS else alive
-    texts = rows.select("k", "t").join(chosen.select("k"), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")).join(chosen, "k")
+    texts = rows.select("k", "t").join(chosen, "k").groupBy("k", "k0", "k1", "n").agg(F.first("t").alias("t"))
     sets = texts.select("k0", "k1", "n", "t").mapInArrow(_detail_rows(shingle), "k0 long, k1 long, n long, t string, parity array<long>")
     sets = stage(sets.withColumn("sid", F.monotonically_increasing_id()), "live-sets")
     discard(spark, keys, alive)
