@@ -15,8 +15,9 @@ a set with too many empty subsets lists these too. Sets whose signature nobody s
   then lets only their sets into the shuffle by bucket.
 - In a bucket only pairs with its first and its last set are listed, which is enough when they link. Of a set's pairs the one
   that shares most signatures is verified first, by its exact intersection, and the others only where they could still join
-  two components. What then stays in several components is joined pair by pair; pairs whose parity sketches differ in more bits
-  than elements may differ are not listed. Links become components by stars.
+  two components. What then stays in several components is compared pair by pair, once for buckets of the same sets, in blocks
+  of BLOCK sets against each other: pairs whose parity sketches, as wide as the sets are large, differ in more bits than elements
+  may differ are not listed. Links become components by stars.
 """
 
 import itertools
@@ -38,6 +39,8 @@ SHINGLE = 4
 THRESHOLD = 85  # per cent
 SAMPLE = 16
 PARITY_WORDS = 8
+WIDEST = 512  # words of the largest sketch in the comparison of whole buckets
+BLOCK = 256  # sets of a bucket that are compared in one task at a time, with as many others
 MISS = 1e-12
 SECOND, DIFFER = 3, 1  # second parts of a first part, and how many of them a subset leaves out
 FILTER_BLOCKS = 16_384  # of 4 KB: the largest filter of signatures that goes to every task
@@ -99,12 +102,18 @@ def signatures(features, threshold=THRESHOLD):
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def parity(features):
+def parity(features, words=PARITY_WORDS):
     """Bit i is the parity of the features that fall on i: no two sets differ in more bits than elements."""
-    bits = np.bincount((mix(features) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    bits = np.bincount((mix(features) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def sketch_words(n):
+    """Words of a large set's sketch: a power of two, with two bits an element if that is not too wide. Halves of a sketch
+    that are xored make the sketch of half as many words."""
+    return min(WIDEST, max(PARITY_WORDS, 1 << (2 * n // 64).bit_length()))
+
+
 def _set_rows(shingle):
     """Text to its set's 128-bit key, size and sampled features."""
 
@@ -171,6 +180,71 @@ def _feature_rows(shingle):
     return rows
 
 
+def _sketch_rows(shingle):
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [parity(s, sketch_words(len(s))).tobytes() for s in shingle_sets(batch.column(2), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["sid", "n", "sketch"])
+
+    return rows
+
+
+def differing(sketches, i, j):
+    """In how many bits sketches i[x] and j[x] differ, the wider one folded to the width of the other."""
+    width = np.array([len(s) // 8 for s in sketches])
+    place = np.zeros(len(sketches), dtype=np.int64)
+    tables = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        tables[w] = np.frombuffer(b"".join(sketches[k] for k in at.tolist()), dtype=np.uint64).reshape(len(at), w)
+    i, j = np.where(width[i] < width[j], i, j), np.where(width[i] < width[j], j, i)
+    out = np.zeros(len(i), dtype=np.int64)
+    for narrow in tables:
+        for wide in tables:
+            at = np.flatnonzero((width[i] == narrow) & (width[j] == wide)) if narrow <= wide else ()
+            if not len(at):
+                continue
+            folded = np.bitwise_xor.reduce(tables[wide].reshape(len(tables[wide]), -1, narrow), axis=1)
+            step = max(1, (1 << 18) // narrow)
+            for a in range(0, len(at), step):
+                some = at[a : a + step]
+                out[some] = np.bitwise_count(tables[narrow][place[i[some]]] ^ folded[place[j[some]]]).sum(axis=1)
+    return out
+
+
+def _open_pair_rows(threshold):
+    """Sets of a bucket, of one block or of two, to the pairs in different components that may link, without those with the
+    bucket's first and last set."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            flat = batch.column(1).flatten()
+            side, sid, c, n, lo, hi = (flat.field(name).to_numpy() for name in ("side", "sid", "c", "n", "lo", "hi"))
+            end = np.repeat(np.cumsum(size), size)
+            alone = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
+            i, found = np.arange(len(sid)), []
+            for d in range(1, int(size.max(initial=1))):
+                i = i[i + d < end[i]]
+                j = i + d
+                a, b = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
+                open_ = (c[a] != c[b]) & (sid[a] != lo[a]) & (sid[b] != hi[b]) & (alone[i] | (side[i] != side[j]))
+                open_ &= (100 * n[a] >= threshold * n[b]) & (100 * n[b] >= threshold * n[a])
+                found.append(np.stack([a[open_], b[open_]]))
+            a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            near = (100 + threshold) * differing(flat.field("sketch").to_pylist(), a, b) <= (100 - threshold) * (n[a] + n[b])
+            _, once = np.unique(np.stack([sid[a[near]], sid[b[near]]]), axis=1, return_index=True)
+            a, b = a[near][once], b[near][once]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[a], sid[b], n[a], n[b])], names=["a", "b", "na", "nb"])
+
+    return rows
+
+
 def _may_link(x, y, threshold):
     """By size and sketch."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -289,18 +363,21 @@ def link_sets(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold
     joined = _labels(joined, links)
     discard(spark, near, links)
 
-    # Sets of one bucket in different components: pair by pair, without those listed above.
+    # Sets of one bucket in different components: pair by pair, without those listed above. Buckets of the same sets count once.
     placed = members.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
     placed = placed.select("sig", "sid", "lo", "hi", F.coalesce("component", "sid").alias("c"))
-    mixed = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).filter("c0 <> c1 and size > 2")
-    open_ = placed.join(mixed.select("sig"), "sig").join(narrow, "sid")
-    rest = (
-        open_.alias("x")
-        .join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", threshold))
-        .filter("x.sid <> x.lo and y.sid <> y.hi")
-        .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-        .distinct()
+    who = [F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"who{i}") for i in range(2)]
+    mixed = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"), *who).filter("c0 <> c1 and size > 2")
+    mixed = mixed.groupBy("who0", "who1", "size").agg(F.min("sig").alias("sig"))
+    open_ = stage(placed.join(mixed.select("sig", "size"), "sig"), "open")
+    texts = sets.select("sid", "n", "t").join(open_.select("sid").distinct(), "sid", "left_semi")
+    sketched = open_.join(texts.mapInArrow(_sketch_rows(shingle), "sid long, n long, sketch binary"), "sid")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    dealt = sketched.withColumn("side", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = dealt.groupBy("sig", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).agg(
+        F.collect_list(F.struct("side", "sid", "c", "n", "lo", "hi", "sketch")).alias("sets")  # some 2 * BLOCK at most
     )
+    rest = met.select((F.col("p") == F.col("q")).alias("alone"), "sets").mapInArrow(_open_pair_rows(threshold), "a long, b long, na long, nb long").distinct()
     more = stage(_verified(rest, features, threshold), "more-links")
     linked = _labels(joined, more)
 
@@ -310,7 +387,7 @@ def link_sets(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold
     ids = ids.join(classes, ["k0", "k1"], "left")
     roots = ids.filter("component is not null").groupBy("component").agg(F.min("least").alias("root"))
     ids = stage(ids.join(roots, "component", "left").select("k0", "k1", F.coalesce("root", "least").alias("root")), "roots")
-    discard(spark, members, more, sets)
+    discard(spark, members, open_, more, sets)
     out = found.select("id", "k0", "k1", "n").join(ids, ["k0", "k1"], "left")
     root = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"))

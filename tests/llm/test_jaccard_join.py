@@ -116,3 +116,44 @@ def test_components(rows):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.component for r in components(rows(edges, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if any(a != b for a, b in edges if x in (a, b))}
+
+
+def family(seed, size, words, own):
+    """Texts of one long passage and a share of their own words, and two that link but are neither first nor last in order."""
+    rnd = random.Random(seed)
+    make = lambda n: ["w%d" % rnd.randrange(10**9) for _ in range(n)]
+    passage = make(words)
+    docs = [passage + make(own) for _ in range(size)]
+    docs += [d[:-words // 50] + make(words // 50) for d in docs[:6]]
+    rnd.shuffle(docs)
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+def test_large_sets_of_a_family_are_not_listed(spark, rows, monkeypatch):
+    """Sets of some 1700 shingles of which any two share less than they need: sketches of 512 bits told none apart."""
+    listed = []
+    plain = jj._verified
+    monkeypatch.setattr(jj, "_verified", lambda near, *more: listed.append(near.count()) or plain(near, *more))
+    docs = family(1, 24, 1400, 300)
+    got = jj.link_sets(rows(docs, "doc_id long, text string"), prefilter=False)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(docs)
+    assert listed[-1] < 20  # 373 with the sketches as they were
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_blocks_of_a_bucket_give_every_pair_once(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(jj, "BLOCK", block)
+    docs = corpus(4) + [(1000 + i, t) for i, t in family(2, 10, 150, 20)]
+    got = jj.link_sets(rows(docs, "doc_id long, text string"), threshold=85)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(docs)
+
+
+def test_sketches_of_any_width():
+    rnd = np.random.default_rng(2)
+    sets = [rnd.integers(0, 2**63, n).astype(np.uint64) for n in (5, 300, 1100, 2500, 40_000)]
+    sketches = [jj.parity(x, jj.sketch_words(len(x))).tobytes() for x in sets]
+    assert [len(s) // 8 for s in sketches] == [8, 16, 64, 128, 512]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(5), np.arange(5)))
+    for a, b, bits in zip(i.tolist(), j.tolist(), jj.differing(sketches, i, j).tolist(), strict=True):
+        words = min(len(sketches[a]), len(sketches[b])) // 8
+        assert bits == sum(int(v).bit_count() for v in (jj.parity(sets[a], words) ^ jj.parity(sets[b], words)).view(np.uint64))
