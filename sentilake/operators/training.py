@@ -1,8 +1,12 @@
 """Training data and a weighted three-class text model on spark.ml."""
 
-from pyspark.ml import PipelineModel
+import numpy as np
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
+from pyspark.ml.feature import IDF
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -86,16 +90,97 @@ def with_weight(rows: DataFrame, label: str = "label_id") -> DataFrame:
 # --- model ------------------------------------------------------------------------------------
 
 
+PART = 1 << 20  # bytes of text that are counted at a time
+
+
+def _rotated(x, bits: int):
+    return (x << np.uint32(bits)) | (x >> np.uint32(32 - bits))
+
+
+def _mixed(k):
+    return _rotated(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+
+
+def gram_hashes(data, begin, end):
+    """Murmur3 of the byte ranges, as `HashingTF` hashes its terms. Ranges are as short as a gram."""
+    size = end - begin
+    padded = np.concatenate([data, np.zeros(4, dtype=np.uint8)])
+    h = np.full(len(begin), 42, dtype=np.uint32)
+    for at in range(0, int(size.max(initial=0)), 4):
+        some = np.flatnonzero(size > at)
+        left = np.minimum(size[some] - at, 4)
+        k = np.zeros(len(some), dtype=np.uint32)
+        for i in range(4):
+            byte = padded[np.minimum(begin[some] + at + i, len(data))].astype(np.uint32)
+            k |= np.where(i < left, byte, np.uint32(0)) << np.uint32(8 * i)
+        mixed = h[some] ^ _mixed(k)
+        h[some] = np.where(left == 4, _rotated(mixed, 13) * np.uint32(5) + np.uint32(0xE6546B64), mixed)
+    h ^= size.astype(np.uint32)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def gram_counts(data, offsets, n: int, features: int):
+    """(row, feature, count) of the texts' n-grams, by row and feature."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    stop = np.append(start, len(data))
+    whole = max(0, len(start) - n + 1)
+    inside = np.flatnonzero(row[start[:whole]] == row[start[n - 1 :][:whole]])
+    feature = gram_hashes(data, start[inside], stop[inside + n]).astype(np.int64) % features
+    key, count = np.unique(row[start[inside]] * features + feature, return_counts=True)
+    return key // features, key % features, count
+
+
+def _gram_vectors(n: int, features: int):
+    """Arrow function from texts to sparse vectors of counts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def vectors(texts: pa.Array) -> pa.Array:
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+        data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+        found, at = [], 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART, side="right")) - 1)
+            row, feature, count = gram_counts(data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at], n, features)
+            found.append((row + at, feature, count))
+            at = stop
+        row, feature, count = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, dtype=np.int64)] * 3
+        ends = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+        fields = {
+            "type": pa.array(np.zeros(len(texts)), pa.int8()),
+            "size": pa.array(np.full(len(texts), features), pa.int32()),
+            "indices": pa.ListArray.from_arrays(ends, pa.array(feature, pa.int32())),
+            "values": pa.ListArray.from_arrays(ends, pa.array(count, pa.float64())),
+        }
+        return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+
+    return vectors
+
+
+class CharGrams(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Overlapping character n-grams of the lower-cased `_text`, counted by hash into the vector `_tf`: features are numbered as
+    by `HashingTF`, but whole Arrow columns are counted at a time and no string is made of a gram."""
+
+    n = Param(Params._dummy(), "n", "characters of a gram", typeConverter=TypeConverters.toInt)
+    features = Param(Params._dummy(), "features", "number of features", typeConverter=TypeConverters.toInt)
+
+    def __init__(self, n: int = 2, features: int = 1 << 18):
+        super().__init__()
+        self._set(n=n, features=features)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        count = F.arrow_udf(_gram_vectors(self.getOrDefault(self.n), self.getOrDefault(self.features)), VectorUDT())
+        return dataset.withColumn("_tf", count(F.lower("_text")))
+
+
 def gram_stages(n: int = 2, features: int = 1 << 18) -> list:
     """Overlapping character n-grams of the lower-cased text, counted by hash. Needs no word breaking and no fitting."""
-    grams = "slice(_chars, 1, size(_chars) - {0})".format(n - 1)
-    for i in range(1, n):
-        grams = f"zip_with({grams}, slice(_chars, {i + 1}, size(_chars) - {n - 1}), (a, b) -> concat(a, b))"
-    return [
-        SQLTransformer(statement="SELECT *, array_remove(split(lower(_text), ''), '') AS _chars FROM __THIS__"),
-        SQLTransformer(statement=f"SELECT *, CASE WHEN size(_chars) >= {n} THEN {grams} ELSE array() END AS _grams FROM __THIS__"),
-        HashingTF(numFeatures=features, inputCol="_grams", outputCol="_tf"),
-    ]
+    return [CharGrams(n, features)]
 
 
 def classifier(reg: float = 0.01, max_iter: int = 50) -> LogisticRegression:

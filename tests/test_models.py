@@ -150,3 +150,18 @@ def test_models_that_fail_on_a_worker_are_left_out(rows):
         S.score_with_models(df, {"bad": registry["bad"]})
     with pytest.raises(Exception, match="no weights here"):
         S.classify(df.select("id", F.col("text").alias("comment")), S.batch_scorer(bad)).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_grams_are_counted_as_by_hashing_tf(rows, monkeypatch, n):
+    """The same vectors as from the arrays of grams that HashingTF takes, for characters of one to four bytes."""
+    from pyspark.ml.feature import HashingTF
+
+    monkeypatch.setattr(T, "PART", 40)
+    texts = ["", "a", "ab", "Abab ABAB", "期待以上で嬉しい", "É𝄞x𝄞é\n𝄞", "\x00\x00b", "¤¤¤§ " * 50, "İI", None]
+    df = rows([(i, t) for i, t in enumerate(texts)], "id int, _text string").coalesce(1)
+    grams = F.expr(f"CASE WHEN length(t) >= {n} THEN transform(sequence(1, length(t) - {n - 1}), i -> substring(t, i, {n})) ELSE array() END")
+    terms = df.select("id", F.lower(F.coalesce("_text", F.lit(""))).alias("t")).select("id", grams.alias("g"))
+    want = {r.id: r.v for r in HashingTF(numFeatures=1 << 10, inputCol="g", outputCol="v").transform(terms).collect()}
+    (stage,) = T.gram_stages(n, 1 << 10)
+    assert {r.id: r._tf for r in stage.transform(df).collect()} == want
