@@ -44,6 +44,7 @@ BLOCK = 256  # sets of a bucket that are compared in one task at a time, with as
 MISS = 1e-12
 SECOND, DIFFER = 3, 1  # second parts of a first part, and how many of them a subset leaves out
 FILTER_BLOCKS = 16_384  # of 4 KB: the largest filter of signatures that goes to every task
+COUNTED_SETS = 2_000  # sets whose signatures are counted in one task, on average
 FEW_SETS = 200_000  # sets whose keys, some 50 bytes each, may go to every task
 
 
@@ -269,10 +270,12 @@ def _verified(near, features, threshold):
     return both.filter(100 * shared >= threshold * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _buckets(signed):
+def _buckets(signed, n_sets):
     """(sig, sid, lo, hi) of the signatures that several sets have, with the first and the last of these."""
     spark = signed.sparkSession
-    met = stage(signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "met-signatures")
+    # Dealt out before they are counted: most are met once, so counting where they are made gains nothing and takes memory.
+    dealt = signed.select("sig").repartition(max(1, n_sets // COUNTED_SETS), "sig")
+    met = stage(dealt.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "met-signatures")
     blocks = bloom.blocks_for(met.count())
     listed = signed
     if blocks <= FILTER_BLOCKS:
@@ -341,14 +344,15 @@ def link_sets(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold
     keys = found.filter("n > 1").groupBy("k0", "k1").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("samples").alias("samples"))
     keys = stage(keys, "distinct-sets")
     alive = stage(_alive(keys, threshold) if prefilter else keys.select("k", "k0", "k1", "n"), "alive-sets")
-    chosen = F.broadcast(alive) if alive.count() <= FEW_SETS else alive
+    n_sets = alive.count()
+    chosen = F.broadcast(alive) if n_sets <= FEW_SETS else alive
     texts = rows.select("k", "t").join(chosen, "k").groupBy("k", "k0", "k1", "n").agg(F.first("t").alias("t"))
     sets = texts.select("k0", "k1", "n", "t").mapInArrow(_detail_rows(shingle), "k0 long, k1 long, n long, t string, parity array<long>")
     sets = stage(sets.withColumn("sid", F.monotonically_increasing_id()), "live-sets")
     discard(spark, keys, alive)
 
     # Pairs with the first and the last set of each bucket.
-    members = _buckets(sets.select("sid", "t").mapInArrow(_signature_rows(shingle, threshold), "sig long, sid long"))
+    members = _buckets(sets.select("sid", "t").mapInArrow(_signature_rows(shingle, threshold), "sig long, sid long"), n_sets)
     stars = members.filter("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b"))
     stars = stars.unionByName(members.filter("sid <> lo and sid <> hi").select(F.col("sid").alias("a"), F.col("hi").alias("b")))
     narrow = sets.select("sid", "n", "parity")
