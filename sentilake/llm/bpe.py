@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sentilake.llm.bytehash import string_column
-from sentilake.llm.common import small_batches
+from sentilake.llm.common import in_one, small_batches
 from sentilake.llm.pieces import PieceStore, gather
 from sentilake.llm.suffix_dedup import text_key
 
@@ -288,7 +288,7 @@ def _joined_rows(path):
 
         def done():
             ids, _ = join_all(enc, parts)
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([ids.tobytes()], pa.binary())], names=["k", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([ids.tobytes()], pa.binary())], names=["id", "ids"])
 
         for batch in batches:
             for k, ids, opens in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
@@ -304,25 +304,27 @@ def _joined_rows(path):
     return rows
 
 
-def encode(docs, id_col="doc_id", text_col="text", path=None, leaf=LEAF):
+def encode(docs, id_col="doc_id", text_col="text", path=None, leaf=LEAF, step=None, schema="ids binary"):
     """(id_col, ids) for each row of docs; ids: little-endian unsigned 32-bit integers. Null text counts as empty.
 
     Texts above ``leaf`` characters are encoded by their distinct text, so copies cost nothing; ids, null or repeated,
-    are carried as they are. Other columns of docs are not read. An empty table gives none.
+    are carried as they are. Other columns of docs are not read. An empty table gives none. With ``step``, a function for
+    mapInArrow over (id, ids), what it makes of them: the id and the columns of ``schema``. It also gets a text's key as the id.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = path or vocabulary_path()
+    steps = [step] if step else []
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
     id_type = rows.schema["id"].dataType.simpleString()
-    short = rows.filter(F.length("t") <= leaf).mapInArrow(_short_rows(path), f"id {id_type}, ids binary")
+    short = rows.filter(F.length("t") <= leaf).mapInArrow(in_one(_short_rows(path), *steps), f"id {id_type}, {schema}")
     long = rows.filter(F.length("t") > leaf).withColumn("k", text_key(F.col("t")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     leaves = long.groupBy("k").agg(F.first("t").alias("t")).mapInArrow(_leaf_rows(leaf), "k binary, i long, t string")
     coded = leaves.repartition(n, "k", "i").mapInArrow(_encoded_leaves(path), "k binary, i long, ids binary, opens binary")
-    whole = coded.repartition(n, "k").sortWithinPartitions("k", "i").mapInArrow(_joined_rows(path), "k binary, ids binary")
-    joined = long.select("id", "k").join(whole, "k").select("id", "ids")
+    whole = coded.repartition(n, "k").sortWithinPartitions("k", "i").mapInArrow(in_one(_joined_rows(path), *steps), f"id binary, {schema}")
+    joined = long.select("id", "k").join(whole.withColumnRenamed("id", "k"), "k").drop("k")
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 

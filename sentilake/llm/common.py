@@ -28,6 +28,27 @@ def discard(spark, *frames):
     spark.sparkContext._jvm.System.gc()
 
 
+def in_one(*steps):
+    """Functions for mapInArrow, one after the other, as one. A step that reads another's rows directly takes a second Python
+    worker of every core, and the session keeps as many as there ever were."""
+
+    def rows(batches):
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return rows
+
+
+def numbers(spark, names, rows):
+    """A small table of whole numbers, sent as Arrow. Tuples would go through Python workers of another kind, which stay beside
+    the others in every executor."""
+    import pyarrow as pa
+
+    columns = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table({name: pa.array(column, pa.int64()) for name, column in zip(names, columns, strict=True)}))
+
+
 def small_batches(spark, rows=64):
     """Whole texts go to Python: keep an Arrow batch at a few dozen rows, as many can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

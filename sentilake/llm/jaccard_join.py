@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 
 from sentilake.functions import bloom
 from sentilake.llm.bytehash import mix
-from sentilake.llm.common import discard, small_batches, stage
+from sentilake.llm.common import discard, numbers, small_batches, stage
 from sentilake.llm.components import components
 from sentilake.llm.shingles import shingle_sets
 from sentilake.llm.suffix_dedup import text_key
@@ -316,7 +316,7 @@ def _alive(keys, threshold):
     met = sampled.groupBy("f").agg(F.min("k0").alias("lo"), F.max("k0").alias("hi")).filter("lo <> hi").select("f")
     shared = sampled.join(met, "f").groupBy("k0", "k1").agg(F.count("*").alias("shared"))
     most = int(keys.agg(F.max(F.size("samples"))).first()[0] or 0)
-    rule = spark.createDataFrame([(i, least_shared(i, threshold)) for i in range(min(most, 256) + 1)], "size int, least int")
+    rule = numbers(spark, ("size", "least"), [(i, least_shared(i, threshold)) for i in range(min(most, 256) + 1)])
     needed = F.when(F.size("samples") > 256, least_shared(256, threshold)).otherwise(F.col("least"))
     return (
         keys.join(shared, ["k0", "k1"], "left")

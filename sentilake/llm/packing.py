@@ -18,7 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sentilake.llm import bpe
-from sentilake.llm.common import small_batches, stage
+from sentilake.llm.common import numbers, stage
 
 CAPACITY = 1024
 EOS = 2
@@ -165,20 +165,14 @@ def _piece_rows(capacity, eos):
 
 def pieces(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, eos=EOS, path=None):
     """(id_col, piece, start, length, ids_crc32): each text's ids and the closing one, cut where longer than the capacity."""
-    coded = bpe.encode(docs, id_col, text_col, path)
-    small_batches(docs.sparkSession)
-    kind = coded.schema[id_col].dataType.simpleString()
-    out = coded.select(F.col(id_col).alias("id"), "ids").mapInArrow(_piece_rows(capacity, eos), f"id {kind}, piece int, start long, length long, ids_crc32 long")
-    return out.withColumnRenamed("id", id_col)
+    return bpe.encode(docs, id_col, text_col, path, step=_piece_rows(capacity, eos), schema="piece int, start long, length long, ids_crc32 long")
 
 
 def place(found, capacity=CAPACITY):
     """Add sequence_id and offset to rows with a length of at most the capacity; rows must come out the same when read again."""
     spark = found.sparkSession
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = spark.createDataFrame(
-        slots(configurations(histogram, capacity)) or [(0, 0, 0, 1, 0, 0)], "length long, first long, stop long, each long, sequence long, shift long"
-    )
+    table = numbers(spark, ("length", "first", "stop", "each", "sequence", "shift"), slots(configurations(histogram, capacity)) or [(0, 0, 0, 1, 0, 0)])
     salts = max(16, math.ceil(max(histogram.values(), default=0) / SLICE_ROWS))
     salted = found.withColumn("salt", F.pmod(F.xxhash64(*found.columns), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

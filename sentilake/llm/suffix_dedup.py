@@ -28,13 +28,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sentilake.llm.bytehash import SEGMENT, gram_hashes, mix, parts, string_column, string_hashes
-from sentilake.llm.common import discard, small_batches, stage
+from sentilake.llm.common import discard, in_one, small_batches, stage
 from sentilake.llm.shingles import word_ranges
 
 WINDOW = 400
 GRAM = 160
 HOT = 2000
 BATCH_STRINGS = 20_000
+HOT_STRINGS = 64  # strings of hot anchors whose windows are listed at a time
 END = 0xFF  # no byte of UTF-8, nor of a word's symbol
 WORD = 8
 WORD_GRAM = 20  # words
@@ -257,11 +258,12 @@ def _string_rows(window, gram, words=False):
 
 def _columns(data, offsets, begin, size, span, step):
     """[j, string]: byte j of each string's part, counted from begin in the given direction; END beyond its size."""
-    j = np.arange(span)[:, None]
-    at = (offsets + begin)[None, :] + step * j
-    inside = j < size[None, :]
-    at = np.where(inside, at, 0)
-    return np.where(inside, data[at] if len(data) else END, END).astype(np.uint8)
+    out = np.full((span, len(offsets)), END, dtype=np.uint8)
+    at = offsets + begin
+    for j in range(span):  # all places at once would take ten times the columns' memory and more
+        inside = np.flatnonzero(j < size)
+        out[j, inside] = data[at[inside] + step * j]
+    return out
 
 
 def _spans_of(part, window, gram):
@@ -326,7 +328,7 @@ def _window_rows(window, gram):
     def rows(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(at, HOT_STRINGS) for whole in batches for at in range(0, whole.num_rows, HOT_STRINGS)):
             keys, out = [], ([], [], [])
             h, packed = (batch.column(i).to_numpy() for i in (1, 2))
             place, lo, hi = unpack(packed)
@@ -419,15 +421,12 @@ def _repeats(rows, texts, name, window, gram, hot, batch_strings, by_word=False)
     near = anchors.join(met, "h").groupBy("k", "h", "packed").agg(F.first("hot").alias("hot"))
     near = near.groupBy("k").agg(F.collect_list(F.struct("h", "packed", "hot")).alias("a"))
     with_anchors = texts.join(near, "k")
-    cut = lambda flag: (
-        with_anchors.select("k", "t", F.filter("a", lambda x: x["hot"] == F.lit(flag)).alias("a"))
-        .filter(F.size("a") > 0)
-        .mapInArrow(_string_rows(window, gram, by_word), "k binary, h long, packed long, sides binary")
-    )
+    cut = lambda flag: with_anchors.select("k", "t", F.filter("a", lambda x: x["hot"] == F.lit(flag)).alias("a")).filter(F.size("a") > 0)
+    strings = _string_rows(window, gram, by_word)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = cut(False).repartition(n, "h").sortWithinPartitions("h")
+    grouped = cut(False).mapInArrow(strings, "k binary, h long, packed long, sides binary").repartition(n, "h").sortWithinPartitions("h")
     spans = grouped.mapInArrow(_repeat_rows(window, gram, batch_strings), "k binary, s long, e long")
-    windows = cut(True).mapInArrow(_window_rows(window, gram), "k binary, w binary, s long")
+    windows = cut(True).mapInArrow(in_one(strings, _window_rows(window, gram)), "k binary, w binary, s long")
     twice = windows.groupBy("w").count().filter("count > 1").select("w")
     hot_spans = windows.join(twice, "w").select("k", "s", (F.col("s") + window).alias("e"))
     spans = stage(spans.unionByName(hot_spans).unionByName(settled).withColumn("by_word", F.lit(by_word)), "spans")
