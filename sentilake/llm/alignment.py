@@ -4,11 +4,12 @@ A is a byte-level BPE, B a piece model that writes blanks as U+2581 and puts one
 blank. Both give ids whose bytes tile the text, so tokens overlap where their byte ranges do, and end together at the cuts
 between groups.
 
-The first pass aligns all documents; a task passes on each id pair with the number of its documents that hold it linked. The
-distinct pairs get numbers 0..n-1 by minimal perfect hashing, a bucket of keys a group. Tasks add their counts into dense vectors by
-that number, and blocks of the vectors are summed in two levels. Numbers, keys and counts then go to all tasks, and a second pass
-aligns the documents again and looks every link up, comparing its key. ``MAX_PAIRS`` bounds what is sent; with more distinct pairs
-the second pass gives each distinct text's pairs instead, and these are joined to the counts.
+The first pass encodes and aligns all documents; a task keeps their ids, two bytes each, and passes on each id pair with the
+number of its documents that hold it linked. The distinct pairs get numbers 0..n-1 by minimal perfect hashing, a bucket of keys a
+group. Tasks add their counts into dense vectors by that number, and blocks of the vectors are summed in two levels. Numbers, keys
+and counts then go to all tasks, and a second pass over the kept ids aligns them again and looks every link up, comparing its key.
+``MAX_PAIRS`` bounds what is sent; with more distinct pairs the second pass gives each distinct text's pairs instead, and these are
+joined to the counts. No text is encoded twice.
 
 Both encoders work in bulk: each distinct piece, or word of B with the blanks before it, goes to the library once a worker.
 """
@@ -19,11 +20,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sentilake.llm import bpe
-from sentilake.llm.bytehash import parts, string_column
+from sentilake.llm.bytehash import SEGMENT, parts, string_column
 from sentilake.llm.common import small_batches, stage
 from sentilake.llm.perfect_hash import PerfectHash, bucket_of
 from sentilake.llm.pieces import PieceStore, gather
-from sentilake.llm.suffix_dedup import text_key
 from sentilake.operators.skew import join_unique
 
 CACHED_PIECES = 200_000
@@ -110,6 +110,8 @@ class Aligner:
         self.a = bpe.encoder(path_a, plain=True, cached=CACHED_PIECES)
         self.b = _piece_encoder(path_b)
         self.vocabulary = self.b.vocabulary
+        # How kept ids are written.
+        self.kinds = [np.min_scalar_type(len(e.byte_sizes) - 1).newbyteorder("<") for e in (self.a, self.b)]
         numbers = [str(i).encode() + b"," for i in range(max(len(self.a.byte_sizes), self.vocabulary))]
         self.digits = np.frombuffer(b"".join(numbers), dtype=np.uint8)
         self.digit_sizes = np.array([len(x) for x in numbers], dtype=np.int64)
@@ -133,6 +135,22 @@ class Aligner:
         out.place(a[np.repeat(same, np.diff(a_at))], np.diff(a_at)[same], b[np.repeat(same, np.diff(b_at))], np.diff(b_at)[same])
         return out
 
+    def restored(self, columns):
+        """(first row, alignment) of runs of rows, from the columns of kept ids of A and B."""
+        (a, a_at), (b, b_at) = (_ids(c, kind) for c, kind in zip(columns, self.kinds, strict=True))
+        n_a, n_b = np.diff(a_at), np.diff(b_at)
+        for i, j in parts(a_at, SEGMENT // 4) if len(n_a) else ():
+            good = n_a[i:j] > 0
+            out = Alignment(self, good)
+            out.place(a[a_at[i] : a_at[j]], n_a[i:j][good], b[b_at[i] : b_at[j]], n_b[i:j][good])
+            yield i, out
+
+
+def _ids(column, kind):
+    """Ids that a binary column holds, and where each row's begin."""
+    data, offsets = string_column(column)
+    return data.view(kind), offsets // kind.itemsize
+
 
 class Alignment:
     def __init__(self, aligner, good):
@@ -153,6 +171,14 @@ class Alignment:
         self.b_last = np.zeros(len(b), dtype=bool)
         self.b_last[(first + count - 1)[self.a_last]] = True
 
+    def kept(self):
+        """(ids of A, ids of B) of each text as bytes."""
+        runs = []
+        for ids, at, kind in zip((self.a, self.b), (self.a_at, self.b_at), self.aligner.kinds, strict=True):
+            whole, at = ids.astype(kind).tobytes(), (at * kind.itemsize).tolist()
+            runs.append([whole[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])
+        return zip(*runs, strict=True)
+
     def totals(self, of_a):
         """Sums over each text's tokens of A, of whole numbers."""
         run = np.append(0, np.cumsum(of_a))
@@ -219,8 +245,9 @@ def _combined(held):
     return keys[new], np.add.reduceat(np.concatenate([n for _, n in held])[order], new)
 
 
-def _pair_rows(paths):
-    """Each id pair with the number of the task's texts that hold it linked."""
+def _token_rows(paths):
+    """(id, a, b) with the kept ids of each row, null without tokens; and, in rows of their own, (key, n): each id pair with the
+    number of the task's texts that hold it linked."""
 
     def rows(batches):
         import pyarrow as pa
@@ -231,10 +258,17 @@ def _pair_rows(paths):
 
         def out():
             keys, n = _combined(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+            return record(pa.nulls(len(keys), kind), [None] * len(keys), [None] * len(keys), pa.array(keys), pa.array(n))
+
+        def record(ids, a, b, keys, n):
+            return pa.RecordBatch.from_arrays([ids, pa.array(a, pa.binary()), pa.array(b, pa.binary()), keys, n], names=["id", "a", "b", "key", "n"])
 
         for batch in batches:
-            for _, got in _alignments(one, batch.column(0)):
+            kind, none = batch.column(0).type, pa.nulls(batch.num_rows, pa.int64())
+            a, b = [None] * batch.num_rows, [None] * batch.num_rows
+            for first, got in _alignments(one, batch.column(1)):
+                for i, (x, y) in zip((first + np.flatnonzero(got.good)).tolist(), got.kept(), strict=True):
+                    a[i], b[i] = x, y
                 text, key = got.links()
                 once = np.unique(text * space + key) % space
                 keys, n = np.unique(once, return_counts=True)
@@ -246,6 +280,7 @@ def _pair_rows(paths):
                     if size > HELD_PAIRS:
                         yield out()
                         held, size = [], 0
+            yield record(batch.column(0), a, b, none, none)
         if held:
             yield out()
 
@@ -377,7 +412,7 @@ STATS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def _aligned_rows(paths, found):
-    """(id, k, stats, groups) of each row; without the pairs' counts the last two stats are zero."""
+    """(id, k, stats, groups) of each row of (id, k, a, b); without the pairs' counts the last two stats are zero."""
 
     def rows(batches):
         import pyarrow as pa
@@ -387,7 +422,7 @@ def _aligned_rows(paths, found):
         for batch in batches:
             stats = np.zeros((len(STATS), batch.num_rows), dtype=np.int64)
             groups = [""] * batch.num_rows
-            for first, got in _alignments(one, batch.column(2)):
+            for first, got in one.restored(batch.columns[2:4]):
                 rows_of = first + np.flatnonzero(got.good)
                 stats[:4, rows_of] = got.n_a, got.n_b, got.totals(got.a_last), got.totals(got.links_of_a)
                 if numbers is not None:
@@ -406,7 +441,7 @@ def _aligned_rows(paths, found):
 
 
 def _link_rows(paths):
-    """(k, key, m) of each text: how many links it has of each pair."""
+    """(k, key, m) of each row of (k, a, b): how many links it has of each pair."""
 
     def rows(batches):
         import pyarrow as pa
@@ -414,7 +449,7 @@ def _link_rows(paths):
         one = aligner(*paths)
         space = len(one.a.byte_sizes) * one.vocabulary
         for batch in batches:
-            for first, got in _alignments(one, batch.column(1)):
+            for first, got in one.restored(batch.columns[1:3]):
                 text, key = got.links()
                 both, m = np.unique(text * space + key, return_counts=True)
                 of = pa.array((first + np.flatnonzero(got.good))[both // space])
@@ -428,7 +463,7 @@ def _joined_counts(rows, pairs, paths, vocabulary):
     counts = pairs.groupBy("key").agg(F.sum("n").alias("n")).withColumn("a", F.floor(F.col("key") / vocabulary))
     top = counts.groupBy("a").agg(F.max("n").alias("top"))
     counts = stage(counts.join(top, "a").select("key", "n", (F.col("n") == F.col("top")).alias("best")), "pair-counts")
-    texts = rows.groupBy("k").agg(F.first("t").alias("t"))
+    texts = rows.filter(F.col("k").isNotNull()).groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"))
     links = stage(texts.mapInArrow(_link_rows(paths), "k binary, key long, m long"), "pair-links")
     found = join_unique(links, counts, "key", "inner", HOT_LINKS)
     return found.groupBy("k").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
@@ -446,13 +481,15 @@ def align(docs, id_col="doc_id", text_col="text", path_a=None, path_b=None, max_
     spark = docs.sparkSession
     small_batches(spark)
     paths = path_a or bpe.vocabulary_path(), path_b or piece_path()
-    rows = docs.select(F.col(id_col).alias("id"), F.lit(None).cast("binary").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    pairs = stage(rows.select("t").mapInArrow(_pair_rows(paths), "key long, n long"), "pairs")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    kind = texts.schema["id"].dataType.simpleString()
+    tokens = stage(texts.mapInArrow(_token_rows(paths), f"id {kind}, a binary, b binary, key long, n long"), "tokens", compression="zstd")
+    pairs = tokens.filter(F.col("key").isNotNull()).select("key", "n")
+    rows = tokens.filter(F.col("key").isNull()).select("id", F.lit(None).cast("binary").alias("k"), "a", "b")
     total = pairs.select("key").distinct().count()
-    kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, k binary, {', '.join(f'{c} long' for c in STATS)}, groups string"
     if total > max_pairs:
-        rows = rows.withColumn("k", text_key(F.col("t")))
+        rows = rows.withColumn("k", F.unhex(F.substring(F.sha2("a", 256), 1, 32)))  # ids spell the text, so they tell it
         known = _joined_counts(rows, pairs, paths, _piece_encoder(paths[1]).vocabulary)
         out = rows.mapInArrow(_aligned_rows(paths, None), schema).drop("n_best", "count_sum").join(known, "k", "left")
         out = out.na.fill(0, ["n_best", "count_sum"])

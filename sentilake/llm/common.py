@@ -10,10 +10,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df, name):
+def stage(df, name, **options):
     """Compute once into the shared folder; a lost executor then costs no recomputation of what led here."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

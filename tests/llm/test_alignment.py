@@ -3,8 +3,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql.functions import udf
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -114,6 +116,44 @@ def test_whole_table_against_brute_force(spark):
     assert all((r.groups_sha256 == "") == (r.n_a == 0) for r in got)
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_pairs": 10}])
+def test_texts_are_encoded_once(spark, rows, limits):
+    texts = texts_of_all_kinds()
+    read = spark.sparkContext.accumulator(0)
+
+    @udf("string")
+    def met(text):
+        read.add(1)
+        return text
+
+    docs = rows([(i, t, "k", 0, 1) for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    got = alignment.align(docs.withColumn("text", met("text")), **limits).collect()
+    assert len(got) == read.value == len(texts)
+
+
+def test_kept_ids_give_the_alignment_again(monkeypatch):
+    monkeypatch.setattr(alignment, "SEGMENT", 64)
+    one, raw = alignment.aligner(bpe.vocabulary_path(), alignment.piece_path()), [(t or "").encode() for t in texts_of_all_kinds()]
+    whole = one.align(raw)
+    kept, rest = whole.kept(), [(None, None)] * len(raw)
+    for i in np.flatnonzero(whole.good).tolist():
+        rest[i] = next(kept)
+    assert next(kept, None) is None and sum(a is None for a, _ in rest) == sum(not g for g in whole.good)
+    table = pa.table({"a": pa.array([a for a, _ in rest], pa.binary()), "b": pa.array([b for _, b in rest], pa.binary())})
+    text, keys, groups, at = [], [], [], []
+    for batch in table.slice(3).to_batches(max_chunksize=90):
+        for first, run in one.restored(batch.columns):
+            rows_of = first + len(at) + np.flatnonzero(run.good)
+            of, key = run.links()
+            text, keys, groups = [*text, *rows_of[of].tolist()], [*keys, *key.tolist()], [*groups, *run.groups()]
+        at += [0] * batch.num_rows
+    places = np.flatnonzero(whole.good)
+    of, key = whole.links()
+    later = places[of] >= 3
+    assert text == (places[of][later] - 3).tolist() and keys == key[later].tolist()
+    assert groups == [g for p, g in zip(places.tolist(), whole.groups(), strict=True) if p >= 3]
+
+
 def test_words_of_the_piece_model_are_encoded_apart():
     one, library = alignment.PieceEncoder(alignment.piece_path(), cached=50), Library()
     assert one.by_word
